@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, quality_rules
+from . import bpe, decontamination, line_dedup, quality_model, quality_rules, toxicity, url_filter, warc
 from .common import table
 
 
@@ -30,6 +30,18 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = line_dedup.report(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_dropped", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
@@ -47,6 +59,20 @@ SELECT doc_id, CAST(coalesce(n - len(kept), 0) AS BIGINT) AS n_dropped, sha256(a
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, h, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
+digits AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n >> s) & 31 AS BIGINT) + 1, 1), '' ORDER BY k, s DESC) AS payload_digest
+  FROM (SELECT hex, k, CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) AS n, unnest([15, 10, 5, 0]) AS s FROM (SELECT DISTINCT hex, unnest(range(8)) AS k FROM x)) GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM x JOIN digits USING (hex)
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -87,9 +113,33 @@ FROM v
 """
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = url_filter.judge(table(spark, sf_dir, "pages"))
+    return r.select("page_id", "host", "path", "rule", "verdict", F.array_join("strict", " ").alias("strict"), F.array_join("soft", " ").alias("soft"))
+
+
+def op9_sql() -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    chosen = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
+    said = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in rules)
+    found = lambda terms: ", ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN '{t}' END" for t in sorted(terms))
+    return rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+       translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM pages),
+h AS (SELECT *, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT *, CASE WHEN host = '' THEN NULL {chosen} END AS rule,
+       list_filter([{found(url_filter.STRICT)}], lambda x: x IS NOT NULL) AS strict, list_filter([{found(url_filter.SOFT)}], lambda x: x IS NOT NULL) AS soft FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {said} END WHEN len(strict) > 0 OR len(soft) >= {url_filter.Vocabulary().soft_limit} THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(array_to_string(strict, ' '), '') AS strict, coalesce(array_to_string(soft, ' '), '') AS soft
+FROM f
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op5_line_dedup, op8_quality_rules)}
+    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op7_warc, op8_quality_rules, op9_url_filter)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_quality_rules": op8_sql()}
+    return {"op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": op8_sql(), "op9_url_filter": op9_sql()}
