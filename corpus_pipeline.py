@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontamination, line_dedup, quality_rules
+from corpuslab.llm import bpe, decontamination, line_dedup, near_dup, quality_rules
 from corpuslab.llm.common import materialise, table
 
 
@@ -20,11 +20,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("decontamination", decontaminate)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.digests(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dup", near_duplicates), ("decontamination", decontaminate), ("bpe", encode)]
 
 #: The later stages (similarity on full shingle sets, byte-pair merges) can't be said in SQL.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, quality_model, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontamination, line_dedup, near_dup, quality_model, quality_rules, toxicity, url_filter, warc
 from .common import table
 
 
@@ -136,8 +136,12 @@ FROM f
 """
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
-    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op7_warc, op8_quality_rules, op9_url_filter)
+    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op7_warc, op8_quality_rules, op9_url_filter, op10_near_dup)
     return {f.__name__: f for f in own}
 
 
