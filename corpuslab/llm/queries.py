@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, near_dup, quality_model, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontamination, html_text, line_dedup, near_dup, quality_model, quality_rules, toxicity, url_filter, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ SELECT doc_id, CAST(coalesce(n - len(kept), 0) AS BIGINT) AS n_dropped, sha256(a
 """
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -141,7 +145,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op7_warc, op8_quality_rules, op9_url_filter, op10_near_dup)
+    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op6_html_text, op7_warc, op8_quality_rules, op9_url_filter, op10_near_dup)
     return {f.__name__: f for f in own}
 
 
