@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 SLICE = 50_000
 """Characters a text is cut to, and a call's texts add up to, about."""
 CUT = re.compile(r"(?<=\S)[ \n]")
@@ -70,7 +72,7 @@ class Codec:
         merges = []
         for token in sorted(ranks, key=ranks.get):
             merges += [(written[token[:i]], written[token[i:]]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        model = models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=60_000)
+        model = models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=10_000)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -140,6 +142,7 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
 
 
 def _mapped(df: DataFrame, over, schema: T.StructType, vocabulary: str | None, pattern: str | None) -> DataFrame:
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary or default_vocabulary()))
     pattern = pattern or default_pattern()
 

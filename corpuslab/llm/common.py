@@ -54,6 +54,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lowers the session's rows an Arrow batch to ``rows``: texts are long, and a batch is held in the executor and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows, found without reading more than that of them."""
     return df.limit(rows + 1).count() <= rows

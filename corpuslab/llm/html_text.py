@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialise, small
+from .common import BROADCAST_ROWS, bounded_batches, materialise, small
 from .url_filter import split_url
 
 # Elements of HTML by what they mean here.
@@ -234,6 +234,7 @@ def winning_paths(counted: DataFrame, min_share: float = MIN_SHARE, most: int =
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
+    bounded_batches(pages.sparkSession)
     won = materialise(winning_paths(votes(pages, url, html)), "winning-paths")
     won = F.broadcast(won) if small(won, BROADCAST_ROWS) else won
     host = F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, small
+from .common import BROADCAST_ROWS, bounded_batches, materialise, small
 from .components import components
 from .shingles import fingerprint, sets, signatures
 
@@ -77,7 +77,7 @@ def signed(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "te
     return narrow.mapInArrow(run, f"doc_id {kind}, text_key string, fp binary, n_shingles long, sig binary")
 
 
-def _parts(batch: pa.RecordBatch, text: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of some ``most`` bytes of text; a longer text is one alone."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(batch.column(text)).fill_null(0).to_pylist()):
@@ -247,6 +247,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, s: Settings, doc_id: str, text:
 
 def clusters(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row: doc_id, text_key, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     rows = materialise(signed(docs, s, doc_id, text), "signatures")
     classes = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
