@@ -90,6 +90,7 @@ def _found(docs, benchmark, doc_id, text, item_id, item_text, n, max_broadcast)
     """_d_id, _d_key, spans (sorted; no more than a text has words), items (sorted): one row for each text with a hit."""
     hits, grams = occurrences(docs, benchmark, doc_id, text, item_id, item_text, n, max_broadcast)
     spans = hits.groupBy("_d_id", "_d_key").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.collect_set("gram_id").alias("gram_ids"))
+    spans = materialise(spans, "hits")
     named = grams.select("gram_id", "items")
     named = F.broadcast(named) if small(named, max_broadcast) else named
     items = (
