@@ -47,9 +47,11 @@ def shares(df: DataFrame, day: str, events: DataFrame, hits: dict[str, Column],
     """label, event_date, theme, before, after, shift: percentages of rows that hit each theme; 0 without rows."""
     flagged = df.select(F.col(day).alias("_d"), F.array(*[F.struct(F.lit(k).alias("theme"), h.cast("int").alias("hit")) for k, h in hits.items()]).alias("_h"))
     each = in_windows(flagged, "_d", events, convention).select("label", "event_date", "side", F.explode("_h").alias("h"))
-    pct = lambda side: F.coalesce(100 * F.avg(F.when(F.col("side") == side, F.col("h.hit"))), F.lit(0.0))
+    pct = lambda side: 100 * F.avg(F.when(F.col("side") == side, F.col("h.hit")))
     got = each.groupBy("label", "event_date", F.col("h.theme").alias("theme")).agg(pct("before").alias("before"), pct("after").alias("after"))
-    return got.withColumn("shift", F.col("after") - F.col("before"))
+    grid = events.select("label", "event_date", F.explode(F.array(*map(F.lit, hits))).alias("theme"))
+    every = grid.join(got, ["label", "event_date", "theme"], "left").na.fill(0.0, ["before", "after"])
+    return every.withColumn("shift", F.col("after") - F.col("before"))
 
 
 def largest_shifts(shifts: DataFrame, n: int = 10) -> DataFrame:

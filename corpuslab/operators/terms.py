@@ -98,9 +98,9 @@ def heat(counted: DataFrame, group: str, period: str, n: int = 20, letters: int
 
     Of a group's 3n first words those of ``letters`` or more are kept, n of them: words placed after 3n never appear.
     """
-    whole = counted.groupBy(group, "term").agg(F.sum("n").alias("all"))
-    first = top(whole, [group], [F.desc("all"), F.asc("term")], 3 * n).filter(F.length("term") >= letters)
-    chosen = top(first.drop("rank"), [group], [F.desc("all"), F.asc("term")], n).select(group, "term")
+    whole = counted.groupBy(group, "term").agg(F.sum("n").alias("_all"))
+    first = top(whole, [group], [F.desc("_all"), F.asc("term")], 3 * n).filter(F.length("term") >= letters)
+    chosen = top(first.drop("rank"), [group], [F.desc("_all"), F.asc("term")], n).select(group, "term")
     totals = counted.groupBy(group, period).agg(F.sum("n").alias("total"))
     grid = chosen.join(totals, group).join(counted, [group, period, "term"], "left")
     return grid.select(group, period, "term", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / F.col("total"), 3).alias("share"))

@@ -36,7 +36,8 @@ HIT = {k: "(" + " OR ".join(f"contains(lower(text), '{t}')" for t in v) + ")" fo
 def _shift(convention):
     each = " UNION ALL ".join(f"SELECT label, event_date, '{k}' AS theme, b, f, CAST({h} AS INTEGER) AS hit FROM x" for k, h in HIT.items())
     return f"""WITH {A}, {CAL}, x AS (SELECT * FROM (SELECT label, event_date, text, {SIDES[convention]} FROM ev CROSS JOIN a) WHERE b OR f), z AS ({each}),
-y AS (SELECT label, event_date, theme, coalesce(100 * avg(CASE WHEN b THEN hit END), 0) AS before, coalesce(100 * avg(CASE WHEN f THEN hit END), 0) AS after FROM z GROUP BY ALL)"""
+y AS (SELECT ev.label, ev.event_date, th.theme, coalesce(100 * avg(CASE WHEN b THEN hit END), 0) AS before, coalesce(100 * avg(CASE WHEN f THEN hit END), 0) AS after
+ FROM ev CROSS JOIN (SELECT unnest({list(THEMES)}) AS theme) th LEFT JOIN z ON z.label = ev.label AND z.event_date = ev.event_date AND z.theme = th.theme GROUP BY ALL)"""
 
 
 @query("keyword_shift", _shift("open30") + " SELECT label, theme, round(before, 6) + 0.0 AS before, round(after, 6) + 0.0 AS after, round(after - before, 6) + 0.0 AS shift FROM y ORDER BY round(abs(after - before), 9) DESC, label, theme LIMIT 10")
