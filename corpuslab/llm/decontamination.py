@@ -42,13 +42,13 @@ def _key(words: Column, at: Column, n: int) -> Column:
 
 
 def _lookup(texts: DataFrame, grams: DataFrame, n: int, shortest: int, broadcast: bool) -> DataFrame:
-    """Occurrences (``_d_key``, ``_d_id``, at, size, gram_id) of windows of at least ``shortest`` words, found by their first ``shortest`` words."""
+    """Occurrences (``_d_id``, ``_d_key``, n_words, at, size, gram_id) of windows of at least ``shortest`` words, found by their first ``shortest`` words."""
     keyed = grams.withColumn("h", _key(F.col("gram"), F.lit(0), shortest))
     starts = F.when(F.size("_d_words") >= shortest, F.sequence(F.lit(0), F.size("_d_words") - shortest))
     placed = texts.select("_d_id", "_d_key", "_d_words", F.explode(starts).alias("at"))
     hashed = placed.withColumn("h", _key(F.col("_d_words"), F.col("at"), shortest))
     same = F.slice("_d_words", F.col("at") + 1, F.size("gram")) == F.col("gram")
-    out = ["_d_id", "_d_key", "at", F.size("gram").alias("size"), "gram_id"]
+    out = ["_d_id", "_d_key", F.size("_d_words").cast("long").alias("n_words"), "at", F.size("gram").alias("size"), "gram_id"]
     if broadcast:
         return hashed.join(F.broadcast(keyed), "h").filter(same).select(*out)
     found = hashed.select("_d_id", "_d_key", "at", "h").join(keyed, "h")
@@ -86,11 +86,16 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
+def _spans(hits: DataFrame) -> DataFrame:
+    """_d_id, _d_key, n_words, spans (sorted; no more than a text has words), gram_ids: one row for each text with a hit."""
+    spans = hits.groupBy("_d_id", "_d_key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.collect_set("gram_id").alias("gram_ids"))
+    return materialise(spans, "hits")
+
+
 def _found(docs, benchmark, doc_id, text, item_id, item_text, n, max_broadcast) -> DataFrame:
-    """_d_id, _d_key, spans (sorted; no more than a text has words), items (sorted): one row for each text with a hit."""
+    """_d_id, _d_key, spans, items (sorted): one row for each text with a hit."""
     hits, grams = occurrences(docs, benchmark, doc_id, text, item_id, item_text, n, max_broadcast)
-    spans = hits.groupBy("_d_id", "_d_key").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.collect_set("gram_id").alias("gram_ids"))
-    spans = materialise(spans, "hits")
+    spans = _spans(hits)
     named = grams.select("gram_id", "items")
     named = F.broadcast(named) if small(named, max_broadcast) else named
     items = (
@@ -132,14 +137,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Its columns are exactly those of ``docs``.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_e_row")
-    judged = _judged(docs, [whole], benchmark, doc_id, text, item_id, item_text, n, max_broadcast, share)
-    if remove == "documents":
-        return judged.filter(~F.col("_e_bad")).select("_e_row.*")
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(remove)
-    kept = judged.select("_e_row.*", F.col("_e_bad").alias("_e_cut"), F.col("spans").alias("_e_spans"))
-    cut = F.when(F.col("_e_cut"), excise(F.col(f"`{text}`"), F.col("_e_spans"))).otherwise(F.col(f"`{text}`"))
+    hits, _ = occurrences(docs, benchmark, doc_id, text, item_id, item_text, n, max_broadcast)
+    bad = _spans(hits).filter(share * _covered(F.col("spans")) >= F.col("n_words")).select("_d_id", "_d_key", "spans")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_d_id")) & (F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("_d_key"))
+    if remove == "documents":  # only keys meet the documents
+        keys = bad.select("_d_id", "_d_key")
+        return docs.join(F.broadcast(keys) if small(keys, max_broadcast) else keys, same, "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_e_row")
+    keyed = docs.select(whole, F.col(doc_id).alias("_e_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_e_key"))
+    bad = F.broadcast(bad) if small(bad, 2_000) else bad
+    marked = keyed.join(bad, F.col("_e_id").eqNullSafe(F.col("_d_id")) & (F.col("_e_key") == F.col("_d_key")), "left")
+    kept = marked.select("_e_row.*", F.col("spans").alias("_e_spans"))
+    cut = F.when(F.col("_e_spans").isNotNull(), excise(F.col(f"`{text}`"), F.col("_e_spans"))).otherwise(F.col(f"`{text}`"))
     return kept.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
