@@ -44,7 +44,7 @@ CHUNKS = INDEXED // CHUNK
 class Settings:
     words: int = 5
     percent: int = 85
-    members: int = 1_024
+    members: int = 384
     """Rows of a block, at most; fewer for large sets, so that a block's sets stay below ``block_shingles`` members on average."""
     block_shingles: int = 2_000_000
 
