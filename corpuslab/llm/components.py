@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def _star(near: DataFrame, keep) -> DataFrame:
     return keep(joined).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """edges: a, b of one sortable type. Returns node, root: each node of an edge and the least node of its component."""
-    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+def components(edges: DataFrame, rounds: int = 40, scratch: Scratch | None = None) -> DataFrame:
+    """edges: a, b of one sortable type. ``scratch`` holds the last round. Returns node, root: each node of an edge and the least node of its component."""
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = None
     for _ in range(rounds):
         large = _star(_both_ways(now), lambda j: j.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = large.select("a", "b")  # a > b
         small = _star(down, lambda j: j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(j.select("a", F.col("m").alias("b"))))
-        now = materialise(small, "stars")
+        now = scratch.materialise(small, "stars")
         # a forest of stars: no node is both a leaf and a root
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:

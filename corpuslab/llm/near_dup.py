@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, materialise, small
+from .common import BROADCAST_ROWS, Scratch, bounded_batches, materialise, small
 from .components import components
 from .shingles import fingerprint, sets, signatures
 
@@ -250,16 +250,18 @@ def clusters(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id",
     bounded_batches(docs.sparkSession)
     rows = materialise(signed(docs, s, doc_id, text), "signatures")
     classes = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "classes")
-    met = materialise(_blocks(classes, s), "met")
-    near = materialise(_with_candidates(met.join(classes, "fp"), s), "candidates")
-    wanted = materialise(near.select("fp").distinct().join(classes.select("fp", "label"), "fp"), "wanted")
-    links = materialise(_links(near.join(_sets_of(docs, wanted, s, doc_id, text), "fp"), s), "links")
-    tree = components(links)
+    scratch = Scratch(docs.sparkSession)
+    classes = scratch.materialise(classes, "classes")
+    met = scratch.materialise(_blocks(classes, s), "met")
+    near = scratch.materialise(_with_candidates(met.join(classes, "fp"), s), "candidates")
+    wanted = scratch.materialise(near.select("fp").distinct().join(classes.select("fp", "label"), "fp"), "wanted")
+    links = scratch.materialise(_links(near.join(_sets_of(docs, wanted, s, doc_id, text), "fp"), s), "links")
+    tree = components(links, scratch=scratch)
     labelled = tree.join(classes.select(F.col("fp").alias("node"), "label"), "node")
     least = labelled.groupBy("root").agg(F.min("label").alias("component"))
     found = labelled.join(least, "root").select(F.col("node").alias("fp"), "component")
     component = materialise(classes.select("fp", "label").join(found, "fp", "left").select("fp", F.coalesce("component", "label").alias("component")), "component")
+    scratch.free()
     joined = rows.select("doc_id", "text_key", "fp", "n_shingles").join(component, "fp", "left")
     component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return joined.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
