@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
 from .sample import fold, training_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,7 +32,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    rows: int = 8_000
+    rows: int = 5_000
     max_chars: int = 100_000
     vocabulary: int = 30_000
     min_texts: int = 5
@@ -64,8 +65,8 @@ class Model:
 class Rows:
     """Sparse 0/1 matrix: products with a vector from either side."""
 
-    def __init__(self, sets: list[list[int]], width: int):
-        self.column = np.fromiter((c for s in sets for c in s), np.int64)
+    def __init__(self, sets: list[np.ndarray], width: int):
+        self.column = np.concatenate(sets).astype(np.int64)
         self.row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         self.shape = len(sets), width
 
@@ -126,11 +127,14 @@ def fit(sample: pa.Table, s: Settings = Settings()) -> Model:
     if not len(label) or not 0 < label.sum() < len(label):
         share = label.mean() if len(label) else 0.0
         return Model({}, 0.0, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    sets = [features(t.as_py()) for t in sample.column("text")]
-    count = Counter(w for x in sets for w in x)
+    texts = sample.column("text")
+    count: Counter = Counter()
+    for t in texts:  # features are found twice rather than held for all texts
+        count.update(features(t.as_py()))
     listed = sorted((w for w, n in count.items() if n >= s.min_texts), key=lambda w: (-count[w], w))[: s.vocabulary]
     place = {w: i for i, w in enumerate(listed)}
-    x = Rows([sorted(place[w] for w in own if w in place) for own in sets], len(listed))
+    del count
+    x = Rows([np.array(sorted(place[w] for w in features(t.as_py()) if w in place), np.int32) for t in texts], len(listed))
     w, b = nnpu(x, label, float(label.mean()), s)
     slope, shift = platt(x.times(w) + b, label)
     return Model({listed[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b), slope, shift)
@@ -138,6 +142,7 @@ def fit(sample: pa.Table, s: Settings = Settings()) -> Model:
 
 def scored(docs: DataFrame, model, threshold: float, folds: int, held_out: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row. ``model.score`` takes a text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(F.col(doc_id), folds) == held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     schema = T.StructType([*narrow.schema.fields[:2], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
