@@ -16,6 +16,11 @@ from .. import lexicons as L
 WORD = "[a-zà-ÿ]{3,}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, not once for each place that names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -84,7 +89,7 @@ def without(tokens: Column, *lists: list[str]) -> Column:
 def tokens(text: Column, stop: list[str] = (), foreign: list[str] = (), collocations: list[tuple[str, str]] | None = None) -> Column:
     """Words of three letters or more and joined phrases, after links, handles and tags are cut."""
     joined = join_collocations(without_handles(text), collocations)
-    found = F.regexp_extract_all(joined, F.lit("[a-zà-ÿ][a-zà-ÿ]*(?:_[a-zà-ÿ][a-zà-ÿ]*)+|[a-zà-ÿ]{3,}"), F.lit(0))
+    found = F.regexp_extract_all(joined, F.lit("[a-zà-ÿ]++(?:_[a-zà-ÿ]++)+|[a-zà-ÿ]{3,}"), F.lit(0))
     return without(found, stop, foreign)
 
 
@@ -106,14 +111,19 @@ def words(text: Column) -> Column:
 
 def bigrams(found: Column) -> Column:
     """Pairs of neighbours, joined by a blank; none for fewer than two tokens."""
-    n = F.greatest(F.size(found) - 1, F.lit(0))
-    return F.zip_with(F.slice(found, F.lit(1), n), F.slice(found, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+    def pairs(t):
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    return let(found, pairs)
 
 
 def vectorizer_terms(text: Column) -> Column:
     """Words of three letters or more and their bigrams; no stop words."""
     found = F.regexp_extract_all(F.lower(filled(text)), F.lit(WORD), F.lit(0))
-    return F.concat(found, bigrams(found))
+    return let(found, lambda t: F.concat(t, bigrams(t)))
 
 
 def foreign_share(text: Column, foreign: list[str]) -> Column:
@@ -148,8 +158,8 @@ def exclamation_rate(text: Column) -> Column:
 
 
 def capitals_rate(text: Column) -> Column:
-    found = words(text)
-    return _rate(F.size(F.filter(found, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))), F.size(found))
+    loud = lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1)
+    return let(words(text), lambda found: _rate(F.size(F.filter(found, loud)), F.size(found)))
 
 
 def pattern_rate(text: Column, pattern: str) -> Column:
