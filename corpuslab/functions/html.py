@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lexicons as L
-from .text import filled, parse_count, strip
+from .text import filled, let, parse_count, strip
 
 # What holds no text; classes and ids of navigation; where articles are.
 NO_TEXT = {"script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "form", "svg"}
@@ -91,7 +91,7 @@ def engagement(html: Column) -> Column:
     share = F.coalesce(statistic("Share"), classed(["share-count", "shares-count", "num-shares", "social-count", "shared-count", "compartir-count", "veces-compartido"]), data("shares"))
     view = classed(["view-count", "views-count", "num-views", "post-views", "entry-views", "visitas"])
     # the first text with a digit counts, and is read once
-    return F.struct(*[parse_count(c).alias(f"{n}_count") for n, c in (("comment", comment), ("like", like), ("share", share), ("view", view))])
+    return F.struct(*[let(c, parse_count).alias(f"{n}_count") for n, c in (("comment", comment), ("like", like), ("share", share), ("view", view))])
 
 
 class _Text(HTMLParser):

@@ -111,10 +111,10 @@ def rolling3(spark, d):
     return series.rolling(series.volume(table(spark, d, "orders"), "o_orderdate"), "n", "ym").withColumn("rolling", r6(F.col("rolling")))
 
 
-@query("rolling30_spine", """WITH m AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS value FROM orders WHERE o_orderkey % 7 = 0 GROUP BY ALL), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM m)
+@query("rolling30_spine", """WITH m AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(floor(o_totalprice)) AS value FROM orders WHERE o_orderkey % 7 = 0 GROUP BY ALL), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM m)
 SELECT strftime(s.day, '%Y-%m-%d') AS day, round(value, 6) + 0.0 AS value, round(avg(value) OVER (ORDER BY s.day ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING), 6) + 0.0 AS rolling FROM s LEFT JOIN m USING (day)""")
 def rolling30_spine(spark, d):
-    out = series.daily(table(spark, d, "orders").filter("o_orderkey % 7 = 0"), "o_orderdate", F.col("o_totalprice"))
+    out = series.daily(table(spark, d, "orders").filter("o_orderkey % 7 = 0"), "o_orderdate", F.floor("o_totalprice"))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), *[r6(F.col(c)).alias(c) for c in ("value", "rolling")])
 
 
