@@ -66,11 +66,16 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Lowers the session's rows an Arrow batch to ``rows``: texts are long, and a batch is held in the executor and in the worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, rows)
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Lowers the session's rows and bytes an Arrow batch: texts and sets are long, and a batch is held in the executor and in the worker.
+
+    A row larger than ``size`` is a batch alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

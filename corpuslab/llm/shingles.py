@@ -29,12 +29,12 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(PIECE, 1 << (n - 1).bit_length())
+    size = max(2 * PIECE, 1 << (n - 1).bit_length())
     if size not in _powers:
         one = np.ones(size, np.uint64)
         up, down = one.copy(), one.copy()
         up[1:], down[1:] = BASE, INVERSE
-        if size > PIECE:  # rare; not kept
+        if size > 2 * PIECE:  # rare; not kept
             return np.multiply.accumulate(up), np.multiply.accumulate(down)
         _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return _powers[size]
