@@ -1,16 +1,16 @@
 """MinHash near-dedup by a multi-index Hamming join of b-bit signatures.
 
 1. A document's shingle set is hashed, fingerprinted (128 bits) and signed: ``POSITIONS`` min-hashes cut to 16 bits. Documents of equal sets are one class.
-2. The first 24 positions are the signature that is joined: pairs that differ in at most ``MAX_DISTANCE`` = 11 of them. Split in 6 chunks of 4, such a pair has a chunk with
-   at most one error (pigeonhole), so each class is entered under every chunk with every choice of the position that may be wrong: 24 keys, and no such pair is
-   missed. Keys also name a class of sizes, so that sets whose sizes alone rule a link out do not meet; classes overlap, so the others do.
+2. The first 24 positions are the signature that is joined. Split in 6 chunks of 4, a pair that differs in at most 11 of them has a chunk with at most one
+   error (pigeonhole), so each class is entered under every chunk with every choice of the position that may be wrong: 24 keys, and no such pair is missed. Most
+   pairs that differ in more meet as well, and are looked at up to ``MAX_DISTANCE`` = 14. Keys also name a class of sizes, so that sets whose sizes alone rule a link out do not meet; classes overlap, so the others do.
 3. Classes that share a key are compared by signature in blocks. A pair is looked at only under its first common key.
 4. The full sets of classes with a candidate are made again from their texts, sent to the same blocks, and compared exactly; pairs that are linked
    already, by way of others of the block, are skipped. A block returns at most one link a member: enough for its components.
 5. Components of all links.
 
-A pair at the threshold (85 %) is lost with probability of about 2e-5 (the signature differs in 12 or more positions of 24, or in over 40 of 128), one of
-95 % with less than 1e-9.
+A pair at the threshold (85 %) is lost with probability of about 3e-6 (two errors or more in all chunks, 15 or more of 24, or over 40 of 128 positions), one of
+95 % with less than 1e-10.
 
 Cases: null or empty texts, and texts without words, are linked with nothing. Rows without an id are never linked nor dropped. Repeated rows, and rows that share the kept id and
 text, all stay. An empty table gives an empty result. Extra columns pass through ``drop_near_duplicates``.
@@ -36,7 +36,7 @@ from .common import BROADCAST_ROWS, Scratch, bounded_batches, materialise, small
 from .components import components
 from .shingles import fingerprint, sets, signatures
 
-POSITIONS, INDEXED, CHUNK, MAX_DISTANCE, MAX_FULL_DISTANCE = 128, 24, 4, 11, 40
+POSITIONS, INDEXED, CHUNK, MAX_DISTANCE, MAX_FULL_DISTANCE = 128, 24, 4, 14, 40
 CHUNKS = INDEXED // CHUNK
 
 
