@@ -65,7 +65,7 @@ def vocabulary_words(counted: DataFrame, group: str, least_groups: int = 2, most
     """Per group: log share of a term less its log share in the other groups, over one vocabulary, 0.5 added to each count of each group."""
     vocabulary = fixed_vocabulary(counted, group, least_groups, most)
     groups = counted.select(group).distinct()
-    full = vocabulary.crossJoin(F.broadcast(groups)).join(counted, [group, "term"], "left").select(group, "term", (F.coalesce("n", F.lit(0)) + 0.5).alias("a"))  # terms of a vocabulary x groups
+    full = groups.crossJoin(F.broadcast(vocabulary)).join(counted, [group, "term"], "left").select(group, "term", (F.coalesce("n", F.lit(0)) + 0.5).alias("a"))  # groups x a vocabulary of at most ``most`` terms
     by_term, by_group = Window.partitionBy("term"), Window.partitionBy(group)
     rest = full.withColumn("o", F.sum("a").over(by_term) - F.col("a"))
     scored = rest.withColumn("score", F.log(F.col("a") / F.sum("a").over(by_group)) - F.log(F.col("o") / F.sum("o").over(by_group)))
