@@ -12,8 +12,12 @@ from corpuslab.llm import bpe, decontamination, line_dedup, near_dup, quality_ru
 from corpuslab.llm.common import materialise, table
 
 
+#: op8's fixed word limit is out of reach of texts without common words; this one follows each language's own distance for such a text.
+QUALITY = quality_rules.Rules(max_bare_share=0.95)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_good(docs, rules=QUALITY)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ class Rules:
     """Documents with fewer words are not judged by words."""
     max_char_distance: float = 0.30
     max_word_distance: float = 0.65
+    max_bare_share: float | None = None
+    """If set, also rejects a word distance over this share of the distance that a text without a single common word of its language has."""
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -134,6 +136,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(F.struct(total(p).alias("p"), total(q).alias("q")), from_totals)
 
 
+def bare_distance(ref_words: Column) -> Column:
+    """Distance of a text without common words; null for a language without a list."""
+    return F.when(F.size(ref_words) > 1, js_distance(F.concat(F.array_repeat(F.lit(0).cast("long"), F.size(ref_words) - 1), F.array(F.lit(1).cast("long"))), ref_words))
+
+
 def _references(hist: DataFrame, rules: Rules) -> DataFrame:
     """hist: _q_lang, _q_c, _q_h. One row a language with the sums over all its documents."""
     n_chars, n_words = len(CLASSES) + 3, max([0, *map(len, rules.common_words.values())]) + 1
@@ -157,6 +164,8 @@ def _measured(docs: DataFrame, columns: list[Column], text: str, lang: str, rule
 
 
 def _verdicts(measured: DataFrame, ref: DataFrame, rules: Rules) -> DataFrame:
+    if rules.max_bare_share is not None:
+        ref = ref.withColumn("_q_bare", bare_distance(F.col("ref_words")))
     ref = F.broadcast(ref) if small(ref, 10_000) else ref
     m, w = F.col("_q_m"), F.col("_q_m.w")
     joined = (
@@ -165,8 +174,11 @@ def _verdicts(measured: DataFrame, ref: DataFrame, rules: Rules) -> DataFrame:
         .withColumn("_q_word_distance", F.coalesce(js_distance(F.col("_q_h"), F.col("ref_words")), F.lit(0.0)))
     )
     failed = (w["n_words"] < rules.min_words) | (100 * w["n_repeat_words"] > rules.max_repeat_percent * w["n_words"])
+    far_words = F.col("_q_word_distance") > rules.max_word_distance
+    if rules.max_bare_share is not None:  # a language without any common word in all its texts has nothing to miss
+        far_words = far_words | F.coalesce((F.col("_q_bare") > 0) & (F.col("_q_word_distance") > rules.max_bare_share * F.col("_q_bare")), F.lit(False))
     far = ((m["n_chars"] >= rules.min_hist_chars) & (F.col("_q_char_distance") > rules.max_char_distance)) | (
-        (w["n_words"] >= rules.min_hist_words) & (F.col("_q_word_distance") > rules.max_word_distance)
+        (w["n_words"] >= rules.min_hist_words) & far_words
     )
     return joined.withColumn("_q_failed", failed).withColumn("_q_kept", ~failed & ~far)
 

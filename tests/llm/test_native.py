@@ -42,6 +42,23 @@ def test_divergence(spark):
     assert got[100].char_distance > 0.3 > got[0].char_distance
 
 
+def test_pipeline_rejects_texts_without_common_words(spark):
+    import corpus_pipeline
+
+    english = "the of and to in is that it was for on are as with be this have not at a".split()
+    foreign = "der die und das von mit sich auf für ist nicht ein eine dem den des im zu".split()
+    text = lambda common, i: " ".join(w if k % 3 else common[(i + k) % len(common)] for k, w in enumerate(re.sub("[0-9]+|of|the|and|to|in ", "xo", prose(150, i)).split()))
+    rows = [(i, text(english, i), "en", "s", 0) for i in range(40)] + [(100 + i, text(foreign, i), "en", "s", 0) for i in range(2)]
+    docs = spark.createDataFrame([*rows, (200, text(foreign, 3), "xx", "s", 0), (300, text(foreign, 4), "de", "s", 0), (301, text(foreign, 5), "de", "s", 0)], awkward(spark, False).schema)
+    loose = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert all(loose[i].char_distance < 0.3 and loose[i].kept for i in (100, 101))  # by the limit of op8
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert kept == {*range(40), 200, 300, 301}
+    # A language whose texts have no common word at all has nothing to go by.
+    bare = spark.createDataFrame([(i, text(["qua"], i), "en", "s", 0) for i in range(5)], docs.schema)
+    assert corpus_pipeline.quality(spark, bare, "").count() == 5
+
+
 def test_distance_by_hand(spark):
     from pyspark.sql import functions as F
 
