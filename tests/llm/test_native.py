@@ -128,6 +128,16 @@ def test_line_dedup(spark):
     assert n[3] == 1 and n[50] == 0 and n[300] == 0
 
 
+def test_pipeline_drops_lines_below_a_tenth(spark):
+    import corpus_pipeline
+
+    foot = lambda i: "\nfooter" if i < 5 else "\ntwice" if i < 7 else ""
+    docs = spark.createDataFrame([(i, f"own line {i}{foot(i)}", "en", "h", None) for i in range(200)], awkward(spark, False).schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert all(got[i] == f"own line {i}" for i in range(5)) and got[5] == "own line 5\ntwice"
+    assert all(r.n_dropped == 0 for r in line_dedup.report(docs).collect())  # by the share of op5
+
+
 def test_line_dedup_awkward(spark):
     docs = awkward(spark)
     out = line_dedup.drop_boilerplate(docs)
