@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
-A text's tokens (split at white space) are terms: the lower-cased word if it is in the vocabulary, the token's shape (``Xx``, ``XX!!``, ``x***``, ``|`` and so on), and ``=``
-where a token repeats the one before. Every term has a sparse random index vector drawn from a hash of its name; its word vector is the sum of the index vectors of
+A text's tokens (split at white space) are terms: each lower-cased word in them that is in the vocabulary, the token's shape (``Xx``, ``XX!!``, ``x***``, ``|`` and so on), and ``=``
+where a token repeats the one before. Words and tokens over ``PIECE`` characters count as pieces of so many, and shapes over ``SIGNS`` signs as pieces of so many, each a term. Every term has a sparse random index vector drawn from a hash of its name; its word vector is the sum of the index vectors of
 terms found within two tokens in the sample (shapes for shapes and words), of length 1. A document is the mean of its terms' vectors; the
 network (tanh, then logistic) is trained on these by Adam, and one temperature, fitted on a part of the sample that the network does not see, scales its logit.
 
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain, zip_longest
 from operator import eq
 
 import numpy as np
@@ -27,6 +28,7 @@ from .sample import training_sample
 from .toxicity import scored, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]+")
+PIECE, SIGNS = 24, 8
 MEMORY = 200_000
 """Tokens whose terms a worker remembers."""
 
@@ -49,17 +51,26 @@ class Settings:
     held_out: int = 1
 
 
+def words_of(token: str) -> list[str]:
+    return [run[i : i + PIECE].lower() for run in LETTERS.findall(token) for i in range(0, len(run), PIECE)]
+
+
+def shapes_of(token: str) -> list[str]:
+    whole = [shape(token[i : i + PIECE]) for i in range(0, len(token), PIECE)]
+    return [x[i : i + SIGNS] for x in whole for i in range(0, len(x), SIGNS)]
+
+
 def shape(token: str) -> str:
     """Runs of capitals, small letters and digits as one letter each; other signs as they are, a run of the same sign as at most three."""
     out = []
     last, run = "", 0
-    for c in token[:24]:
+    for c in token:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         run = run + 1 if kind == last else 1
         if run == 1 or (run <= 3 and kind not in "Xx9") or (run == 2 and kind == "X"):
             out.append(kind)
         last = kind
-    return "".join(out[:8])
+    return "".join(out)
 
 
 def index_vector(term: str, s: Settings) -> np.ndarray:
@@ -75,18 +86,20 @@ class Model:
     vectors: np.ndarray
     layers: tuple
     temperature: float
-    _terms: dict[str, tuple[int, int]] = field(default_factory=dict, repr=False)
+    _terms: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_terms": {}}
 
-    def terms(self, token: str) -> tuple[int, int]:
-        """Places of a token's word and shape; the last place is a zero vector."""
+    def terms(self, token: str) -> list[tuple[int, int]]:
+        """Places of a token's words and shapes, in pairs; the last place is a zero vector."""
         got = self._terms.get(token)
         if got is None:
             none = len(self.vectors) - 1
-            m = LETTERS.search(token)
-            got = (self.place.get("w:" + m[0].lower(), none) if m else none, self.place.get("s:" + shape(token), none))
+            words = [self.place.get("w:" + w, none) for w in words_of(token)]
+            got = list(zip_longest(words, [self.place.get("s:" + x, none) for x in shapes_of(token)], fillvalue=none))
+            if len(token) > PIECE:
+                return got
             if len(self._terms) >= MEMORY:
                 self._terms.clear()
             self._terms[token] = got
@@ -97,11 +110,12 @@ class Model:
         if not tokens:
             return np.zeros(self.vectors.shape[1], np.float32)
         count = Counter(tokens)
-        places = np.array([*map(self.terms, count)])
-        n = np.fromiter(count.values(), np.float32, len(count))
+        parts = [*map(self.terms, count)]
+        places = np.array([*chain.from_iterable(parts)])
+        n = np.repeat(np.fromiter(count.values(), np.float32, len(count)), [*map(len, parts)])
         same = sum(map(eq, tokens, tokens[1:]))
         total = n @ self.vectors[places[:, 0]] + n @ self.vectors[places[:, 1]] + same * self.vectors[self.place["="]]
-        return total / len(tokens)
+        return total / n.sum()
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -123,9 +137,10 @@ def word_vectors(texts: list[str], s: Settings) -> tuple[dict[str, int], np.ndar
     words, shapes = Counter(), Counter()
     for text in texts:
         for token, n in Counter(text.split()).items():
-            shapes[shape(token)] += n
-            if m := LETTERS.search(token):
-                words[m[0].lower()] += n
+            for x in shapes_of(token):
+                shapes[x] += n
+            for w in words_of(token):
+                words[w] += n
     top = lambda c, k: sorted(c, key=lambda x: (-c[x], x))[:k]
     names = ["=", *("w:" + w for w in top(words, s.vocabulary)), *("s:" + x for x in top(shapes, s.shapes))]
     place = {t: i for i, t in enumerate(names)}
@@ -136,9 +151,11 @@ def word_vectors(texts: list[str], s: Settings) -> tuple[dict[str, int], np.ndar
         tokens = text.split()
         if not tokens:
             continue
-        at = np.array([*map(model.terms, tokens)])
+        parts = [*map(model.terms, tokens)]
+        at = np.array([*chain.from_iterable(parts)])
+        starts = np.cumsum([*map(len, parts)])[:-1]
         near = index[at[:, 0]] + index[at[:, 1]]
-        near[1:][np.fromiter(map(eq, tokens, tokens[1:]), bool, len(tokens) - 1)] += index[0]
+        near[starts[np.fromiter(map(eq, tokens, tokens[1:]), bool, len(tokens) - 1)]] += index[0]
         context = np.zeros_like(near)
         for k in range(1, s.window + 1):
             context[k:] += near[:-k]

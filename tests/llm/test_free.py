@@ -159,6 +159,17 @@ def test_toxicity_and_quality(spark):
         assert sum(unseen) > 0.97 * len(unseen)
 
 
+def test_quality_model_reads_whole_tokens():
+    s = quality_model.Settings()
+    place, vectors = quality_model.word_vectors(["alpha beta/gamma " * 3, "漢" * 24 + "字" * 24, "", "a-b"], s)
+    model = quality_model.Model(place, vectors, (), 1.0)
+    assert {"w:alpha", "w:beta", "w:gamma", "w:b", "w:" + "字" * 24} <= place.keys()
+    assert quality_model.shapes_of("a/" * 6) == ["x/x/x/x/", "x/x/"] and quality_model.words_of("don't") == ["don", "t"]
+    far = lambda a, b: abs(model.pooled(a) - model.pooled(b)).max() > 1e-3
+    assert far("alpha/beta", "alpha/zzz") and far("漢" * 24 + "字" * 24, "漢" * 48) and far("x" * 30, "x" * 30 + "!!gamma")
+    assert not far("alpha beta", "beta alpha") and not model.pooled(" ").any()
+
+
 def test_classifiers_take_awkward_tables(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(8, 1, 1), (9, 0, 0), (2, 1, None), (None, 1, 1), (8, 0, 1), (6, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
