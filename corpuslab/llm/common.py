@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ROWS_A_FILE = 250_000
+"""Of a narrow table."""
 BROADCAST_ROWS = 200_000
 """A side is broadcast only if it is counted and has at most so many (small, fixed-width) rows."""
 
@@ -31,10 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a local folder is chosen and set.
+    Where ``spark.checkpoint.dir`` is unset, a session on one machine gets a local folder of its own; on a cluster that is an error, as executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
@@ -48,34 +53,58 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Intermediates that nothing reads any more once the operator returns."""
+    """Intermediates that nothing reads any more once the operator has written its result.
+
+    ``hold`` keeps rows on the executors' disks and their lineage with them: a lost executor's share is computed again from the last shuffle or written table.
+    ``materialise`` writes a table, which cuts the lineage.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.held = spark, [], []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.held[-1]
 
     def materialise(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(shared_dir(self.spark, name))
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
-    def free(self, keep: int = 0) -> None:
-        """Deletes all but the last ``keep``, through Hadoop's file system."""
-        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
-        for path in gone:
+    def free(self) -> None:
+        """Tables go through Hadoop's file system."""
+        for df in self.held:
+            df.unpersist()
+        for path in self.paths:
             p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.held, self.paths = [], []
+
+
+class settings:
+    """Settings of the session; as a context, it has its old ones back afterwards."""
+
+    def __init__(self, spark: SparkSession, values: dict[str, object]):
+        self.spark, self.old = spark, {k: spark.conf.get(k) for k in values}
+        for k, v in values.items():
+            spark.conf.set(k, v)
+
+    def __enter__(self) -> None:
+        pass
+
+    def __exit__(self, *error) -> None:
+        for k, v in self.old.items():
+            self.spark.conf.set(k, v)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> settings:
     """Lowers the session's rows and bytes an Arrow batch: texts and sets are long, and a batch is held in the executor and in the worker.
 
-    A row larger than ``size`` is a batch alone.
+    A row larger than ``size`` is a batch alone. Only an operator that has computed its result when it returns can use it as a context: Spark reads the values
+    when a result is computed, so for others the lower values stay.
     """
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key)
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, most)
+    most = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size))}
+    return settings(spark, {k: v for k, v in most.items() if not ((now := spark.conf.get(k)).isdigit() and 0 < int(now) <= v)})
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

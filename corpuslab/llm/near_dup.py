@@ -1,28 +1,28 @@
 """MinHash near-dedup by a multi-index Hamming join of b-bit signatures.
 
-1. A document's shingle set is hashed, fingerprinted (128 bits) and signed: ``POSITIONS`` min-hashes cut to 16 bits. Documents of equal sets are one class.
-2. The first 24 positions are the signature that is joined. Split in 6 chunks of 4, a pair that differs in at most 11 of them has a chunk with at most one
-   error (pigeonhole), so each class is entered under every chunk with every choice of the position that may be wrong: 24 keys, and no such pair is missed. Most
-   pairs that differ in more meet as well, and are looked at up to ``MAX_DISTANCE`` = 14. Keys also name a class of sizes, so that sets whose sizes alone rule a link out do not meet; classes overlap, so the others do.
+1. A document's shingle set is hashed, fingerprinted (128 bits) and signed: ``POSITIONS`` = 40 min-hashes cut to 16 bits. Documents of equal sets are one class, named by
+   its least id.
+2. Signatures are split in 10 chunks of 4. A pair that differs in at most ``MAX_DISTANCE`` = 19 positions has a chunk with at most one error (pigeonhole: with two in each
+   there would be 20), so each class is entered under every chunk with every choice of the position that may be wrong: 40 keys, and no pair under the distance is missed.
 3. Classes that share a key are compared by signature in blocks. A pair is looked at only under its first common key.
-4. The full sets of classes with a candidate are made again from their texts, sent to the same blocks, and compared exactly; pairs that are linked
+4. The full sets of all classes with a pair under the distance are made again from their texts, sent to the same blocks, and compared exactly; pairs that are linked
    already, by way of others of the block, are skipped. A block returns at most one link a member: enough for its components.
 5. Components of all links.
 
-A pair at the threshold (85 %) is lost with probability of about 3e-6 (two errors or more in all chunks, 15 or more of 24, or over 40 of 128 positions), one of
-95 % with less than 1e-10.
+The distance is the only bound: signatures of a pair exactly at 85 % differ in 20 or more of 40 positions with a probability of about 2e-7, of one at 95 % with less than 1e-15.
 
 Cases: null or empty texts, and texts without words, are linked with nothing. Rows without an id are never linked nor dropped. Repeated rows, and rows that share the kept id and
-text, all stay. An empty table gives an empty result. Extra columns pass through ``drop_near_duplicates``.
+text, all stay. Ties of ids: a class has the least id of its rows. Texts of any length are read whole, some 256 kB at a time. An empty table gives an empty result. Extra columns pass
+through ``drop_near_duplicates``.
 
 Scale: copies collapse by fingerprint before anything is joined (counts and minima are combined in map tasks). A key with many classes is dealt to blocks
 of at most ``members`` rows each and every pair of blocks is a unit of work, so no task holds more than two blocks, and a family of near copies, however
-large, yields links in proportion to its members. Signatures take 256 bytes a class; full sets travel only for classes with a candidate.
+large, yields links in proportion to its members. Signatures take 80 bytes a class; full sets travel only for classes with a candidate. Signatures and candidates
+are held on the executors' disks (a lost executor's share is made again); classes, rounds of components and the result are written, to as many files as their rows need.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +32,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, bounded_batches, materialise, small
+from .common import BROADCAST_ROWS, ROWS_A_FILE, Scratch, bounded_batches, materialise, settings, small
 from .components import components
 from .shingles import fingerprint, sets, signatures
 
-POSITIONS, INDEXED, CHUNK, MAX_DISTANCE, MAX_FULL_DISTANCE = 128, 24, 4, 14, 40
-CHUNKS = INDEXED // CHUNK
+POSITIONS, CHUNK, ERRORS = 40, 4, 1
+CHUNKS = POSITIONS // CHUNK
+MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
+"""Pairs that differ in so many positions or fewer share a key: they are the candidates."""
+
+CLASSES_A_FILE = 60_000
+"""Each becomes a row a key."""
 
 
 @dataclass(frozen=True)
@@ -62,7 +67,7 @@ def signed(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "te
         for whole in batches:
             for batch in _parts(whole, 2):
                 own = sets(batch.column(2), s.words)
-                sig = signatures(own, POSITIONS, 16).astype(np.uint16)
+                sig = signatures(own, POSITIONS, 16).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -88,32 +93,23 @@ def _parts(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
     yield batch.slice(start)
 
 
-def _size_class(n: Column, percent: int) -> Column:
-    """Sets of which the smaller has at least ``percent`` of the larger's members are in the same or in neighbouring classes."""
-    return F.floor(F.log(n.cast("double")) / math.log(100 / (percent - 1))).cast("int")
-
-
-def _keys(sig: Column, size_class: Column) -> Column:
-    """48 keys: each chunk without one of its positions, under the own size class and the next."""
+def _keys(sig: Column) -> Column:
+    """40 keys: each chunk without one of its positions."""
     at = lambda p: F.substring(sig, 2 * p + 1, 2)
-    out = []
-    for c in range(CHUNKS):
-        for w in range(CHUNK):
-            rest = [at(c * CHUNK + k) for k in range(CHUNK) if k != w]
-            out += [F.xxhash64(F.lit(c * CHUNK + w), size_class + d, F.concat(*rest)) for d in (0, 1)]
-    return F.array(*out)
+    without = lambda p: [at(k) for k in range(p - p % CHUNK, p - p % CHUNK + CHUNK) if k != p]
+    return F.array(*[F.xxhash64(F.lit(p), F.concat(*without(p))) for p in range(POSITIONS)])
 
 
 def _blocks(classes: DataFrame, s: Settings) -> DataFrame:
-    """key, i, j (blocks compared), blk (the row's), pos (the key's place), fp: the classes to meet in each unit of work."""
-    size_class = _size_class(F.col("n"), s.percent)
-    met = classes.select("fp", "n", F.posexplode(_keys(F.col("sig"), size_class)).alias("pos", "key"))
+    """key, i, j (blocks compared), blk (the row's), pos (the key's place), label: the classes to meet in each unit of work."""
+    met = classes.select("label", "n", F.posexplode(_keys(F.col("sig"))).alias("pos", "key"))
     members = F.greatest(F.lit(8), F.least(F.lit(s.members), (F.lit(s.block_shingles) / F.col("n")).cast("int")))
-    whole = met.withColumn("here", F.count("*").over(Window.partitionBy("key"))).filter("here > 1").withColumn("members", F.min(members).over(Window.partitionBy("key")))
+    by_key = Window.partitionBy("key")
+    whole = met.select("key", "pos", "label", F.count("*").over(by_key).alias("here"), F.min(members).over(by_key).alias("members")).filter("here > 1")
     n_blocks = F.ceil(F.col("here") / F.col("members")).cast("int")
-    dealt = whole.withColumn("n_blocks", n_blocks).withColumn("blk", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("n_blocks")).cast("int"))
+    dealt = whole.withColumn("n_blocks", n_blocks).withColumn("blk", F.pmod(F.xxhash64("label", F.lit(5)), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    return dealt.select("key", "pos", "blk", "fp", other).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "pos", "fp")
+    return dealt.select("key", "pos", "blk", "label", other).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "pos", "label")
 
 
 class Unit:
@@ -121,8 +117,7 @@ class Unit:
 
     def __init__(self, table: pa.Table, s: Settings):
         self.blk, self.n = table["blk"].to_numpy(), table["n"].to_numpy()
-        pos = table["pos"].to_numpy()
-        self.slot, self.next = int(pos[0]) // 2, pos % 2 == 1
+        self.slot = table["pos"][0].as_py()
         self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(table.num_rows, POSITIONS)
         self.cross = self.blk.min() != self.blk.max()
         self.percent = s.percent
@@ -130,10 +125,8 @@ class Unit:
     def candidates(self, k: int) -> np.ndarray:
         """Members after k that may be linked to it and that no earlier key brings together."""
         n, later = self.n, slice(k + 1, None)
-        same = self.sig[later, :INDEXED] == self.sig[k, :INDEXED]
-        ok = (INDEXED - same.sum(1) <= MAX_DISTANCE) & (100 * np.minimum(n[later], n[k]) >= self.percent * np.maximum(n[later], n[k]))
-        if self.next[k]:  # sets of one size class also meet under the next
-            ok &= ~self.next[later]
+        same = self.sig[later] == self.sig[k]
+        ok = (POSITIONS - same.sum(1) <= MAX_DISTANCE) & (100 * np.minimum(n[later], n[k]) >= self.percent * np.maximum(n[later], n[k]))
         if self.cross:
             ok &= self.blk[later] != self.blk[k]
         at = np.flatnonzero(ok)
@@ -141,11 +134,10 @@ class Unit:
             return at
         equal = same[at].reshape(-1, CHUNKS, CHUNK)
         met = equal.sum(2)
-        chunk = np.argmax(met >= CHUNK - 1, 1)
+        chunk = np.argmax(met >= CHUNK - ERRORS, 1)
         row = np.arange(len(at))
         first = chunk * CHUNK + np.where(met[row, chunk] == CHUNK, 0, np.argmin(equal[row, chunk], 1))
-        at = at[first == self.slot]
-        return k + 1 + at[(self.sig[k + 1 + at] != self.sig[k]).sum(1) <= MAX_FULL_DISTANCE]
+        return k + 1 + at[first == self.slot]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -168,13 +160,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-UNIT = ["key", "i", "j", "blk", "pos", "fp", "n", "sig"]
-UNIT_SCHEMA = "key long, i int, j int, blk int, pos int, fp binary, n long, sig binary"
+UNIT = ["key", "i", "j", "blk", "pos", "label", "n", "sig"]
 
 
 def _dealt(df: DataFrame, *more: str) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*UNIT, *more).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    """A unit's rows together, in as many partitions as their size needs."""
+    return df.select(*UNIT, *more).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _with_candidates(units: DataFrame, s: Settings) -> DataFrame:
@@ -194,7 +185,8 @@ def _with_candidates(units: DataFrame, s: Settings) -> DataFrame:
             if wanted.any():
                 yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
 
-    return _dealt(units).mapInArrow(run, UNIT_SCHEMA)
+    dealt = _dealt(units)
+    return dealt.mapInArrow(run, dealt.schema)
 
 
 def _links(units: DataFrame, s: Settings) -> DataFrame:
@@ -223,17 +215,18 @@ def _links(units: DataFrame, s: Settings) -> DataFrame:
                         root[root == root[x]] = root[k]
                         found.append((k, x))
             if found:
-                fp = table["fp"].combine_chunks()
+                label = table["label"].combine_chunks()
                 a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([label.take(pa.array(a)), label.take(pa.array(b))], ["a", "b"])
 
-    return _dealt(units, "members").mapInArrow(run, "a binary, b binary")
+    kind = units.schema["label"].dataType.simpleString()
+    return _dealt(units, "members").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
-    """fp, members of the wanted classes (fp, label), made from the documents that give them their label."""
-    labels = wanted.select(F.col("label").alias("_w")).distinct()
-    labels = F.broadcast(labels) if small(labels, 2_000_000) else labels
+    """label, members of the wanted classes (fp, label), made from the documents that give them their label."""
+    labels = wanted.select(F.col("label").alias("_w"))
+    labels = F.broadcast(labels) if small(labels) else labels
     texts = docs.select(F.col(doc_id).alias("_d"), F.col(text).cast("string").alias("text")).join(labels, F.col("_d") == F.col("_w"), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,33 +235,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, s: Settings, doc_id: str, text:
                 own = [m for m in sets(batch.column(0), s.words) if len(m)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, own), pa.binary()), pa.array([m.tobytes() for m in own], pa.binary())], ["fp", "members"])
 
-    return texts.mapInArrow(run, "fp binary, members binary").join(wanted.select("fp"), "fp", "left_semi")
+    once = texts.mapInArrow(run, "fp binary, members binary").groupBy("fp").agg(F.first("members").alias("members"))  # a row may be there many times
+    return once.join(wanted, "fp").select("label", "members")
 
 
 def clusters(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row: doc_id, text_key, n_shingles, component_id, kept."""
-    bounded_batches(docs.sparkSession)
-    rows = materialise(signed(docs, s, doc_id, text), "signatures")
-    classes = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     scratch = Scratch(docs.sparkSession)
-    classes = scratch.materialise(classes, "classes")
-    met = scratch.materialise(_blocks(classes, s), "met")
-    near = scratch.materialise(_with_candidates(met.join(classes, "fp"), s), "candidates")
-    wanted = scratch.materialise(near.select("fp").distinct().join(classes.select("fp", "label"), "fp"), "wanted")
-    links = scratch.materialise(_links(near.join(_sets_of(docs, wanted, s, doc_id, text), "fp"), s), "links")
-    tree = components(links, scratch=scratch)
-    labelled = tree.join(classes.select(F.col("fp").alias("node"), "label"), "node")
-    least = labelled.groupBy("root").agg(F.min("label").alias("component"))
-    found = labelled.join(least, "root").select(F.col("node").alias("fp"), "component")
-    component = materialise(classes.select("fp", "label").join(found, "fp", "left").select("fp", F.coalesce("component", "label").alias("component")), "component")
+    # hashes don't compress, and trying to costs more than it saves
+    with bounded_batches(docs.sparkSession), settings(docs.sparkSession, {"spark.sql.inMemoryColumnarStorage.compressed": "false"}):
+        rows = scratch.hold(signed(docs, s, doc_id, text))
+        classes = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        n = rows.count()
+        classes = scratch.materialise(classes.coalesce(1 + n // CLASSES_A_FILE), "classes")
+        near = scratch.hold(_with_candidates(_blocks(classes, s).join(classes.select("label", "n", "sig"), "label"), s))
+        wanted = classes.select("fp", "label").join(near.select("label").distinct(), "label", "left_semi")
+        tree = components(_links(near.join(_sets_of(docs, wanted, s, doc_id, text), "label"), s), scratch=scratch)
+        component = classes.select("fp", "label").join(tree, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("component"))
+        component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))  # the least label of a component is its least id
+        found = rows.select("doc_id", "text_key", "fp", "n_shingles").join(component, "fp", "left").select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"))
+        found = materialise(found.coalesce(1 + n // ROWS_A_FILE), "near-duplicates")
     scratch.free()
-    joined = rows.select("doc_id", "text_key", "fp", "n_shingles").join(component, "fp", "left")
-    component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return joined.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that another of their component stands for, with exactly their own columns."""
-    gone = materialise(clusters(docs, s, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_g_id"), F.col("text_key").alias("_g_key")).distinct(), "near-duplicates")
+    gone = clusters(docs, s, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_g_id"), F.col("text_key").alias("_g_key")).distinct()
     gone = F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone
     return docs.join(gone, (F.col(f"`{doc_id}`") == F.col("_g_id")) & (_text_key(F.col(f"`{text}`")) == F.col("_g_key")), "left_anti")

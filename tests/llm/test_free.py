@@ -256,6 +256,26 @@ def test_near_duplicates_equal_brute_force(spark, members):
     assert got == want and len({c for _, c in want.values()}) < 0.8 * len(rows)
 
 
+def test_every_pair_under_the_distance_shares_a_key(spark):
+    """Twelve wrong positions in six chunks, and as many as the distance allows, dealt out in every way that a seed gives."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = []
+    for k in range(200):
+        sig = r.integers(0, 1 << 16, near_dup.POSITIONS)
+        other = sig.copy()
+        if k < 100:
+            wrong = [c * near_dup.CHUNK + p for c in r.permutation(near_dup.CHUNKS)[:6] for p in r.permutation(near_dup.CHUNK)[:2]]
+        else:
+            wrong = r.permutation(near_dup.POSITIONS)[: near_dup.MAX_DISTANCE]
+        other[wrong] ^= 1
+        rows += [(2 * k, 100, bytearray(sig.astype("<u2").tobytes())), (2 * k + 1, 100, bytearray(other.astype("<u2").tobytes()))]
+    classes = spark.createDataFrame(rows, "label long, n long, sig binary")
+    met = near_dup._blocks(classes, near_dup.Settings()).join(classes, "label")
+    assert near_dup._with_candidates(met, near_dup.Settings()).select("label").distinct().count() == 400
+
+
 def test_near_duplicates_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
