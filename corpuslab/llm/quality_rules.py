@@ -1,13 +1,14 @@
 """Quality rules: divergence of a document's histograms from its language's reference (DataFrame functions only).
 
 Each document gets two histograms: its characters by class, and its words by common word of its language. The reference
-of a language is the sum of these histograms over *all* documents of that language. A document is rejected if
+of a language is the sum of these histograms over *all* documents of that language that pass the base rules. A document is rejected if
 the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) to its reference exceeds a limit, unless it is
 too short for the histogram to mean anything, or if a base rule fails.
 
-Cases: null or empty text has no words, all counts 0, and fails the base rule. A null language is a language of its own.
-A language without a list of common words is judged by characters only. Repeated rows are judged alike, one result each.
-Extra columns pass through ``keep_good``; ``judge`` returns only its own columns beside those asked for.
+Cases: null or empty text has no words, all counts 0, and fails the base rule. A null language is a language of its own, and so is an empty one.
+A language without a list of common words is judged by characters only; one without a document that passes the base rules has no reference, and none of its documents is kept.
+Repeated rows count each, are judged alike, one result each. A distance equal to a limit is kept (ties). Long texts are read whole; what is counted of them is some forty integers.
+An empty table gives an empty result. Extra columns pass through ``keep_good``; ``judge`` returns only its own columns beside those asked for.
 """
 
 from __future__ import annotations
@@ -96,19 +97,18 @@ def word_histogram(words: Column, lang: Column, rules: Rules) -> Column:
     return F.lit(None).cast("array<bigint>") if out is None else out
 
 
-def metrics(text: Column, lang: Column, rules: Rules, base: bool = True) -> Column:
-    """All that is counted in one pass over a text, as a struct; without ``base`` only the histograms."""
+def metrics(text: Column, lang: Column, rules: Rules) -> Column:
+    """All that is counted in one pass over a text, as a struct."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
     def of(w):
-        counted = [F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), word_histogram(w, lang, rules).alias("words")]
-        return F.struct(*counted, *[repeat_words(w).alias("n_repeat_words")] * base)
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), word_histogram(w, lang, rules).alias("words"), repeat_words(w).alias("n_repeat_words"))
 
     symbols = F.regexp_count(text, F.lit(SYMBOL)).cast("long")
     rest = [F.regexp_count(text, F.lit(p)).cast("long").alias(k) for k, p in CLASSES.items()]
-    dup = [let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines")] * base
-    return F.struct(let(words, of).alias("w"), symbols.alias("n_symbols"), F.length(text).cast("long").alias("n_chars"), *rest, *dup)
+    dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines")
+    return F.struct(let(words, of).alias("w"), symbols.alias("n_symbols"), F.length(text).cast("long").alias("n_chars"), *rest, dup)
 
 
 def char_histogram(m: Column) -> Column:
@@ -141,10 +141,14 @@ def bare_distance(ref_words: Column) -> Column:
     return F.when(F.size(ref_words) > 1, js_distance(F.concat(F.array_repeat(F.lit(0).cast("long"), F.size(ref_words) - 1), F.array(F.lit(1).cast("long"))), ref_words))
 
 
-def _references(hist: DataFrame, rules: Rules) -> DataFrame:
-    """hist: _q_lang, _q_c, _q_h. One row a language with the sums over all its documents."""
+def _base_failed(w: Column, rules: Rules) -> Column:
+    return (w["n_words"] < rules.min_words) | (100 * w["n_repeat_words"] > rules.max_repeat_percent * w["n_words"])
+
+
+def _references(measured: DataFrame, rules: Rules) -> DataFrame:
+    """One row a language with the sums over all its documents that pass the base rules."""
     n_chars, n_words = len(CLASSES) + 3, max([0, *map(len, rules.common_words.values())]) + 1
-    sums = hist.groupBy(F.col("_q_lang").alias("ref_lang")).agg(
+    sums = measured.filter(~_base_failed(F.col("_q_m.w"), rules)).groupBy(F.col("_q_lang").alias("ref_lang")).agg(
         *[F.sum(F.get("_q_c", F.lit(i))).alias(f"c{i}") for i in range(n_chars)], *[F.sum(F.get("_q_h", F.lit(i))).alias(f"w{i}") for i in range(n_words)]
     )
     arrays = F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.array_compact(F.array(*[f"w{i}" for i in range(n_words)])).alias("ref_words")
@@ -152,14 +156,14 @@ def _references(hist: DataFrame, rules: Rules) -> DataFrame:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """One row a language: ``ref_lang``, ``ref_chars``, ``ref_words``."""
-    return _references(_measured(docs, [], text, lang, rules, base=False), rules)
+    """One row a language: ``ref_lang`` (``=`` and its name; empty for null), ``ref_chars``, ``ref_words``."""
+    return _references(_measured(docs, [], text, lang, rules), rules)
 
 
-def _measured(docs: DataFrame, columns: list[Column], text: str, lang: str, rules: Rules, base: bool = True) -> DataFrame:
+def _measured(docs: DataFrame, columns: list[Column], text: str, lang: str, rules: Rules) -> DataFrame:
     """``columns`` and what is counted, each under a name of this module's own (``_q_``)."""
-    t, code = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(lang), F.lit(""))
-    m = docs.select(*columns, code.alias("_q_lang"), metrics(t, code, rules, base).alias("_q_m"))
+    t, code = F.coalesce(F.col(text), F.lit("")), F.col(lang).cast("string")
+    m = docs.select(*columns, F.coalesce(F.concat(F.lit("="), code), F.lit("")).alias("_q_lang"), metrics(t, code, rules).alias("_q_m"))
     return m.select(*[c for c in m.columns if c != "_q_m"], "_q_m", char_histogram(F.col("_q_m")).alias("_q_c"), F.col("_q_m.w.words").alias("_q_h"))
 
 
@@ -173,14 +177,13 @@ def _verdicts(measured: DataFrame, ref: DataFrame, rules: Rules) -> DataFrame:
         .withColumn("_q_char_distance", F.coalesce(js_distance(F.col("_q_c"), F.col("ref_chars")), F.lit(0.0)))
         .withColumn("_q_word_distance", F.coalesce(js_distance(F.col("_q_h"), F.col("ref_words")), F.lit(0.0)))
     )
-    failed = (w["n_words"] < rules.min_words) | (100 * w["n_repeat_words"] > rules.max_repeat_percent * w["n_words"])
     far_words = F.col("_q_word_distance") > rules.max_word_distance
     if rules.max_bare_share is not None:  # a language without any common word in all its texts has nothing to miss
         far_words = far_words | F.coalesce((F.col("_q_bare") > 0) & (F.col("_q_word_distance") > rules.max_bare_share * F.col("_q_bare")), F.lit(False))
     far = ((m["n_chars"] >= rules.min_hist_chars) & (F.col("_q_char_distance") > rules.max_char_distance)) | (
         (w["n_words"] >= rules.min_hist_words) & far_words
     )
-    return joined.withColumn("_q_failed", failed).withColumn("_q_kept", ~failed & ~far)
+    return joined.withColumn("_q_failed", _base_failed(w, rules)).withColumn("_q_kept", ~F.col("_q_failed") & ~far)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
@@ -206,8 +209,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with exactly their own columns.
 
-    Two passes over the texts (references first), so that no text is written or shuffled.
+    Texts are split and counted once: the rows are written with their counts beside them, as references need all counts before the first verdict. Nothing is shuffled.
     """
-    ref = materialise(references(docs, text, lang, rules), "quality-reference")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row")
-    return _verdicts(_measured(docs, [whole], text, lang, rules), ref, rules).filter("_q_kept").select("_q_row.*")
+    measured = materialise(_measured(docs, [whole], text, lang, rules), "quality")
+    return _verdicts(measured, materialise(_references(measured, rules), "quality-reference"), rules).filter("_q_kept").select("_q_row.*")

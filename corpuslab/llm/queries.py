@@ -77,22 +77,26 @@ FROM x JOIN digits USING (hex)
 """
 
 
+#: A fixed word limit is out of reach of texts without common words (their distance is about 0.32); a share of each language's own such distance is not.
+OP8_RULES = quality_rules.Rules(max_bare_share=0.95)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), rules=OP8_RULES)
 
 
 def _listed(words: list[str]) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 
 
-def op8_sql(rules: quality_rules.Rules = quality_rules.Rules()) -> str:
-    lists = " ".join(f"WHEN '{k}' THEN {_listed(v)}" for k, v in sorted(rules.common_words.items()))
+def op8_sql(rules: quality_rules.Rules = OP8_RULES) -> str:
+    lists = " ".join(f"WHEN '={k}' THEN {_listed(v)}" for k, v in sorted(rules.common_words.items()))
     punctuation = quality_rules.CLASSES["punctuation"].replace("'", "''")
     js = """sqrt(greatest(0.0, 0.5 * list_sum(list_transform(range(1, len({p}) + 1), lambda i:
         CASE WHEN {p}[i] > 0 THEN {p}[i] / {sp} * log2(2 * ({p}[i] / {sp}) / ({p}[i] / {sp} + {q}[i] / {sq})) ELSE 0 END
         + CASE WHEN {q}[i] > 0 THEN {q}[i] / {sq} * log2(2 * ({q}[i] / {sq}) / ({p}[i] / {sp} + {q}[i] / {sq})) ELSE 0 END))))"""
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 tri AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
 tri2 AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM tri),
 rep AS (SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS spot FROM (SELECT r, i FROM tri2 QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
@@ -104,16 +108,17 @@ m AS (SELECT d.r, doc_id, lang, len(w) AS n_words, length(t) AS n_chars, length(
        CASE lang {lists} END AS common, list_filter(w, lambda x: list_contains(CASE lang {lists} END, x)) AS found
       FROM d LEFT JOIN rep ON rep.r = d.r JOIN l ON l.r = d.r),
 h AS (SELECT *, CAST([upper, digit, punct, n_symbols, n_chars - word_chars, n_chars - upper - digit - punct - n_symbols - (n_chars - word_chars)] AS DOUBLE[]) AS c,
-       CASE WHEN common IS NOT NULL THEN CAST(list_append(list_transform(common, lambda x: len(list_filter(found, lambda y: y = x))), n_words - len(found)) AS DOUBLE[]) END AS f FROM m),
-rc AS (SELECT lang, list(s ORDER BY i) AS rc FROM (SELECT lang, i, sum(v) AS s FROM (SELECT lang, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS i FROM h) GROUP BY lang, i) GROUP BY lang),
-rf AS (SELECT lang, list(s ORDER BY i) AS rf FROM (SELECT lang, i, sum(v) AS s FROM (SELECT lang, unnest(f) AS v, unnest(range(1, len(f) + 1)) AS i FROM h WHERE f IS NOT NULL) GROUP BY lang, i) GROUP BY lang),
+       CASE WHEN common IS NOT NULL THEN CAST(list_append(list_transform(common, lambda x: len(list_filter(found, lambda y: y = x))), n_words - len(found)) AS DOUBLE[]) END AS f,
+       n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m),
+rc AS (SELECT lang, list(s ORDER BY i) AS rc FROM (SELECT lang, i, sum(v) AS s FROM (SELECT lang, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS i FROM h WHERE NOT base_failed) GROUP BY lang, i) GROUP BY lang),
+rf AS (SELECT lang, list(s ORDER BY i) AS rf FROM (SELECT lang, i, sum(v) AS s FROM (SELECT lang, unnest(f) AS v, unnest(range(1, len(f) + 1)) AS i FROM h WHERE f IS NOT NULL AND NOT base_failed) GROUP BY lang, i) GROUP BY lang),
+bare AS (SELECT lang, {js.format(p="b", q="rf", sp="1.0", sq="list_sum(rf)")} AS bare FROM (SELECT lang, rf, list_transform(range(1, len(rf) + 1), lambda i: CASE WHEN i = len(rf) THEN 1.0 ELSE 0.0 END) AS b FROM rf)),
 j AS (SELECT h.*, CASE WHEN list_sum(c) > 0 AND list_sum(rc) > 0 THEN {js.format(p='c', q='rc', sp='list_sum(c)', sq='list_sum(rc)')} ELSE 0 END AS char_distance,
-       CASE WHEN list_sum(f) > 0 AND list_sum(rf) > 0 THEN {js.format(p='f', q='rf', sp='list_sum(f)', sq='list_sum(rf)')} ELSE 0 END AS word_distance FROM h LEFT JOIN rc USING (lang) LEFT JOIN rf USING (lang)),
-v AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM j)
+       CASE WHEN list_sum(f) > 0 AND list_sum(rf) > 0 THEN {js.format(p='f', q='rf', sp='list_sum(f)', sq='list_sum(rf)')} ELSE 0 END AS word_distance, bare FROM h LEFT JOIN rc USING (lang) LEFT JOIN rf USING (lang) LEFT JOIN bare USING (lang))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
-       NOT base_failed AND NOT (n_chars >= {rules.min_hist_chars} AND char_distance > {rules.max_char_distance}) AND NOT (n_words >= {rules.min_hist_words} AND word_distance > {rules.max_word_distance}) AS kept
-FROM v
+       NOT base_failed AND NOT (n_chars >= {rules.min_hist_chars} AND char_distance > {rules.max_char_distance}) AND NOT (n_words >= {rules.min_hist_words} AND (word_distance > {rules.max_word_distance} OR coalesce(bare > 0 AND word_distance > {rules.max_bare_share} * bare, false))) AS kept
+FROM j
 """
 
 
