@@ -1,14 +1,16 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
 A text's tokens (split at white space) are terms: each lower-cased word in them that is in the vocabulary, the token's shape (``Xx``, ``XX!!``, ``x***``, ``|`` and so on), and ``=``
-where a token repeats the one before. Words and tokens over ``PIECE`` characters count as pieces of so many, and shapes over ``SIGNS`` signs as pieces of so many, each a term. Every term has a sparse random index vector drawn from a hash of its name; its word vector is the sum of the index vectors of
-terms found within two tokens in the sample (shapes for shapes and words), of length 1. A document is the mean of its terms' vectors; the
+where a token repeats the one before. Words and tokens over ``PIECE`` characters count as pieces of so many, and shapes over ``SIGNS`` signs as pieces of so many, each a term. Every
+term has a sparse random index vector drawn from a hash of its name. A term's context vector is the sum of the index vectors of terms found within two tokens in the sample; its word
+vector is the context vector at length 1 plus its own index vector at length 1 (without that, all terms share one direction and differ little). ``=`` is in others' contexts but has
+none itself: its word vector is its index vector at length 1 plus that again. A document is the mean of its terms' vectors; the
 network (tanh, then logistic) is trained on these by Adam, and one temperature, fitted on a part of the sample that the network does not see, scales its logit.
 
-Bounds of the fit: ``rows`` labelled rows, ``vocabulary`` words and ``shapes`` shapes. Scoring reads every whole text.
+Bounds of the fit: ``rows`` labelled rows of at most ``max_chars`` characters, ``vocabulary`` words and ``shapes`` shapes. Scoring reads every whole text.
 
 Cases: null and empty texts are the zero vector and get its score. With labels of one class only, every score is that class's share (0.5 without labels). Repeated
-rows each get the same score. Extra columns are not read.
+rows each get the same score; a score equal to the threshold (a tie) is predicted 1. Long texts are scored whole. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

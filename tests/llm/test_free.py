@@ -263,6 +263,82 @@ def test_held_out_labels_are_not_read(spark):
     assert sorted(toxicity.score(docs, labels).collect()) == sorted(toxicity.score(docs, turned).collect())
 
 
+def test_held_out_quality_labels_are_not_read(spark):
+    docs, labels, _ = labelled(spark, 200, lambda i: prose(30, i), lambda i: prose(30, i).upper(), 3)
+    from pyspark.sql import functions as F
+
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(quality_model.score(docs, labels).collect()) == sorted(quality_model.score(docs, turned).collect())
+
+
+def test_samples(spark):
+    from corpuslab.llm.sample import training_sample, unlabelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (i % 7) + f" {i}") for i in range(400)] + [(None, "none"), (3, "again"), (900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200)] + [(4, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    known = training_sample(docs, labels, "toxic", 4, 2, 10_000, 9).to_pylist()
+    want = Counter((t, max(i % 2, int(i == 4))) for i, t in [(i, "x" * (i % 7) + f" {i}") for i in range(200)] + [(3, "again")] if fold(i) != 2 and len(t) <= 9)
+    assert Counter((r["text"], r["label"]) for r in known) == want
+    free = unlabelled_sample(docs, labels, "toxic", 4, 2, 10_000, 9).to_pylist()
+    assert Counter(r["text"] for r in free) == Counter(t for i, t in [(i, "x" * (i % 7) + f" {i}") for i in range(200, 400)] if fold(i) != 2 and len(t) <= 9)
+    short = training_sample(docs, labels, "toxic", 4, 2, 20, 7)  # long texts are out before rows are counted
+    assert short.num_rows == 20 and unlabelled_sample(docs, labels, "toxic", 4, 2, 20, 7).num_rows == 20
+
+
+def test_risk_equals_plain_restatement():
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for prior in (0.1, 0.6):
+        f = r.normal(0, 2, 12)
+        p, u = np.array([1.0] * 4 + [0.0] * 8) / 4, np.ones(12) / 12
+
+        def plain(f):
+            loss = lambda z: math.log(1 + math.exp(-z))
+            pos = sum(loss(f[i]) for i in range(4)) / 4
+            rest = sum(loss(-z) for z in f) / 12 - prior * sum(loss(-f[i]) for i in range(4)) / 4
+            return prior * pos, rest
+
+        value, g = toxicity.risk(f, p, u, prior)
+        pos, rest = plain(f)
+        assert math.isclose(value, pos + max(0, rest))
+        for i in range(12):
+            h = np.zeros(12)
+            h[i] = 1e-6
+            (pa_, ra), (pb, rb) = plain(f + h), plain(f - h)
+            slope = (pa_ + ra - pb - rb) / 2e-6 if rest >= 0 else -(ra - rb) / 2e-6
+            assert abs(g[i] - slope) < 1e-6
+    assert any(toxicity.risk(z := r.normal(3, 1, 12) * np.array([1] * 4 + [-9] * 8), p, u, 0.6)[0] == 0.6 * (p @ np.logaddexp(0, -z)) for _ in range(50))  # the turned side was there
+    x = toxicity.Rows([np.array([0, 2]), np.array([], int), np.array([1])], 4)
+    assert x.times(np.array([1.0, 2, 4, 8])).tolist() == [5, 0, 2] and x.back(np.array([1.0, 2, 3])).tolist() == [1, 3, 1, 0]
+
+
+def test_word_vectors_equal_plain_restatement():
+    import numpy as np
+
+    s = quality_model.Settings(vocabulary=6, shapes=3, dimensions=16)
+    texts = ["Alpha beta beta gamma", "delta alpha, BETA alpha gamma!!", "x"]
+    place, vectors = quality_model.word_vectors(texts, s)
+    index = {t: quality_model.index_vector(t, s) for t in place}
+    terms = lambda token: [t for t in [*("w:" + w for w in quality_model.words_of(token)), *("s:" + x for x in quality_model.shapes_of(token))] if t in place]
+    context = {t: index[t].astype(float) for t in place}
+    for text in texts:
+        tokens = text.split()
+        near = [sum((index[t] for t in terms(tok)), np.zeros(16)) + (index["="] if k and tokens[k - 1] == tok else 0) for k, tok in enumerate(tokens)]
+        for k, tok in enumerate(tokens):
+            for t in set(terms(tok)):
+                for j in range(max(0, k - 2), min(len(tokens), k + 3)):
+                    context[t] += near[j] if j != k else 0
+    for t, i in place.items():
+        want = context[t] / max(np.linalg.norm(context[t]), 1e-6) + index[t] / np.sqrt(s.nonzero)
+        assert np.allclose(vectors[i], want, atol=1e-5), t
+    w = quality_model.train(x := np.random.default_rng(1).normal(size=(60, 16)), y := (x[:, 0] > 0).astype(float), s)
+    assert (((np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]) > 0) == y).mean() > 0.95
+
+
 def brute_set(text, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
