@@ -64,16 +64,18 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 x AS (SELECT page_id, h, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
 digits AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n >> s) & 31 AS BIGINT) + 1, 1), '' ORDER BY k, s DESC) AS payload_digest
-  FROM (SELECT hex, k, CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) AS n, unnest([15, 10, 5, 0]) AS s FROM (SELECT DISTINCT hex, unnest(range(8)) AS k FROM x)) GROUP BY hex)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM x JOIN digits USING (hex)
+  FROM (SELECT hex, k, CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) AS n, unnest([15, 10, 5, 0]) AS s FROM (SELECT DISTINCT hex, unnest(range(8)) AS k FROM x)) GROUP BY hex),
+u AS (SELECT page_id, string_split(lower(regexp_replace(url, '#.*', '')), '://')[2] AS rest FROM pages),
+k AS (SELECT page_id, row_number() OVER (ORDER BY array_to_string(list_reverse(string_split(regexp_extract(rest, '^[^/?]*'), '.')), ',') || ')' || regexp_extract(rest, '^[^/?]*(.*)$', 1), page_id) - 1 AS position FROM u)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, position
+FROM x JOIN digits USING (hex) JOIN k USING (page_id)
 """
 
 

@@ -5,15 +5,17 @@ others are ``revisit`` records that name it and hold no payload; smaller ones ar
 writer with a record's end as its line end, so they go to any store that Spark can write.
 
 ``read`` parses archives by Content-Length, checks each payload against its digest and sorts the index lines of each file: a capture run.
-``merge_runs`` deals the runs' lines by ranges of (URL key, timestamp, id) and merges the runs' parts in each range with a loser tree, which gives globally
-ordered capture histories. Runs are taken as they arrive; where one is not in order, it is two runs to the merge.
+``merge_runs`` deals the runs' lines by ranges of (URL key, timestamp, id, place) and merges the runs' parts in each range with a loser tree, which gives globally
+ordered capture histories; ``position`` is a line's place in them. Runs are taken as they arrive; where one is not in order, it is two runs to the merge.
 
 Cases: null html is an empty payload, a null URL an empty target; a null page id comes back as null, and is a revisit where an equal payload has an id. Repeated
-rows: all with the smallest id are responses. Line ends within URLs are percent-encoded. An empty table gives an empty index. Extra columns are not read.
+rows: all with the smallest id are responses. Ties of URL, time and id are ordered by file and offset. Line ends within URLs are percent-encoded. An empty table gives an empty index.
+Extra columns are not read.
 
 Scale: payloads are never shuffled while the digests that several pages share can be broadcast (counted first); beyond that they are joined, and Spark's skew
-join splits a digest that a third of all pages share. A merge task holds the index lines of one range (``lines_a_range`` on average), never payloads;
-equal URLs are told apart by time and id, so a URL with a third of all captures spans many ranges.
+join splits a digest that a third of all pages share. A file has ``file_bytes`` bytes at most, or one larger record, so no more than that is held to read it. A merge task holds the
+index lines of one range (``lines_a_range`` on average, some 300 bytes each), never payloads; no two lines have the same place, so neither a URL with a third of all captures nor repeated
+rows make a range longer.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, shared_dir, small
+from .common import BROADCAST_ROWS, bounded_batches, materialise, shared_dir, small
 
 # Names of the format.
 VERSION = "WARC/1.1"
@@ -37,7 +41,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 
 INDEX = "urlkey string, ts string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, offset long, length long"
-KEY = ["urlkey", "ts", "page_id"]
+KEY = ["urlkey", "ts", "page_id", "file", "offset"]
 
 
 def base32(hex_digest: Column) -> Column:
@@ -104,9 +108,24 @@ def _record(r: DataFrame) -> Column:
     return F.concat(F.concat_ws("\r\n", *head), F.lit(END), block)
 
 
-def write(recs: DataFrame, path: str, records_a_file: int = 2_000) -> None:
-    """One archive a task and ``records_a_file`` records."""
-    recs.select(_record(recs).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
+def write(recs: DataFrame, path: str, file_bytes: int = 32 << 20) -> None:
+    """Archives of at most ``file_bytes`` bytes, or of one larger record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if held and size + n > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(held)])], ["value"])
+                    held, size = [], 0
+                held.append(record.as_py())
+                size += n + len(END)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(held)])], ["value"])
+
+    with bounded_batches(recs.sparkSession):
+        records = recs.select(_record(recs).alias("record")).select("record", F.octet_length("record").alias("n"))
+        records.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
 def url_key(url: str) -> str:
@@ -145,15 +164,15 @@ def parse(name: str, data: bytes) -> list[tuple]:
 
 
 def _order(line) -> tuple:
-    return line[0], line[1], (line[2] is not None, line[2] or 0)
+    return line[0], line[1], (line[2] is not None, line[2] or 0), line[8], line[9]
 
 
 NAMES = [c.split()[0] for c in INDEX.split(", ")]
 KINDS = [pa.int64() if c.endswith(" long") else pa.string() for c in INDEX.split(", ")]
 
 
-def _batch(lines: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in lines], kind) for i, kind in enumerate(KINDS)], NAMES)
+def _batch(lines: list[tuple], **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in lines], kind) for i, kind in enumerate(KINDS)], *more.values()], [*NAMES, *more])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -224,30 +243,35 @@ def natural_runs(lines: Iterator[tuple], key) -> list[list[tuple]]:
 
 
 def merge_runs(index: DataFrame, lines_a_range: int = 100_000) -> DataFrame:
-    """Index lines in global order: partition by partition, and within each."""
+    """Index lines in global order, partition by partition and within each, with their ``position`` from 0."""
     n = max(1, -(-index.count() // lines_a_range))
     file = NAMES.index("file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
         by_file: dict[str, list[tuple]] = {}
         for batch in batches:
             for x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 by_file.setdefault(x[file], []).append(x)
         runs = [r for lines in by_file.values() for r in natural_runs(lines, _order)]
-        chunk: list[tuple] = []
-        for x in LoserTree(runs, _order):
-            chunk.append(x)
-            if len(chunk) == 10_000:
-                yield _batch(chunk)
-                chunk = []
-        yield _batch(chunk)
+        merged, done = iter(LoserTree(runs, _order)), 0
+        while chunk := list(islice(merged, 10_000)):
+            at = pa.array(range(done, done + len(chunk)), pa.int64())
+            yield _batch(chunk, range=pa.array([place] * len(chunk), pa.int32()), at=at)
+            done += len(chunk)
 
-    return index.select(*NAMES).repartitionByRange(n, *KEY).mapInArrow(run, INDEX)
+    merged = materialise(index.select(*NAMES).repartitionByRange(n, *KEY).mapInArrow(run, f"{INDEX}, range int, at long"), "merged")
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("range", before.alias("before"))
+    return merged.join(F.broadcast(sizes) if n <= BROADCAST_ROWS else sizes, "range").select(*NAMES, (F.col("before") + F.col("at")).alias("position"))
 
 
-def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, file_bytes: int = 32 << 20, **options) -> DataFrame:
     """Writes the pages' records to ``path`` (default: a new shared folder), reads them back and returns the merged index."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
-    write(records(pages, **options), path)
-    return merge_runs(materialise(read(spark, path), "capture-runs"))
+    write(records(pages, **options), path, file_bytes)
+    with bounded_batches(spark, rows=4, size=64 << 20):
+        runs = materialise(read(spark, path), "capture-runs")
+    return merge_runs(runs)

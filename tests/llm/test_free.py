@@ -71,6 +71,16 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_awkward(spark):
+    long = "http://x.org/" + "spa/" * 50_000 + "free-" * 3 + "xpills"
+    rows = [(1, long), (1, long), (2, long + "/win"), (None, "http://x.org/casino"), (3, "HTTP://X.ORG/CASINO"), (4, None), (5, "http://x.org/wetten?gratis")]
+    got = Counter((r.page_id, r.verdict, tuple(r.strict), tuple(r.soft)) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got == Counter({(1, "allow", (), ("free",)): 2, (2, "block", (), ("free", "win")): 1, (None, "block", ("casino",), ()): 1, (3, "block", ("casino",), ()): 1, (4, "allow", (), ()): 1, (5, "block", (), ("gratis", "wetten")): 1})
+    heavy = url_filter.Vocabulary(["bad"], ["odd", "poor"], 3, {"odd": 2})
+    judged = lambda url: url_filter.Judge([], heavy)(url)[3]
+    assert [judged(u) for u in ("odd", "odd/odd", "odd/poor", "poor", "bad")] == ["allow", "allow", "block", "allow", "block"]
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in range(9):
@@ -94,8 +104,8 @@ def test_warc(spark, tmp_path):
         data, first = (h or "").encode(), least[h or ""]
         want[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == first else "revisit", None if i == first else first] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
-    keys = [(r.urlkey, r.ts) for r in got]
-    assert keys == sorted(keys)
+    keys = [(r.urlkey, r.ts) for r in sorted(got, key=lambda r: r.position)]
+    assert keys == sorted(keys) and sorted(r.position for r in got) == [*range(len(rows))]
     one = next(r for r in got if r.page_id == 3)
     with open(one.file.removeprefix("file:"), "rb") as f:
         f.seek(one.offset)
@@ -105,6 +115,21 @@ def test_warc(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_bounds_files_and_ranges(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    pages = spark.range(40, numPartitions=3).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/"), F.col("id") % 4).alias("url"), F.repeat(F.col("id").cast("string"), 1 << 20).alias("html"))
+    pages = pages.unionByName(pages.limit(1).crossJoin(spark.range(30).select(F.lit(1).alias("_"))).select("page_id", "url", "html"))  # one capture many times
+    index = warc.archive(pages, f"file://{tmp_path}/w", file_bytes=5 << 20)
+    sizes = [os.path.getsize(f"{tmp_path}/w/{f}") for f in os.listdir(tmp_path / "w") if f.startswith("part-")]
+    assert max(sizes) <= 6 << 20 and len(sizes) >= 10
+    got = warc.merge_runs(index.drop("position"), lines_a_range=9).orderBy("position").collect()
+    keys = [(r.urlkey, r.ts, r.page_id, r.file, r.offset) for r in got]
+    assert keys == sorted(keys) and [r.position for r in got] == [*range(70)] and {r.payload_bytes for r in got} == {1 << 20, 2 << 20}
+
+
 def test_warc_finds_damage():
     with pytest.raises(ValueError):
         warc.parse("f", b"nonsense")
