@@ -110,6 +110,21 @@ def test_decontamination(spark):
     assert cut[20] == "a  b" and cut[22] == "" and cut[24] == texts[4][1]
 
 
+def test_short_items_meet_their_own_words_only(spark):
+    """A one-word item does not make longer items meet every place of their first word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.createDataFrame([(1, "the"), (2, "the quite unheard of"), (3, "Of the"), (4, "of"), (5, prose(13, 3))], "item_id long, text string")
+    hits, grams = decontamination.occurrences(docs, bench)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan and "Python" not in plan and "Arrow" not in plan and "SortMergeJoin" not in plan
+    words = [TOKEN.findall((r.text or "").lower()) for r in docs.select("text").collect()]
+    ends = lambda g: sum(tuple(w[k : k + len(g)]) == g for w in words for k in range(len(w)))
+    named = {r.gram_id: tuple(r.gram) for r in grams.collect()}
+    got = Counter(named[r.gram_id] for r in hits.select("gram_id").collect())
+    assert got == +Counter({g: ends(g) for g in named.values()}) and got[("the",)] > 0
+    assert decontamination.report(docs, bench).filter("size(items) > 3").count() == 0
+
+
 def test_decontamination_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = awkward(spark)
