@@ -8,7 +8,8 @@ makes characters of them, so characters split over tokens come back whole; a lis
 Memory: a text is encoded in slices cut before white space that follows other characters, where a piece of the pattern ends in any case; a batch
 is encoded some hundred thousand characters at a time.
 
-Cases: null texts count as empty; empty texts have no tokens. Null ids are null texts; unknown ids are an error. Repeated rows each get the same. Extra
+Cases: null texts count as empty; empty texts have no tokens. Null ids are null texts; unknown ids are an error. Repeated rows each get the same. A long text without such white space
+is one slice. Ties: of equal ranks there are none. An empty table gives an empty result. Extra
 columns pass through ``encode`` and ``decode``; an output column of theirs that clashes is an error told before the job starts.
 """
 

@@ -7,7 +7,8 @@ as one page: a page fetched a thousand times is no evidence that its lines are b
 Lines are compared without blanks at their ends; blank lines are kept and never counted.
 
 Cases: a null host is a host of its own; a null text stays null and counts as a page without lines; a page whose lines all go stays, with its
-blank lines only. Repeated rows each get the same result. Extra columns pass through ``drop_boilerplate``.
+blank lines only. Repeated rows each get the same result. A share equal to the limit (a tie) keeps the line. Long texts are read whole. An empty table gives an empty result. Extra
+columns pass through ``drop_boilerplate``.
 
 Scale: a page's distinct lines become (host, line, page) hashes of 64 bits each, which are counted in two steps (first distinct pages within a map
 task and line, then by line), so that a host with a third of all pages, or a line that all have, is combined before it is shuffled. No text is
@@ -51,12 +52,18 @@ def _marked(docs: DataFrame, columns: list[Column], host: str, text: str, max_sh
     by_host = found.groupBy("h").agg(F.collect_set("line").alias("_l_drop"))
     by_host = F.broadcast(by_host) if small(found, BROADCAST_ROWS) else by_host
     placed = docs.select(*columns, _host(host).alias("_l_host"), F.col(text).alias("_l_text")).join(by_host, F.col("_l_host") == F.col("h"), "left")
-    lines = _lines(F.col("_l_text"))
-    kept = F.filter(lines, lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) == 0) | ~F.array_contains(F.col("_l_drop"), _line_key(x)))
-    cleaned = F.when(F.col("_l_drop").isNull(), F.struct(F.col("_l_text").alias("text"), F.lit(0).alias("dropped"))).otherwise(
-        let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(lines) - F.size(k)).alias("dropped")))
-    )
-    return placed.withColumn("_l_out", F.when(F.col("_l_text").isNotNull(), cleaned))
+    whole = F.struct(F.col("_l_text").alias("text"), F.lit(0).alias("dropped"))
+
+    def cleaned(lines):
+        def without(bad):
+            kept = F.filter(lines, lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) == 0) | ~F.array_contains(bad, _line_key(x)))
+            cut = let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(lines) - F.size(k)).alias("dropped")))
+            return F.when(F.size(bad) == 0, whole).otherwise(cut)
+
+        return let(F.array_intersect(F.transform(lines, _line_key), F.col("_l_drop")), without)  # by hash: most pages have few or none of them
+
+    out = F.when(F.col("_l_drop").isNull(), whole).otherwise(let(_lines(F.col("_l_text")), cleaned))
+    return placed.withColumn("_l_out", F.when(F.col("_l_text").isNotNull(), out))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_share: float = 0.1, min_pages: int = 3, length: str | None = "n_chars") -> DataFrame:

@@ -500,6 +500,24 @@ def test_pipeline(spark):
     assert got.count() == last.count() > 0
 
 
+def test_pipeline_takes_awkward_rows(spark):
+    """Null, empty, long, repeated rows and clashing columns through every stage, each on all rows and on what its predecessor kept."""
+    import corpus_pipeline
+
+    rows, docs = [r[0] for r in AWKWARD], awkward(spark)
+    alone = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    assert all(out.columns == docs.columns for name, out in alone.items() if name != "bpe")
+    ids = {name: Counter(r.doc_id for r in out.collect()) for name, out in alone.items()}
+    assert {*ids["quality_rules"]} <= {6, 8, 9, None} and ids["line_dedup"] == ids["decontamination"] == ids["bpe"] == Counter(rows) and ids["near_dup"] == Counter(i for i in rows if i != 9)
+    last = docs
+    for name, stage in corpus_pipeline.STAGES:
+        last = stage(spark, last, SF).cache()
+        assert {r.doc_id for r in last.select("doc_id").collect()} <= {*rows}, name
+    assert {r.doc_id for r in last.collect()} >= {6, 8}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing(spark), SF).count() == 0, name
+
+
 def test_pipeline_stages_equal_brute_force(spark, reference):
     """The stages that SQL can't express, each on its own input."""
     import corpus_pipeline
