@@ -21,23 +21,27 @@ MAX_LINE_SHARE = 0.01
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, as they are. Null and empty texts fail the base rule; repeated rows are judged alike; an empty table stays empty."""
     return quality_rules.keep_good(docs, rules=QUALITY)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that too many pages of their source have; ``n_chars`` follows changed texts. Null texts stay null, a null source is a host of its own."""
     return line_dedup.drop_boilerplate(docs, max_share=MAX_LINE_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id. Documents without words or without an id all stay, and so do repeated rows of the kept one."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those of whose words a twentieth or more lie in windows of the benchmark. Null and empty texts stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; null texts count as empty."""
     return bpe.digests(docs)
 
 
