@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ROWS_A_FILE = 250_000
+ROWS_A_FILE = 100_000
 """Of a narrow table."""
 BROADCAST_ROWS = 200_000
 """A side is broadcast only if it is counted and has at most so many (small, fixed-width) rows."""
@@ -52,6 +53,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hold_for(result: DataFrame, held: DataFrame) -> DataFrame:
+    """``result``, for which ``held`` stays on the executors' disks until nothing in Python refers to it; what reads it later computes ``held`` again."""
+    weakref.finalize(result, held.unpersist).atexit = False
+    return result
+
+
 class Scratch:
     """Intermediates that nothing reads any more once the operator has written its result.
 

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, small
+from .common import hold_for, let, materialise, settings, small
 
 # The most common function words of four languages.
 COMMON_WORDS = {
@@ -186,13 +187,18 @@ def _verdicts(measured: DataFrame, ref: DataFrame, rules: Rules) -> DataFrame:
     return joined.withColumn("_q_failed", _base_failed(w, rules)).withColumn("_q_kept", ~F.col("_q_failed") & ~far)
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """Per document: the base metrics, both distances, ``base_failed`` and ``kept``.
+def _judged(docs: DataFrame, columns: list[Column], text: str, lang: str, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(measured rows, rows with verdicts). Texts are split and counted once: references need all counts before the first verdict, so ``columns`` are held with their counts beside them."""
+    measured = _measured(docs, columns, text, lang, rules).persist(StorageLevel.DISK_ONLY)
+    with settings(docs.sparkSession, {"spark.sql.inMemoryColumnarStorage.compressed": "false"}):
+        ref = materialise(_references(measured, rules), "quality-reference")
+    return measured, _verdicts(measured, ref, rules)
 
-    Texts are read once: their counts (some forty integers a document) are written, and references and verdicts come from those.
-    """
-    measured = materialise(_measured(docs, [F.col(doc_id).alias("_q_id")], text, lang, rules), "quality")
-    return _verdicts(measured, materialise(_references(measured, rules), "quality-reference"), rules).select(
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """Per document: the base metrics, both distances, ``base_failed`` and ``kept``. Some forty integers a document are held until the result goes."""
+    measured, judged = _judged(docs, [F.col(doc_id).alias("_q_id")], text, lang, rules)
+    out = judged.select(
         F.col("_q_id").alias("doc_id"),
         F.col("_q_m.w.n_words").alias("n_words"),
         F.col("_q_m.w.word_chars").alias("word_chars"),
@@ -204,13 +210,11 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         F.round("_q_word_distance", 6).alias("word_distance"),
         F.col("_q_kept").alias("kept"),
     )
+    return hold_for(out, measured)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The documents that the rules keep, with exactly their own columns.
-
-    Texts are split and counted once: the rows are written with their counts beside them, as references need all counts before the first verdict. Nothing is shuffled.
-    """
+    """The documents that the rules keep, with exactly their own columns. Rows are held with their counts until the result goes; nothing is shuffled."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row")
-    measured = materialise(_measured(docs, [whole], text, lang, rules), "quality")
-    return _verdicts(measured, materialise(_references(measured, rules), "quality-reference"), rules).filter("_q_kept").select("_q_row.*")
+    measured, judged = _judged(docs, [whole], text, lang, rules)
+    return hold_for(judged.filter("_q_kept").select("_q_row.*"), measured)
