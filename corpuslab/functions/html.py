@@ -69,56 +69,74 @@ def links(html: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(raw, lambda x: ~x.rlike("(?i)^(mailto|javascript|tel):")), absolute))
 
 
+def selected(html: Column, selector: str) -> Column:
+    """Text up to the next tag of the first element with a digit there that a selector names; empty if there is none."""
+    inside = r"[^>]*>([^<]*\d[^<]*)"
+    classed = lambda tag, name: rf"""<{tag}\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["']"""
+    if m := re.fullmatch(r'meta\[property="(\w+)"\]', selector):
+        return F.coalesce(meta(html, m[1]), F.lit(""))
+    if m := re.fullmatch(r'(\w+)\[([\w-]+)="(\w+)"\]', selector):
+        pattern = rf"""<{m[1]}\b[^>]*\b{m[2]}\s*=\s*["']{m[3]}["']""" + inside
+    elif m := re.fullmatch(r"(\w+)\.([\w-]+) (\w+)", selector):
+        pattern = classed(m[1], m[2]) + rf"[^>]*>(?:(?!</{m[1]}\b).)*?<{m[3]}\b" + inside
+    else:
+        tag, name = selector.split(".")
+        pattern = classed(tag or r"\w+", name) + inside
+    return F.regexp_extract(html, "(?is)" + pattern, 1)
+
+
 def engagement(html: Column) -> Column:
     """struct of comment, like, share and view counts: JSON-LD, meta, classes, data attributes; null if not found."""
     h = filled(html)
+    found = lambda c: F.nullif(c, F.lit(""))
 
     def statistic(kind):
         block = r"""(?is)"interactionType"\s*:\s*"?[^,}]*%s[^,}]*,[^}]*?"userInteractionCount"\s*:\s*"?([\d.,kKmM]+)""" % kind
-        return F.nullif(F.regexp_extract(h, block, 1), F.lit(""))
+        return found(F.regexp_extract(h, block, 1))
 
-    def classed(names):
-        # the text of the element, up to its next tag
-        found = [F.regexp_extract(h, rf"""(?is)<\w+[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{n}(?:\s[^"']*)?["'][^>]*>([^<]*\d[^<]*)""", 1) for n in names]
-        return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    def listed(kind):
+        return [found(selected(h, s)) for s in L.COUNT_SELECTORS[kind]]
 
     def data(name):
-        return F.nullif(F.regexp_extract(h, rf"""(?is)<\w+[^>]*\bdata-{name}\s*=\s*["']([^"']*\d[^"']*)""", 1), F.lit(""))
+        return found(F.regexp_extract(h, rf"""(?is)<\w+[^>]*\bdata-{name}\s*=\s*["']([^"']*\d[^"']*)""", 1))
 
-    own = F.nullif(F.regexp_extract(h, r"""(?is)"commentCount"\s*:\s*"?([\d.,kKmM]+)""", 1), F.lit(""))
-    comment = F.coalesce(statistic("Comment"), own, meta(h, "commentCount"), classed(["comments-count", "comment-count", "num-comments", "comentarios", "num-comentarios"]), data("comments"), classed(["disqus-comment-count"]))
-    like = F.coalesce(statistic("Like"), classed(["like-count", "likes-count", "num-likes", "fb-like-count", "reaction-count"]))
-    share = F.coalesce(statistic("Share"), classed(["share-count", "shares-count", "num-shares", "social-count", "shared-count", "compartir-count", "veces-compartido"]), data("shares"))
-    view = classed(["view-count", "views-count", "num-views", "post-views", "entry-views", "visitas"])
+    own = found(F.regexp_extract(h, r"""(?is)"commentCount"\s*:\s*"?([\d.,kKmM]+)""", 1))
+    comment = F.coalesce(statistic("Comment"), own, meta(h, "commentCount"), *listed("comments"), data("comments"))
+    like = F.coalesce(statistic("Like"), *listed("likes"))
+    share = F.coalesce(statistic("Share"), *listed("shares"), data("shares"))
+    view = F.coalesce(*listed("views"))
     # the first text with a digit counts, and is read once
     return F.struct(*[let(c, parse_count).alias(f"{n}_count") for n, c in (("comment", comment), ("like", like), ("share", share), ("view", view))])
 
 
 class _Text(HTMLParser):
-    """Text of a page, or of the first element that a selector (at most two simple parts) names."""
+    """Text of a page, and of the first element that each selector (at most two simple parts) names, in one pass."""
 
-    def __init__(self, selector: str | None = None):
+    def __init__(self, selectors: list[str] = ()):
         super().__init__(convert_charrefs=True)
-        self.want = selector.split() if selector else None
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped, wanted
-        self.parts: list[str] = []
-        self.done = False
+        self.wants = [s.split() for s in selectors]
+        self.stack: list[tuple[str, bool, frozenset[int]]] = []  # tag, dropped, selectors it is within
         self.open: list[tuple[str, str, str]] = []
+        self.parts: list[str] = []
+        self.found: list[list[str]] = [[] for _ in self.wants]
+        self.done: set[int] = set()
 
     @staticmethod
-    def _is(part: str, tag: str, classes: str, own: str) -> bool:
-        return part[1:] in classes.split() if part[0] == "." else own == part[1:] if part[0] == "#" else tag == part
+    def _is(part: str, tag: str, classes: list[str], own: str) -> bool:
+        return part[1:] in classes if part[0] == "." else own == part[1:] if part[0] == "#" else tag == part
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
         a = dict(attrs)
-        classes, own = a.get("class") or "", a.get("id") or ""
-        dropped, wanted = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, self.want is None)
-        if not wanted and not self.done and self.want and self._is(self.want[-1], tag, classes, own):
-            wanted = len(self.want) == 1 or any(self._is(self.want[0], *o) for o in self.open)
-        dropped = dropped or tag in NO_TEXT or bool(NAVIGATION.search(own)) or any(NAVIGATION.search(c) for c in classes.split())
-        self.stack.append((tag, dropped, wanted))
+        classes, own = (a.get("class") or "").split(), a.get("id") or ""
+        dropped, within = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, frozenset())
+        more = [
+            i for i, want in enumerate(self.wants)
+            if i not in within and i not in self.done and self._is(want[-1], tag, classes, own) and (len(want) == 1 or any(self._is(want[0], *o) for o in self.open))
+        ]
+        dropped = dropped or tag in NO_TEXT or bool(NAVIGATION.search(own)) or any(NAVIGATION.search(c) for c in classes)
+        self.stack.append((tag, dropped, within | {*more} if more else within))
         self.open.append((tag, classes, own))
 
     def handle_endtag(self, tag):
@@ -126,21 +144,19 @@ class _Text(HTMLParser):
             if self.stack[k][0] == tag:
                 before = self.stack[-1][2]
                 del self.stack[k:], self.open[k:]
-                if self.want and before and not (self.stack and self.stack[-1][2]):
-                    self.done = True
+                self.done |= before - (self.stack[-1][2] if self.stack else frozenset())
                 return
 
     def handle_data(self, data):
-        dropped, wanted = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, self.want is None)
-        if wanted and not dropped and not self.done:
+        dropped, within = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, frozenset())
+        if not dropped:
             self.parts.append(data)
+            for i in within - self.done:
+                self.found[i].append(data)
 
 
-def page_text(html: str | None, selector: str | None = None) -> str:
-    p = _Text(selector)
-    p.feed(html or "")
-    p.close()
-    text = re.sub(r"<[^>]+>", "", "\n".join(p.parts))
+def _cleaned(parts: list[str]) -> str:
+    text = re.sub(r"<[^>]+>", "", "\n".join(parts))
     for phrase in L.BOILERPLATE:
         text = text.replace(phrase, "")
     text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", unicodedata.normalize("NFC", text))
@@ -148,8 +164,20 @@ def page_text(html: str | None, selector: str | None = None) -> str:
     return "\n".join(x.strip() for x in re.sub(r"\n{3,}", "\n\n", text).split("\n")).strip()
 
 
+def _parsed(html: str | None, selectors: list[str] = ()) -> _Text:
+    p = _Text(selectors)
+    p.feed(html or "")
+    p.close()
+    return p
+
+
+def page_text(html: str | None) -> str:
+    return _cleaned(_parsed(html).parts)
+
+
 def article_text(html: str | None, selectors: list[str], least: int = 100) -> str:
-    return next((t for s in selectors if len(t := page_text(html, s)) > least), None) or page_text(html)
+    p = _parsed(html, selectors)
+    return next((t for found in p.found if len(t := _cleaned(found)) > least), None) or _cleaned(p.parts)
 
 
 @F.pandas_udf(T.StringType())

@@ -26,11 +26,15 @@ def cross(df: DataFrame, a: str, b: str, no_a: str, no_b: str) -> DataFrame:
 
 
 def examples(df: DataFrame, label: str, order: list[str]) -> DataFrame:
-    """First, middle (n // 2) and last row of each label, each row once."""
+    """First, middle (n // 2) and last row of each label, each row once. ``order`` tells a label's rows apart.
+
+    Only labels and orders are ranked; the rows that are shown are found by them.
+    """
     by = Window.partitionBy(label)
-    placed = df.withColumns({"_i": F.row_number().over(by.orderBy(*order)) - 1, "_n": F.count("*").over(by)})
+    placed = df.select(label, *order).withColumns({"_i": F.row_number().over(by.orderBy(*order)) - 1, "_n": F.count("*").over(by)})
     which = F.when(F.col("_i") == 0, "first").when(F.col("_i") == F.floor(F.col("_n") / 2), "middle").when(F.col("_i") == F.col("_n") - 1, "last")
-    return placed.withColumn("which", which).filter("which is not null").drop("_i", "_n")
+    shown = placed.withColumn("which", which).filter("which is not null").drop("_i", "_n")
+    return df.join(shown, [label, *order]).select(*df.columns, "which")
 
 
 def nested(df: DataFrame, a: str, b: str, weight: str, text: str, most: int = 20) -> DataFrame:

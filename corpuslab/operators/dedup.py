@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from .scratch import saved
 
 
 def first(df: DataFrame, keys: list[Column], order: list[Column], exempt: Column | None = None) -> DataFrame:
-    """The first row of each key; rows for which ``exempt`` holds all stay."""
-    rank = F.row_number().over(Window.partitionBy(*keys, *([F.when(exempt, F.struct(*order))] if exempt is not None else [])).orderBy(*order))
-    kept = df.withColumn("_rank", rank)
-    return kept.filter((F.col("_rank") == 1) if exempt is None else (F.col("_rank") == 1) | exempt).drop("_rank")
+    """The first row of each key; rows for which ``exempt`` holds all stay. ``order`` tells any two rows of a key apart.
+
+    Spark ranks within map tasks first, so a task passes on one row a key, however many rows have it; exempt rows are not ranked at all.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if exempt is None:
+        return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+    free = F.coalesce(exempt, F.lit(False))
+    return first(df.filter(~free), keys, order).unionAll(df.filter(free))
+
+
+def earlier(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Adds ``_earlier``: a row before it has the same key. Rows with a null key have none before them.
+
+    Firsts are found by a minimum that is combined in map tasks; rows meet them by key, and those without a key are dealt out by their order.
+    """
+    o = F.struct(*order)
+    firsts = df.select(key.alias("_first_key"), o.alias("_o")).filter("_first_key is not null").groupBy("_first_key").agg(F.min("_o").alias("_first"))
+    keyed = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), key), F.concat_ws("-", *[F.col(c).cast("string") for c in order])))
+    joined = keyed.join(firsts.withColumn("_first_key", F.concat(F.lit("="), F.col("_first_key"))), F.col("_key") == F.col("_first_key"), "left")
+    return joined.withColumn("_earlier", F.coalesce(o > F.col("_first"), F.lit(False))).drop("_key", "_first_key", "_first")
 
 
 def union(*sources: tuple[DataFrame, str, int]) -> DataFrame:
@@ -33,33 +49,32 @@ def by_url(df: DataFrame, url: str = "url", order: tuple[str, ...] = ("src_prior
     return first(df.filter(F.coalesce(F.col(url), F.lit("")) != ""), [F.col(url)], [*map(F.col, order)])
 
 
-def mark_title(df: DataFrame, key: Column, order: list[Column], least: int = 16) -> DataFrame:
+def mark_title(df: DataFrame, key: Column, order: list[str], least: int = 16) -> DataFrame:
     """Adds ``title_repeats``: an earlier row has the same key of at least ``least`` characters."""
-    k = F.when(F.length(key) >= least, key)
-    return df.withColumn("title_repeats", k.isNotNull() & (F.row_number().over(Window.partitionBy(k, F.when(k.isNull(), F.struct(*order))).orderBy(*order)) > 1))
+    return earlier(df, F.when(F.length(key) >= least, key), order).withColumnRenamed("_earlier", "title_repeats")
 
 
 def curate(df: DataFrame, drop_domains: list[str], least_words: int = 50, order: tuple[str, ...] = ("src_priority", "pos")) -> DataFrame:
-    """Adds text_clean, words_clean and ``reject_reason`` ('kept' if none). Expects url, domain, title, text.
+    """Adds text_clean, words_clean and ``reject_reason`` ('kept' if none). Expects url, domain, title, text; ``order`` tells all rows apart.
 
     The gates run in turn: repeated or missing URL, domain, error page, short as it came, repeated title, short when cleaned. A row that is dropped as short when cleaned
-    still stands before later rows of its title, and a row dropped earlier does not.
+    still stands before later rows of its title, and a row dropped earlier does not. Keys are compared on narrow rows; texts are shuffled once at most, with their verdicts.
     """
-    o = [*map(F.col, order)]
-    url = F.coalesce(F.col("url"), F.lit(""))
-    reason = F.when(url == "", "no_url").when(F.row_number().over(Window.partitionBy("url").orderBy(*o)) > 1, "url")
-    early = (
-        reason.when(F.col("domain").isin(drop_domains), "domain")
-        .when(X.error_page(F.col("title"), F.col("text")), "error")
-        .when(F.size(X.words(F.col("text"))) < least_words, "short")
+    o = list(order)
+    narrow = df.select(
+        *o,
+        F.nullif(F.coalesce(F.col("url"), F.lit("")), F.lit("")).alias("_u"),
+        F.col("domain").isin(drop_domains).alias("_domain"),
+        X.error_page(F.col("title"), F.col("text")).alias("_error"),
+        (F.size(X.words(F.col("text"))) < least_words).alias("_short"),
+        X.title_key(F.col("title")).alias("_t"),
     )
-    gated = df.withColumn("_early", early).withColumn("_key", F.when(F.col("_early").isNull(), X.title_key(F.col("title"))))
-    k = F.when(F.length("_key") > 15, F.col("_key"))
-    rank = F.row_number().over(Window.partitionBy(k, F.when(k.isNull(), F.struct(*o))).orderBy(*o))
-    titled = gated.withColumn("_title", k.isNotNull() & (rank > 1)).withColumn("text_clean", X.clean_for_curation(F.col("text")))
-    measured = titled.withColumn("words_clean", F.size(X.words(F.col("text_clean"))))
+    reason = F.when(F.col("_u").isNull(), "no_url").when(F.col("_earlier"), "url").when(F.col("_domain"), "domain").when(F.col("_error"), "error").when(F.col("_short"), "short")
+    gated = earlier(narrow, F.col("_u"), o).select(*o, reason.alias("_early"), "_t")
+    titled = earlier(gated, F.when(F.col("_early").isNull() & (F.length("_t") > 15), F.col("_t")), o).select(*o, "_early", F.col("_earlier").alias("_title"))
+    cleaned = df.withColumn("text_clean", X.clean_for_curation(F.col("text"))).withColumn("words_clean", F.size(X.words(F.col("text_clean"))))
     late = F.coalesce(F.col("_early"), F.when(F.col("_title"), "title").when(F.col("words_clean") < least_words, "short_clean"), F.lit("kept"))
-    return measured.withColumn("reject_reason", late).drop("_early", "_key", "_title")
+    return cleaned.join(titled, o).withColumn("reject_reason", late).select(*df.columns, "text_clean", "words_clean", "reject_reason")
 
 
 def audit(curated: DataFrame) -> DataFrame:
@@ -91,16 +106,16 @@ def greedy(df: DataFrame, url: str, text: str, source: str, title: str, date: st
         F.array(F.when(u != "", F.concat(F.lit("u:"), u)), F.concat(F.lit("f:"), X.fingerprint(F.col(text))), F.when(t != "", F.concat_ws("\u0001", F.lit("k:"), part(source), t, part(date))))
     )
     spark = df.sparkSession
-    left = _saved(df.select(F.col(order).alias("o"), F.explode(keys).alias("k")), "greedy")
+    left = saved(df.select(F.col(order).alias("o"), F.explode(keys).alias("k")))
     kept = None
     for _ in range(rounds):
         firsts = left.groupBy("k").agg(F.min("o").alias("first"))
         winners = left.join(firsts, "k").groupBy("o").agg(F.min((F.col("o") == F.col("first")).cast("int")).alias("all")).filter(F.col("all") == 1).select("o")
-        winners = _saved(winners, "greedy-kept")
+        winners = saved(winners)
         kept = winners if kept is None else kept.union(winners)
         taken = left.join(winners, "o", "left_semi").select("k").distinct()
         gone = left.join(taken, "k", "left_semi").select("o").distinct()
-        left = _saved(left.join(gone, "o", "left_anti"), "greedy")
+        left = saved(left.join(gone, "o", "left_anti"))
         if left.isEmpty():
             return df.join(kept.select(F.col("o").alias("_kept")), F.col(order) == F.col("_kept"), "left_semi")
     # chains longer than the rounds: each undecided group is finished in order; groups are components of what is left
@@ -113,7 +128,7 @@ def _finish(spark, left: DataFrame) -> DataFrame:
     while True:
         by_key = label.groupBy("k").agg(F.min("c").alias("m"))
         new = label.join(by_key, "k").groupBy("o").agg(F.min("m").alias("m"))
-        nxt = _saved(label.select("o", "k").join(new, "o").select("o", "k", F.col("m").alias("c")), "greedy-label")
+        nxt = saved(label.select("o", "k").join(new, "o").select("o", "k", F.col("m").alias("c")))
         if nxt.join(label.select("o", "k", F.col("c").alias("before")), ["o", "k"]).filter("c <> before").isEmpty():
             break
         label = nxt
@@ -128,27 +143,3 @@ def _finish(spark, left: DataFrame) -> DataFrame:
         return pd.DataFrame({"o": out})
 
     return label.groupBy("c").applyInPandas(walk, f"o {left.schema['o'].dataType.simpleString()}")
-
-
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder (a local one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def sequential_greedy(rows: Iterator[tuple]) -> list:
-    """What ``greedy`` computes, over (order, keys) in order; for tests."""
-    seen: set[str] = set()
-    out = []
-    for o, keys in rows:
-        if not seen & {*keys}:
-            seen |= {*keys}
-            out.append(o)
-    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import saved
+
 
 def counts(df: DataFrame, tokens: Column, *groups: str) -> DataFrame:
     """groups, term, n."""
@@ -63,6 +65,7 @@ def fixed_vocabulary(counted: DataFrame, group: str, least_groups: int = 2, most
 
 def vocabulary_words(counted: DataFrame, group: str, least_groups: int = 2, most: int = 8000, n: int = 20) -> DataFrame:
     """Per group: log share of a term less its log share in the other groups, over one vocabulary, 0.5 added to each count of each group."""
+    counted = saved(counted)  # read three times; tokens are found once
     vocabulary = fixed_vocabulary(counted, group, least_groups, most)
     groups = counted.select(group).distinct()
     full = groups.crossJoin(F.broadcast(vocabulary)).join(counted, [group, "term"], "left").select(group, "term", (F.coalesce("n", F.lit(0)) + 0.5).alias("a"))  # groups x a vocabulary of at most ``most`` terms
@@ -73,13 +76,12 @@ def vocabulary_words(counted: DataFrame, group: str, least_groups: int = 2, most
 
 
 def cosine(counted: DataFrame, group: str, pivot: str, *by: str) -> DataFrame:
-    """Cosine of each group's counts to the pivot group's, for each value of ``by``."""
-    norm = counted.groupBy(*by, group).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    p = counted.filter(F.col(group) == pivot).select(*by, "term", F.col("n").alias("np"))
-    pn = norm.filter(F.col(group) == pivot).select(*by, F.col("norm").alias("pnorm"), F.lit(1).alias("one"))
-    dot = counted.filter(F.col(group) != pivot).join(p, [*by, "term"]).groupBy(*by, group).agg(F.sum(F.col("n") * F.col("np")).alias("dot"))
-    out = norm.filter(F.col(group) != pivot).withColumn("one", F.lit(1)).join(pn, [*by, "one"]).join(dot, [*by, group], "left")
-    return out.select(*by, group, (F.coalesce("dot", F.lit(0)) / (F.col("norm") * F.col("pnorm"))).alias("cosine"))
+    """Cosine of each group's counts to the pivot group's, for each value of ``by``. Counts are read once."""
+    own = F.col(group) == pivot
+    both = counted.withColumn("_p", F.max(F.when(own, F.col("n"))).over(Window.partitionBy(*by, "term")))  # a term has a row a group
+    sums = both.groupBy(*by, group).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.coalesce(F.sum(F.col("n") * F.col("_p")), F.lit(0)).alias("dot"))
+    out = sums.withColumn("pnorm", F.max(F.when(own, F.col("norm"))).over(Window.partitionBy(*by))).filter(~own & F.col("pnorm").isNotNull())
+    return out.select(*by, group, (F.col("dot") / (F.col("norm") * F.col("pnorm"))).alias("cosine"))
 
 
 def rate(df: DataFrame, hit: Column, *groups: str, per: int = 1000) -> DataFrame:

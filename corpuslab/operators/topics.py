@@ -23,8 +23,11 @@ def clusters(df: DataFrame, vector: str = "reduced", k: int = 25, seeds: int = 1
     """Adds ``topic``: K-means, the cheapest of ``seeds`` runs."""
     from pyspark.ml.clustering import KMeans
 
-    df = df.persist()
-    models = [KMeans(k=k, seed=seed + i, featuresCol=vector, predictionCol="topic").fit(df) for i in range(seeds)]
+    held = df.select(vector).persist()
+    try:
+        models = [KMeans(k=k, seed=seed + i, featuresCol=vector, predictionCol="topic").fit(held) for i in range(seeds)]
+    finally:
+        held.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost).transform(df)
 
 

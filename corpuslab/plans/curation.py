@@ -37,7 +37,7 @@ KEYED = "k AS (SELECT *, substr(regexp_replace(lower(title), '[^a-záéíóúñ
 @query("dedup_title_norm", f"WITH {A}, {KEYED} SELECT doc_id, key, length(key) > 15 AND row_number() OVER (PARTITION BY key ORDER BY src_priority, pos) > 1 AS title_repeats FROM k")
 def dedup_title_norm(spark, d):
     keyed = articles(spark, d).withColumn("key", X.title_key(F.col("title")))
-    return dedup.mark_title(keyed, F.col("key"), order()).select("doc_id", "key", "title_repeats")
+    return dedup.mark_title(keyed, F.col("key"), ["src_priority", "pos"]).select("doc_id", "key", "title_repeats")
 
 
 @query("dedup_cascade", f"WITH {A}, u AS ({FIRST.format(c='*', k='url', t='a')}) SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY src_priority, pos) AS j FROM u) WHERE j = 1 OR title = ''")

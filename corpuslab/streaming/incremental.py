@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import first
 from ..operators.lookup import unseen
 from ..sources.tables import exists
 
@@ -24,12 +25,16 @@ def new_rows(df: DataFrame, ts: str, *keys: str, delay: str = "1 day") -> DataFr
 
 
 def append_unseen(df: DataFrame, out: str, checkpoint: str, *keys: str):
-    """Appends rows whose keys ``out`` has not; a batch that is run again after a failure adds nothing twice."""
+    """Appends rows whose keys ``out`` has not; a batch that is run again after a failure adds nothing twice.
+
+    Of a batch's rows with one key the first by its other columns, as listed, is taken. Of ``out`` only the key columns are read.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         done = spark.read.parquet(out) if exists(spark, out) else None
-        unseen(batch.dropDuplicates([*keys]), done, *keys).write.mode("append").parquet(out)
+        order = [F.col(c) for c in batch.columns if c not in keys] or [F.lit(0)]
+        unseen(first(batch, [*map(F.col, keys)], order), done, *keys).write.mode("append").parquet(out)
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
