@@ -271,16 +271,32 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
-@query("html_links", "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"#?]+)', 1))) AS BIGINT) AS links FROM pages")
+LINKED = "'<a class=\"x\" href=\"//c.org/p\">c</a><a href=''http://o.org/a?b#c''>o</a><a href=\"mailto:x\">m</a><a href=\"#top\">t</a><a href=\"rel/x\">r</a>'"
+
+
+@query("html_links", f"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+(?:/.*)?/)', 1) AS folder, list_distinct(regexp_extract_all(html, '<a href="([^"#?]+)', 1)) AS found FROM pages)
+SELECT page_id, array_to_string(list_sort(list_concat(list_transform(found, lambda x: root || x), ['http://c.org/p', 'http://o.org/a', CASE WHEN folder = '' THEN root || '/' ELSE folder END || 'rel/x'])), ' ') AS links FROM l""")
 def html_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(H.links(F.col("html"), F.col("url"))).cast("long").alias("links"))
+    more = F.lit(LINKED.strip("'").replace("''", "'"))
+    found = H.links(F.concat(more, F.col("html")), F.col("url"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.sort_array(found), " ").alias("links"))
 
 
-@query("html_dates", "SELECT page_id, NULL::VARCHAR AS meta_date, strftime(DATE '2020-01-01' + CAST(page_id % 300 AS INTEGER), '%Y-%m-%d') AS time_date FROM pages")
+@query("html_dates", """WITH t AS (SELECT page_id, DATE '2020-01-01' + CAST(page_id % 300 AS INTEGER) AS day FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN strftime(day, '%Y-%m-%d') END AS meta_date,
+CASE page_id % 5 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%Y-%m-%dT00:00') WHEN 2 THEN strftime(day, '%Y-%m-%d') WHEN 3 THEN strftime(day, '%d/%m/%Y') ELSE CAST(day(day) AS VARCHAR) || ' de mayo de ' || CAST(year(day) AS VARCHAR) END AS found FROM t""")
 def html_dates(spark, d):
-    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd")
-    with_time = F.concat(F.lit("<time class='x' datetime='"), day, F.lit("'>"), F.col("html"))
-    return table(spark, d, "pages").select("page_id", H.meta(F.col("html"), "article:published_time").alias("meta_date"), H.date_text(with_time).alias("time_date"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))
+    iso, k = F.date_format(day, "yyyy-MM-dd"), F.col("page_id") % 5
+    planted = (
+        F.when(k == 0, F.concat(F.lit("<meta content='"), iso, F.lit("' property='article:published_time'><time datetime='1999-01-01'>")))
+        .when(k == 1, F.concat(F.lit('<script type="application/ld+json">{"@type": "x", "datePublished": "'), iso, F.lit('T00:00"}</script>')))
+        .when(k == 2, F.concat(F.lit("<time class='x' datetime='"), iso, F.lit("'>")))
+        .when(k == 3, F.concat(F.lit("<p>el "), F.date_format(day, "dd/MM/yyyy"), F.lit("</p>")))
+        .otherwise(F.concat(F.lit("<p>"), F.date_format(day, "d"), F.lit(" de mayo de "), F.date_format(day, "yyyy"), F.lit("</p>")))
+    )
+    html = F.concat(planted, F.col("html"))
+    return table(spark, d, "pages").select("page_id", H.meta(html, "article:published_time").alias("meta_date"), H.date_text(html).alias("found"))
 
 
 @query("html_article")
@@ -289,11 +305,22 @@ def html_article(spark, d):
     return table(spark, d, "pages").select("page_id", H.content_of("html").alias("content"), H.text_of("html").alias("page"))
 
 
-@query("html_engagement", "SELECT page_id, page_id AS comment_count, page_id * 1000 AS share_count, NULL::BIGINT AS like_count, NULL::BIGINT AS view_count FROM pages")
+@query("html_engagement", """SELECT page_id, CASE WHEN page_id % 6 <> 5 THEN page_id END AS comment_count, page_id * 1000 AS share_count, CASE page_id % 3 WHEN 0 THEN page_id * 1000 + 500 WHEN 1 THEN page_id END AS like_count,
+CASE WHEN page_id % 2 = 0 THEN page_id END AS view_count FROM pages""")
 def html_engagement(spark, d):
-    i = F.col("page_id").cast("string")
-    h = F.concat(F.lit("<a class='comments-count x' href='#'>"), i, F.lit("</a><i data-shares='"), i, F.lit("K'></i>"), F.col("html"))
-    return table(spark, d, "pages").withColumn("e", H.engagement(h)).select("page_id", "e.comment_count", "e.share_count", "e.like_count", "e.view_count")
+    n, k = F.col("page_id").cast("string"), F.col("page_id")
+    around = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
+    comment = F.element_at(
+        F.array(
+            around("<a class='x comments-count' href='#'>", "</a>"), around("<span class='comments'>", " comentarios</span>"), around("<a class='comments-link' href='#'><b>see</b><span>", "</span></a>"),
+            around("<i class='fb-comments-count'>", "</i>"), around('<script type="application/ld+json">{"@type": "Article", "commentCount": "', '"}</script><i class="num-comments">9</i>'), F.lit("<i class='comments-counted'>8</i>"),
+        ),
+        (k % 6 + 1).cast("int"),
+    )
+    like = F.when(k % 3 == 0, around('<span data-testid="like_count">', ".5K</span>")).when(k % 3 == 1, around("<b class='fb-like-count'>", "</b>")).otherwise("")
+    view = F.when(k % 2 == 0, around('<p class="post-views y">', " vistas</p>")).otherwise("<p class='post-viewsx'>7</p>")
+    e = H.engagement(F.concat(comment, around("<i data-shares='", "K'></i>"), like, view, F.col("html")))
+    return table(spark, d, "pages").withColumn("e", e).select("page_id", "e.comment_count", "e.share_count", "e.like_count", "e.view_count")
 
 
 @query("boilerplate_phrases", "SELECT doc_id, length(replace(replace(text, 'the ', ''), 'que ', '')) AS left_chars FROM documents")
@@ -333,7 +360,11 @@ def examples_first_mid_last(spark, d):
     return classify.examples(each, "label", ["doc_id"])
 
 
-@query("nested_lookup")
+@query("nested_lookup", f"""WITH {LABELLED}, x AS (SELECT unnest(CASE WHEN len(labels) = 0 THEN ['(none)'] ELSE labels END) AS label_a, marks, n_chars, substr(text, 1, 20) AS head FROM l),
+y AS (SELECT label_a, unnest(CASE WHEN len(marks) = 0 THEN ['(no mark)'] ELSE marks END) AS label_b, n_chars, head FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_a, label_b ORDER BY n_chars DESC, head) AS k FROM y),
+o AS (SELECT label_a, label_b, to_json(list(head ORDER BY n_chars DESC, head)) AS texts FROM r WHERE k <= 5 GROUP BY ALL)
+SELECT label_a, '{{' || string_agg(to_json(label_b) || ':' || texts, ',' ORDER BY label_b) || '}}' AS lookup FROM o GROUP BY label_a""")
 def nested_lookup(spark, d):
     each = classify.cross(_labelled(spark, d), "labels", "marks", "(none)", "(no mark)").withColumn("head", F.substring("text", 1, 20))
     return classify.nested(each, "label_a", "label_b", "n_chars", "head", 5)

@@ -147,10 +147,21 @@ m AS (SELECT role, CAST(conv_id % 12 AS BIGINT) AS ym, 100.0 * (length(text) - l
   100.0 * CAST(contains(lower(text), ' les ') OR contains(lower(text), 'eaux') AS INTEGER) AS fr FROM p)"""
 
 
-@query("monthly_metrics", f"WITH {MEASURES} SELECT ym, role, round(avg(exclaim), 6) + 0.0 AS exclaim, round(avg(caps), 6) + 0.0 AS caps, round(avg(length), 6) + 0.0 AS length, round(avg(en), 6) + 0.0 AS en, round(avg(es), 6) + 0.0 AS es, round(avg(fr), 6) + 0.0 AS fr, count(*) AS n_posts FROM m GROUP BY ALL")
+FIRST = ["yo", "mi", "mis", "mio", "mia", "me", "conmigo"]
+HOSTILE = ["enemigo", "traidor", "mentira", "corrupto", "corrupcion", "oligarca", "ataque", "atacan", "conspiracion", "manipulacion", "fake", "mentiroso", "hipocrita", "fracasado"]
+SHARE = "100.0 * len(list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_\\pM]+'), lambda x: list_contains({}, x))) / greatest(len(w), 1)"
+SAID = "q AS (SELECT conv_id, role, text || CASE turn % 3 WHEN 0 THEN ' Yo digo: ¡MENTIRA! mi traidor' WHEN 1 THEN ' meme mio fakes Fake' ELSE '' END AS text FROM conversations)"
+MEANS = ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("exclaim", "caps", "i_lang", "confront", "length", "en", "es", "fr"))
+
+
+@query("monthly_metrics", f"""WITH {SAID}, {MEASURES.replace('FROM conversations', 'FROM q').replace('AS exclaim,', f'AS exclaim, {SHARE.format(listed(FIRST))} AS i_lang, {SHARE.format(listed(HOSTILE))} AS confront,')}
+SELECT ym, role, {MEANS}, count(*) AS n_posts FROM m GROUP BY ALL""")
 def monthly_metrics(spark, d):
-    out = posts.monthly(table(spark, d, "conversations"), "text", F.col("conv_id") % 12, "role", THEMES).drop("i_lang", "confront")
-    return out.select("ym", "role", *[r6(F.col(c)).alias(c) for c in ("exclaim", "caps", "length", *THEMES)], "n_posts")
+    k = F.col("turn") % 3
+    more = F.when(k == 0, " Yo digo: ¡MENTIRA! mi traidor").when(k == 1, " meme mio fakes Fake").otherwise("")
+    said = table(spark, d, "conversations").withColumn("text", F.concat("text", more))
+    out = posts.monthly(said, "text", F.col("conv_id") % 12, "role", THEMES)
+    return out.select("ym", "role", *[r6(F.col(c)).alias(c) for c in ("exclaim", "caps", "i_lang", "confront", "length", *THEMES)], "n_posts")
 
 
 @query("theme_means", f"""WITH {MEASURES}, o AS (SELECT ym, role, avg(en) AS en, avg(es) AS es FROM m GROUP BY ALL), q AS (SELECT ym, avg(en) AS en, avg(es) AS es FROM o GROUP BY ym)

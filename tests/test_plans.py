@@ -39,3 +39,27 @@ def test_first_rows_are_taken_without_a_full_sort(spark, name):
 def test_no_python_and_no_cartesian_product(spark, name):
     text = plan(spark, name)
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", text)
+
+
+@pytest.mark.parametrize("name, scans", [("cosine_before_after", 1), ("logodds_fixedvocab", 0), ("distinctive_words", 1), ("heat_share", 1)])
+def test_tokens_are_found_once(spark, name, scans):
+    """Scans that run: those that are not below a reused exchange, after adaptive execution; none where counts were written before."""
+    df = catalogue.queries()[name](spark, SF)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet|Scan parquet", text.replace("FileScan parquet", "Scan parquet"))) - text.count("ReusedExchange") <= scans
+
+
+def test_firsts_are_found_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.operators import dedup
+
+    df = spark.createDataFrame([(i, "" if i % 2 else f"http://x/{i % 7}", f"title of many letters {i % 3}", "w " * 60, i) for i in range(200)], "src_priority int, url string, title string, text string, pos int").withColumn("domain", F.lit("d"))
+    for out in (dedup.by_url(df), dedup.cascade(df, F.col("url"), F.col("title"), [F.col("pos")])):
+        assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    curated = dedup.curate(df, [])
+    plan = curated._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min" in plan
+    reasons = {r.pos: r.reject_reason for r in curated.collect()}
+    assert all(reasons[i] == "no_url" for i in range(1, 200, 2)) and reasons[0] == "kept" and reasons[14] == "url" and sum(v == "kept" for v in reasons.values()) == 3
