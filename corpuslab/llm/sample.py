@@ -37,7 +37,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     sample; they are left out before rows are counted, so others take their places.
     """
     ids = _labelled(labels, label, doc_id).filter(fold(F.col("_s_id"), folds) != held_out)
-    ids = F.broadcast(ids) if small(ids, 1_000_000) else ids
+    ids = F.broadcast(ids) if small(ids) else ids
     found = _ids(docs, max_chars, doc_id, text).join(ids, F.col("_s_doc") == F.col("_s_id")).select("_s_id", "label").distinct()
     return _first(found, docs, rows, doc_id, text)
 
@@ -45,7 +45,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> pa.Table:
     """text of at most ``rows`` documents without a label outside the held-out fold, by a hash of their ids; long texts as in ``training_sample``."""
     ids = _labelled(labels, label, doc_id).select("_s_id")
-    ids = F.broadcast(ids) if small(ids, 1_000_000) else ids
+    ids = F.broadcast(ids) if small(ids) else ids
     found = _ids(docs, max_chars, doc_id, text).filter(F.col("_s_doc").isNotNull() & (fold(F.col("_s_doc"), folds) != held_out))
     found = found.join(ids, F.col("_s_doc") == F.col("_s_id"), "left_anti").select(F.col("_s_doc").alias("_s_id"))
     return _first(found, docs, rows, doc_id, text)

@@ -75,19 +75,21 @@ class Rows:
 
     def __init__(self, sets: list[np.ndarray], width: int):
         self.shape = len(sets), width
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        column = np.concatenate(sets).astype(np.intp)
+        lengths = np.array([len(s) for s in sets])
+        column = np.concatenate(sets).astype(np.int32)
         order = np.argsort(column, kind="stable")
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)[order].astype(np.intp)
+        del order
         self.parts = []  # for each side: what to gather, the starts of its groups, and which groups there are
-        for group, other in ((row, column), (column[order], row[order])):
-            own, starts = np.unique(group, return_index=True)
-            self.parts.append((other, starts, own))
+        for sizes, other in ((lengths, column.astype(np.intp)), (np.bincount(column, minlength=width), row)):
+            own = np.flatnonzero(sizes)
+            self.parts.append((other, (np.cumsum(sizes) - sizes)[own], own))
 
     def _product(self, side: int, v: np.ndarray) -> np.ndarray:
         gather, starts, own = self.parts[side]
         out = np.zeros(self.shape[side])
         if len(own):
-            out[own] = np.add.reduceat(v.take(gather), starts)
+            out[own] = np.add.reduceat(v.astype(np.float32).take(gather), starts)
         return out
 
     def times(self, v: np.ndarray) -> np.ndarray:
@@ -156,7 +158,9 @@ def fit(sample: pa.Table, unlabelled: pa.Table | None = None, s: Settings = Sett
     texts = [sample.column("text"), unlabelled.column("text")] if unlabelled is not None and unlabelled.num_rows else [sample.column("text")]
     ids: dict[str, int] = {}
     found = [np.fromiter((ids.setdefault(w, len(ids)) for w in features(t.as_py())), np.int32) for t in chain(*texts)]
-    names, count = list(ids), np.bincount(np.concatenate(found), minlength=len(ids))
+    names, count = list(ids), np.zeros(len(ids), np.int64)
+    for k in range(0, len(found), 500):
+        count += np.bincount(np.concatenate(found[k : k + 500]), minlength=len(ids))
     chosen = sorted(np.flatnonzero(count >= s.min_texts), key=lambda i: (-count[i], names[i]))[: s.vocabulary]
     listed, at = [names[i] for i in chosen], np.full(len(names), -1, np.int32)
     at[chosen] = np.arange(len(chosen))
