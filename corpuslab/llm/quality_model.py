@@ -15,11 +15,12 @@ rows each get the same score; a score equal to the threshold (a tie) is predicte
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import chain, zip_longest
+from itertools import chain, groupby, zip_longest
 from operator import eq
 
 import numpy as np
@@ -31,8 +32,8 @@ from .toxicity import scored, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PIECE, SIGNS = 24, 8
-MEMORY = 200_000
-"""Tokens whose terms a worker remembers."""
+MEMORY = 250_000
+"""Tokens whose vectors a worker remembers."""
 
 
 @dataclass(frozen=True)
@@ -57,22 +58,28 @@ def words_of(token: str) -> list[str]:
     return [run[i : i + PIECE].lower() for run in LETTERS.findall(token) for i in range(0, len(run), PIECE)]
 
 
-def shapes_of(token: str) -> list[str]:
-    whole = [shape(token[i : i + PIECE]) for i in range(0, len(token), PIECE)]
-    return [x[i : i + SIGNS] for x in whole for i in range(0, len(x), SIGNS)]
+class Kinds(dict):
+    """For ``str.translate``: X for capitals, x for other letters, 9 for digits, other signs as they are."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = ord("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c)
+        return self[code]
+
+
+KINDS = Kinds()
 
 
-def shape(token: str) -> str:
-    """Runs of capitals, small letters and digits as one letter each; other signs as they are, a run of the same sign as at most three."""
-    out = []
-    last, run = "", 0
-    for c in token:
-        kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-        run = run + 1 if kind == last else 1
-        if run == 1 or (run <= 3 and kind not in "Xx9") or (run == 2 and kind == "X"):
-            out.append(kind)
-        last = kind
-    return "".join(out)
+@functools.lru_cache(1 << 16)
+def _runs(kinds: str) -> tuple[str, ...]:
+    """Runs of capitals as one or two letters, of small letters and digits as one, of the same other sign as at most three; in pieces of ``SIGNS``."""
+    out = "".join(kind * min(len(run), 2 if kind == "X" else 1 if kind in "x9" else 3) for kind, run in ((k, [*r]) for k, r in groupby(kinds)))
+    return tuple(out[i : i + SIGNS] for i in range(0, len(out), SIGNS))
+
+
+def shapes_of(token: str) -> list[str]:
+    kinds = token.translate(KINDS)
+    return [x for i in range(0, len(kinds), PIECE) for x in _runs(kinds[i : i + PIECE])]
 
 
 def index_vector(term: str, s: Settings) -> np.ndarray:
@@ -82,42 +89,70 @@ def index_vector(term: str, s: Settings) -> np.ndarray:
     return v
 
 
+class TokenVectors(dict):
+    """A token's row in ``sums`` (of the vectors of its terms) and ``pairs`` (how many pairs of a word and a shape it has)."""
+
+    def __init__(self, model: Model):
+        self.model, self.used = model, 0
+        self.sums, self.pairs, self.long = np.zeros((MEMORY, model.vectors.shape[1]), np.float32), np.zeros(MEMORY, np.float32), []
+
+    def __missing__(self, token: str) -> int:
+        row = self.used
+        pairs, vectors = self.model.terms(token), self.model.vectors
+        if len(pairs) == 1:
+            np.add(vectors[pairs[0][0]], vectors[pairs[0][1]], out=self.sums[row])
+        else:
+            self.sums[row] = vectors[np.array(pairs)].sum((0, 1))
+        self.pairs[row] = len(pairs)
+        self.used += 1
+        self[token] = row
+        if len(token) > PIECE:
+            self.long.append(token)
+        return row
+
+    def places(self, tokens: list[str]) -> np.ndarray:
+        """Rows of at most MEMORY different tokens; long ones are forgotten at once."""
+        if self.used + len(tokens) > MEMORY:
+            self.clear()
+            self.used = 0
+        out = np.fromiter(map(self.__getitem__, tokens), np.intp, len(tokens))
+        for token in self.long:
+            del self[token]
+        self.long.clear()
+        return out
+
+
 @dataclass
 class Model:
     place: dict[str, int]
     vectors: np.ndarray
     layers: tuple
     temperature: float
-    _terms: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False)
+    _tokens: TokenVectors | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_terms": {}}
+        return self.__dict__ | {"_tokens": None}
 
     def terms(self, token: str) -> list[tuple[int, int]]:
         """Places of a token's words and shapes, in pairs; the last place is a zero vector."""
-        got = self._terms.get(token)
-        if got is None:
-            none = len(self.vectors) - 1
-            words = [self.place.get("w:" + w, none) for w in words_of(token)]
-            got = list(zip_longest(words, [self.place.get("s:" + x, none) for x in shapes_of(token)], fillvalue=none))
-            if len(token) > PIECE:
-                return got
-            if len(self._terms) >= MEMORY:
-                self._terms.clear()
-            self._terms[token] = got
-        return got
+        none = len(self.vectors) - 1
+        words = [self.place.get("w:" + w, none) for w in words_of(token)]
+        return list(zip_longest(words, [self.place.get("s:" + x, none) for x in shapes_of(token)], fillvalue=none))
 
     def pooled(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if not tokens:
             return np.zeros(self.vectors.shape[1], np.float32)
-        count = Counter(tokens)
-        parts = [*map(self.terms, count)]
-        places = np.array([*chain.from_iterable(parts)])
-        n = np.repeat(np.fromiter(count.values(), np.float32, len(count)), [*map(len, parts)])
-        same = sum(map(eq, tokens, tokens[1:]))
-        total = n @ self.vectors[places[:, 0]] + n @ self.vectors[places[:, 1]] + same * self.vectors[self.place["="]]
-        return total / n.sum()
+        if self._tokens is None:
+            self._tokens = TokenVectors(self)
+        own, count = self._tokens, Counter(tokens)
+        different, n = list(count), np.fromiter(count.values(), np.float32, len(count))
+        total, pairs = sum(map(eq, tokens, tokens[1:])) * self.vectors[self.place["="]], 0.0
+        for k in range(0, len(different), MEMORY):
+            at = own.places(different[k : k + MEMORY])
+            total = total + n[k : k + MEMORY] @ own.sums[at]
+            pairs += float(n[k : k + MEMORY] @ own.pairs[at])
+        return total / np.float32(pairs)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -135,6 +170,17 @@ class Constant:
         return self.value
 
 
+class Terms(dict):
+    """Terms of each token of the sample."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, token: str) -> list[tuple[int, int]]:
+        self[token] = self.model.terms(token)
+        return self[token]
+
+
 def word_vectors(texts: list[str], s: Settings) -> tuple[dict[str, int], np.ndarray]:
     words, shapes = Counter(), Counter()
     for text in texts:
@@ -148,12 +194,13 @@ def word_vectors(texts: list[str], s: Settings) -> tuple[dict[str, int], np.ndar
     place = {t: i for i, t in enumerate(names)}
     index = np.stack([index_vector(t, s) for t in names] + [np.zeros(s.dimensions, np.float32)])
     model, none = Model(place, index, (), 1.0), len(names)
+    known = Terms(model)
     vectors = index.copy()
     for text in texts:
         tokens = text.split()
         if not tokens:
             continue
-        parts = [*map(model.terms, tokens)]
+        parts = [*map(known.__getitem__, tokens)]
         at = np.array([*chain.from_iterable(parts)])
         starts = np.cumsum([*map(len, parts)])[:-1]
         near = index[at[:, 0]] + index[at[:, 1]]
