@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def labels(text: Column, patterns: dict[str, list[str]]) -> Column:
     """Names of which any pattern is found in the lower-cased text, in the order given; one alternation a name."""
@@ -28,12 +30,11 @@ def cross(df: DataFrame, a: str, b: str, no_a: str, no_b: str) -> DataFrame:
 def examples(df: DataFrame, label: str, order: list[str]) -> DataFrame:
     """First, middle (n // 2) and last row of each label, each row once. ``order`` tells a label's rows apart.
 
-    Only labels and orders are ranked; the rows that are shown are found by them.
+    Only labels and orders are placed, in ranges; the rows that are shown are found by them.
     """
-    by = Window.partitionBy(label)
-    placed = df.select(label, *order).withColumns({"_i": F.row_number().over(by.orderBy(*order)) - 1, "_n": F.count("*").over(by)})
-    which = F.when(F.col("_i") == 0, "first").when(F.col("_i") == F.floor(F.col("_n") / 2), "middle").when(F.col("_i") == F.col("_n") - 1, "last")
-    shown = placed.withColumn("which", which).filter("which is not null").drop("_i", "_n")
+    placed = ranges.within(ranges.placed(df.select(label, *order), [F.col(label), *map(F.col, order)]), label)
+    which = F.when(F.col("_index") == 0, "first").when(F.col("_index") == F.floor(F.col("_size") / 2), "middle").when(F.col("_index") == F.col("_size") - 1, "last")
+    shown = placed.withColumn("which", which).filter("which is not null").select(label, *order, "which")
     return df.join(shown, [label, *order]).select(*df.columns, "which")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
@@ -33,6 +35,13 @@ def subscores(questions: DataFrame, most: int = 4) -> DataFrame:
 
 
 def ids(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``key_000001`` and so on, counted within each key."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("id", F.format_string("%s_%06d", F.col(key), n))
+    """``key_000001`` and so on, counted within each key. ``order`` tells a key's rows apart.
+
+    Only key and order are placed, in ranges; a key of any size takes as many ranges as it needs.
+    """
+    keyed = ranges.within(ranges.placed(df.select(key, *order), [F.col(key), *map(F.col, order)]), key)
+    n = keyed.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], (F.col("_index") + 1).alias("_n"))
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return df.join(n, same).withColumn("id", F.format_string("%s_%06d", F.col(key), "_n")).select(*df.columns, "id")

@@ -229,3 +229,30 @@ def test_partitions_do_not_matter(spark):
     df = articles(spark, "/root/testdata/sf0.001")
     a, b = (sorted(map(tuple, dedup.curate(d.withColumn("domain", F.col("source")), []).select("doc_id", "reject_reason").collect())) for d in (df, df.repartition(7)))
     assert a == b
+
+
+def test_ids_and_places_need_no_window_over_a_key(spark):
+    from corpuslab.operators import classify, lookup, ranges
+
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "n int, key string").repartition(7)
+    want, seen = {}, {}
+    for n, key in rows:
+        seen[key] = seen.get(key, 0) + 1
+        want[n] = None if key is None else f"{key}_{seen[key]:06d}"
+    out = lookup.ids(df, "key", ["n"])
+    got = {r.n: r.id for r in out.collect()}
+    assert {n: v for n, v in got.items() if want[n]} == {n: v for n, v in want.items() if v} and len(got) == 3000
+    shown = classify.examples(df.filter("key = 'hot'"), "key", ["n"])
+    hot = [n for n, key in rows if key == "hot"]
+    assert sorted((r.n, r.which) for r in shown.collect()) == sorted([(hot[0], "first"), (hot[len(hot) // 2], "middle"), (hot[-1], "last")])
+    for df_ in (out, shown):
+        assert "Window" not in df_._jdf.queryExecution().executedPlan().toString()
+    p = ranges.placed(df, [F.col("n")], ranges=5)
+    assert p.total == 3000 and [r.n for r in p.rows.orderBy("_place").collect()] == list(range(3000))
+    sparse = p.rows.withColumn("v", F.when(F.col("n") % 997 == 3, F.col("n")))
+    c = {r.n: (r._last, r._next) for r in ranges.carried(ranges.Placed(sparse, p.sizes), "v").collect()}
+    at = [n for n in range(3000) if n % 997 == 3]
+    assert all(c[n] == (max((x for x in at if x <= n), default=None), min((x for x in at if x >= n), default=None)) for n in range(3000))
+    empty = ranges.placed(df.filter("n < 0"), [F.col("n")])
+    assert empty.total == 0 and ranges.carried(empty, "n").count() == 0 and lookup.ids(df.filter("n < 0"), "key", ["n"]).count() == 0
