@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_text, line_dedup, near_dup, quality_model, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontamination, fingerprints, html_text, line_dedup, near_dup, quality_model, quality_rules, source_audit, spelling, toxicity, url_filter, warc
 from .common import table
 
 
@@ -151,10 +151,70 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, v FROM v) USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 2) // CAST(n + 2 * v AS HUGEINT) AS BIGINT) AS p
+      FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (total + 2) // CAST(n + 2 * v AS HUGEINT) AS BIGINT) AS q FROM kept JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: Near words are found by what is left without one letter; the checksum's table is made from its polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (SELECT range AS byte, range AS c, 0 AS k FROM range(256) UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+e AS (SELECT doc_id, run, count(*) AS n, list_prepend(4294967295, list_transform(range(1, 2 * strlen(any_value(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), 2), lambda i: CAST('0x' || substr(hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run), i, 2) AS BIGINT))) AS b FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM e, crc),
+s AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+         UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+o AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+f AS (SELECT o.word, n, n_near, form_n, (SELECT min(other) FROM near WHERE near.word = o.word AND near.m = o.form_n) AS form FROM o),
+way AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON way.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, k) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fingerprints.edited(table(spark, sf_dir, "documents"))
+    near = lambda c: fingerprints.likeness(F.col("fingerprint"), F.col(c))
+    span = fingerprints.edited_span(F.col("fingerprint"), F.col("edited_fingerprint"))
+    r = r.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"), span.alias("span"),
+    )
+    return r.select(*r.columns[:-1], F.col("span.first").alias("edited_from"), F.col("span.last").alias("edited_to"))
+
+
 def queries() -> dict:
-    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op6_html_text, op7_warc, op8_quality_rules, op9_url_filter, op10_near_dup)
+    own = (op1_decontamination, op2_toxicity, op3_quality_model, op4_bpe, op5_line_dedup, op6_html_text, op7_warc, op8_quality_rules, op9_url_filter, op10_near_dup, op11_source_audit, op12_spelling, op13_fingerprints)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": op8_sql(), "op9_url_filter": op9_sql()}
+    return {"op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": op8_sql(), "op9_url_filter": op9_sql(), "op11_source_audit": OP11_SQL, "op12_spelling": OP12_SQL}
