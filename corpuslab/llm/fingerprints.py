@@ -130,25 +130,25 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.length(t).cast("long").alias("n_chars"), fingerprint(t).alias("fingerprint"))
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
-    """key, of the document before: pre_key, pre_take (characters that it takes from this one). Documents by falling id."""
-    narrow = docs.select("_id", "_key", F.floor(F.length("_text") / 3).cast("long").alias("take")).distinct()
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, 1 + docs.count() // ranges.ROWS_A_RANGE)
+def _in_order(own: DataFrame, rows: int) -> DataFrame:
+    """key, and of the document before: pre, take (characters that it takes from this one). Documents by falling id. own: _id, _text, _key."""
+    narrow = own.select("_id", "_key", F.floor(F.length("_text") / 3).cast("long").alias("take")).distinct()
+    n = max(own.sparkSession.sparkContext.defaultParallelism, 1 + rows // ranges.ROWS_A_RANGE)
     p = ranges.placed(narrow, [F.col("_id").desc_nulls_last(), F.col("_key")], n)
-    before = p.rows.select(F.col("_id").alias("pre_id"), F.col("_key").alias("pre_key"), F.col("take").alias("pre_take"), F.pmod(F.col("_place") + 1, F.lit(max(p.total, 1))).alias("_place"))
-    return materialise(p.rows.select("_id", "_key", "_place").join(before, "_place").drop("_place"), "document-order")
+    before = p.rows.select(F.col("_key").alias("pre"), "take", F.pmod(F.col("_place") + 1, F.lit(max(p.total, 1))).alias("_place"))
+    return materialise(p.rows.select(F.col("_key").alias("key"), "_place").join(before, "_place").drop("_place"), "document-order")
 
 
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, edited, fingerprint, edited_fingerprint, next_fingerprint: each document, and what it becomes when its last third gives way to the start of the next one."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.col(doc_id).alias("_id"), t.alias("_text"), F.md5(t).alias("_key"))
-    order = _in_order(own)
-    same = lambda a, b: F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & (F.col(f"{a}_key") == F.col(f"{b}_key"))
-    prefix = F.substring(F.col("_text"), F.lit(1), F.col("pre_take").cast("int")).alias("prefix")
-    nxt = own.join(order.withColumnsRenamed({"_id": "o_id", "_key": "o_key"}), same("", "o")).select("pre_id", "pre_key", prefix, fingerprint(F.col("_text")).alias("next_fingerprint"))
-    nxt = nxt.groupBy("pre_id", "pre_key").agg(F.first("prefix").alias("prefix"), F.first("next_fingerprint").alias("next_fingerprint"))  # a row may be there many times
-    both = own.join(nxt, same("", "pre"))
+    t, i = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(doc_id)
+    key = F.concat(F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), F.lit(" "), F.md5(t))  # never null, so that both joins and the sum by it share one shuffle
+    own = docs.select(i.alias("_id"), t.alias("_text"), key.alias("_key"))
+    order = _in_order(own, docs.count())
+    prefix = F.substring(F.col("_text"), F.lit(1), F.col("take").cast("int")).alias("prefix")
+    nxt = own.join(order, F.col("_key") == F.col("key")).select("pre", prefix, fingerprint(F.col("_text")).alias("next_fingerprint"))
+    nxt = nxt.groupBy("pre").agg(F.first("prefix").alias("prefix"), F.first("next_fingerprint").alias("next_fingerprint"))  # a row may be there many times
+    both = own.join(nxt, F.col("_key") == F.col("pre"))
     kept = F.length("_text") - F.floor(F.length("_text") / 3)
     whole = both.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.concat(F.substring(F.col("_text"), F.lit(1), kept.cast("int")), "prefix").alias("edited"), "next_fingerprint")
     return whole.select("doc_id", "text", "edited", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
