@@ -23,8 +23,10 @@ from .common import lower_ascii, materialise
 
 LETTERS = r"A-Za-zÀ-ÿ"
 MIN_LENGTH = 7
-BANDS = [[c for c in map(chr, [*range(0x61, 0x7B), *range(0xC0, 0x100)])][k::3] for k in range(3)]
-"""The letters of each band: every third of a to z and U+00C0 to U+00FF, so that frequent ones are spread."""
+WIDTH = 20
+"""Bits of a band, of which there are three."""
+BITS = [WIDTH * (i % 3) + (i // 3 if i < 26 else 9 + i // 3 % 11) for i in range(26 + 64)]
+"""The bit of each letter, a to z and then U+00C0 to U+00FF: every third letter is in the same band, and accented letters share its last eleven bits."""
 
 
 @dataclass(frozen=True)
@@ -56,14 +58,15 @@ def vocabulary(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return n.filter((F.length("word") >= MIN_LENGTH) & (F.col("n") >= s.min_count))
 
 
-def band(word: Column, letters: list[str]) -> Column:
-    """A bit for each of ``letters`` that the word has an odd number of times."""
-    odd = lambda c: (F.length(word) - F.length(F.replace(word, F.lit(c)))) % 2
-    return sum((F.shiftleft(odd(c).cast("long"), k) for k, c in enumerate(letters)), F.lit(0).cast("long"))
+def mask(word: Column) -> Column:
+    """A bit for each letter that the word has an odd number of times (letters of one bit count together)."""
+    bits = F.array(*[F.lit(1 << b).cast("long") for b in BITS])
+    at = lambda c: F.ascii(c) - F.when(F.ascii(c) < 0x80, 0x61).otherwise(0xC0 - 26)
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.get(bits, at(c))))
 
 
-def _band_of(masks: Column, more: Column, k: int) -> Column:
-    return more if k == 2 else F.shiftright(masks, 30 * k).bitwiseAND((1 << 30) - 1)
+def band(masks: Column, k: int) -> Column:
+    return F.shiftright(masks, WIDTH * k).bitwiseAND((1 << WIDTH) - 1)
 
 
 def _half(word: Column, e: int, size: Column) -> Column:
@@ -74,27 +77,25 @@ PLACES = [(k, e) for k in range(3) for e in range(2)]
 
 
 def near(words: DataFrame) -> DataFrame:
-    """a, b: every two words that differ by one edit, each pair once."""
-    m = [band(F.col("word"), letters) for letters in BANDS]
-    own = words.select("word", m[0].bitwiseOR(F.shiftleft(m[1], 30)).alias("masks"), m[2].alias("more"))
+    """a, b: every two words that differ by one edit, each pair once. words: word, mask."""
+    word, own = F.col("word"), F.col("mask")
 
     def key(place: int, longer: Column) -> Column:
         """The place stands in the low bits."""
         k, e = PLACES[place]
-        h = F.xxhash64(_band_of(F.col("masks"), F.col("more"), k), _half(F.col("word"), e, F.floor(longer / 2).cast("int")), longer)
+        h = F.xxhash64(band(own, k), _half(word, e, F.floor(longer / 2).cast("int")), longer)
         return F.shiftleft(h, 3).bitwiseOR(place)
 
-    keyed = lambda *plus: own.select("word", "masks", "more", F.explode(F.array(*[key(p, F.length("word") + x) for p in range(6) for x in plus])).alias("key"))
+    keyed = lambda *plus: words.select("word", "mask", F.explode(F.array(*[key(p, F.length(word) + x) for p in range(6) for x in plus])).alias("key"))
     left, right = keyed(0).alias("x"), keyed(0, 1).alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     longer, shorter = F.length(x("word")), F.length(y("word"))
-    bits = F.bit_count(x("masks").bitwiseXOR(y("masks"))) + F.bit_count(x("more").bitwiseXOR(y("more")))
     half = F.floor(longer / 2).cast("int")
-    met = [(_band_of(x("masks"), x("more"), k) == _band_of(y("masks"), y("more"), k)) & (_half(x("word"), e, half) == _half(y("word"), e, half)) for k, e in PLACES]
+    met = [(band(x("mask"), k) == band(y("mask"), k)) & (_half(x("word"), e, half) == _half(y("word"), e, half)) for k, e in PLACES]
     first = F.coalesce(*[F.when(c, F.lit(p)) for p, c in enumerate(met)])
     # of equal length: each pair once; else x is the longer one
     once = ((longer == shorter) & (x("word") < y("word"))) | (longer == shorter + 1)
-    pairs = left.join(right, (x("key") == y("key")) & (bits <= 2) & once & (first == x("key").bitwiseAND(7)))
+    pairs = left.join(right, (x("key") == y("key")) & (F.bit_count(x("mask").bitwiseXOR(y("mask"))) <= 2) & once & (first == x("key").bitwiseAND(7)))
     return pairs.select(x("word").alias("a"), y("word").alias("b")).filter(F.levenshtein("a", "b", 1) == 1)
 
 
@@ -114,7 +115,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """word, form, root, n, n_near, form_n: every word; form is null where no near word is frequent enough."""
-    words = materialise(vocabulary(docs, s), "words")
+    words = materialise(vocabulary(docs, s).withColumn("mask", mask(F.col("word"))), "words")
     pair = materialise(near(words), "near")
     both = pair.unionAll(pair.select("b", "a")).toDF("word", "other").join(words.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
     best = F.min(F.struct((-F.col("m")).alias("m"), F.col("other").alias("other")))
