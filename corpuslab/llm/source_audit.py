@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, small
 
 NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
@@ -148,6 +148,7 @@ def _met(a: str, b: str) -> Column:
 def pairs(ix: Index, s: Settings = Settings()) -> DataFrame:
     """lang, a, b (a < b), value: every two groups of a language."""
     blocks = ix.groups.groupBy("lang").agg(F.ceil(F.count("*") / s.members).cast("int").alias("blocks"))
+    blocks = F.broadcast(blocks) if small(blocks) else blocks  # a row a language
     groups = _blocked(ix.groups, blocks, "source", "v", "z")
     unit = lambda *more: [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("lang", "i", "j", *more)]
     f = lambda p, q: divergence(F.col(p), F.col(q))
