@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -72,16 +73,43 @@ def url_column(spark, d):
     return p.select("page_id", F.col(S.url_column(p.columns)).alias("found"))
 
 
-@query("sitemap_scan", "SELECT url AS loc, '2021-05-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS lastmod FROM pages WHERE NOT contains(url, '&')")
+@query("sitemap_scan", "SELECT url AS loc, '2021-05-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS lastmod FROM pages")
 def sitemap_scan(spark, d):
+    """Sitemaps of a hundred pages each, read as files."""
     path = folder(spark)
     day = F.concat(F.lit("2021-05-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
-    rows = table(spark, d, "pages").filter("not contains(url, '&')").select(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")).alias("value"))
-    line = lambda x: spark.range(1).select(F.lit(x).alias("value"))
-    line("<urlset>").union(rows).union(line("</urlset>")).coalesce(1).write.text(path)  # a sitemap is one document
+    entries = table(spark, d, "pages").select(F.expr("page_id div 100").alias("k"), F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")).alias("e"))
+    entries.groupBy("k").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</urlset>")).alias("value")).select("value").write.text(path)
     return S.sitemap(spark, path).select("loc", F.col("lastmod").cast("string").alias("lastmod"))
 
 
+@query("sitemap_tree", """WITH RECURSIVE j AS (SELECT url, page_id % 3 AS kind, CAST(page_id // 25 AS VARCHAR) AS leaf, CAST(page_id // 100 AS VARCHAR) AS k FROM pages),
+edges AS (SELECT 'root' AS parent, 'index-' || k AS child FROM j UNION SELECT 'root', 'root' UNION SELECT 'index-' || k, 'leaf-' || leaf FROM j UNION SELECT 'index-' || k, 'root' FROM j UNION SELECT 'index-' || k, 'side-' || k FROM j
+  UNION SELECT 'side-' || k, unnest(['deep-' || k, 'index-' || k, 'over-' || k]) FROM j UNION SELECT 'over-' || k, 'gone-' || k FROM j),
+way AS (SELECT 'root' AS sitemap, 0 AS depth UNION SELECT child, depth + 1 FROM way JOIN edges ON parent = sitemap WHERE depth < 3),
+least AS (SELECT sitemap, min(depth) AS depth FROM way GROUP BY sitemap),
+urls AS (SELECT CASE kind WHEN 0 THEN 'leaf-' || leaf WHEN 1 THEN 'deep-' || k ELSE 'gone-' || k END AS sitemap, url AS loc FROM j)
+SELECT sitemap, CAST(depth AS INTEGER) AS depth, loc FROM urls JOIN least USING (sitemap)""")
+def sitemap_tree(spark, d):
+    """Landed sitemaps three levels below a root, with indexes that name each other and themselves, a fourth level, and names of what was not landed or is no XML."""
+    j = table(spark, d, "pages").select("url", (F.col("page_id") % 3).alias("kind"), F.expr("string(page_id div 25)").alias("leaf"), F.expr("string(page_id div 100)").alias("k"))
+    name = lambda n, c="k": F.concat(F.lit(f"{n}-"), F.col(c))
+    tops = j.select("leaf", "k").distinct()
+    edge = lambda a, b: tops.select(a.alias("parent"), b.alias("child"))
+    root = F.lit("root")
+    edges = [(root, name("index")), (root, root), (name("index"), name("leaf", "leaf")), (name("index"), root), (name("index"), name("side")), (name("index"), name("missing")), (name("index"), name("broken"))]
+    edges += [(name("side"), name("deep")), (name("side"), name("index")), (name("side"), name("over")), (name("over"), name("gone"))]
+    indexes = reduce(lambda a, b: a.unionAll(b), [edge(*e) for e in edges]).distinct()
+    owner = F.when(F.col("kind") == 0, name("leaf", "leaf")).when(F.col("kind") == 1, name("deep")).otherwise(name("gone"))
+    document = lambda outer, inner, loc: F.concat(F.lit(f'<?xml version="1.0"?><{outer} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(F.concat(F.lit(f"<{inner}><loc> "), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{inner}>"))), ""), F.lit(f"</{outer}>"))
+    landed = indexes.groupBy(F.col("parent").alias("url")).agg(document("sitemapindex", "sitemap", F.col("child")).alias("xml"))
+    landed = landed.unionAll(j.groupBy(owner.alias("url")).agg(document("urlset", "url", F.col("url")).alias("xml"))).unionAll(tops.select(name("broken"), F.lit("<urlset><url><loc>x</urlset>")).distinct())
+    path = folder(spark)
+    landed.write.parquet(path)
+    roots = spark.createDataFrame([("root",)], "url string")
+    return S.sitemap_tree(spark.read.parquet(path), roots).select("sitemap", "depth", "loc")
+
+
 @query("json_append", "SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, 'again' FROM documents WHERE doc_id % 7 = 0")
 def json_append(spark, d):
     path, docs = folder(spark), table(spark, d, "documents")

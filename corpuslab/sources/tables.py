@@ -2,21 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..operators.scratch import saved
 
 POST_COLUMNS = "tweet_id handle account date year month text likes retweets replies quotes views lang".split()
 ARTICLE_COLUMNS = "url year month title domain text word_count source_file".split()
 
 
+CSV = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """record (text of one CSV record, with the line ends inside its quotes) and first (whether it is the first of its file).
+
+    Files are read by byte ranges, as lines. Quotes are doubled inside quoted fields and fields with quotes are quoted, so a line end is inside quotes exactly if the number of
+    quotes before it in the file is odd. That number's parity is added up over the ranges of a file (a row a range), then within each range over its lines. What of a record lies in a later
+    range is joined to the range where the record starts; only such records are shuffled a second time.
+    """
+    m = F.col("_metadata")
+    read = spark.read.text(path, lineSep="\n").select("value", m["file_path"].alias("f"), m["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = read.withColumn("q", (F.length("value") - F.length(F.translate("value", '"', ""))) % 2)
+    # of each range: its parity, and where it first turns; it has a record's start unless it begins inside quotes and ends there or with the line that leaves them
+    of_range = lines.groupBy("f", "b").agg((F.sum("q") % 2).alias("odd"), F.min(F.when(F.col("q") == 1, F.col("i"))).alias("turn"), F.max("i").alias("end"))
+    file = Window.partitionBy("f").orderBy("b")
+    inside = F.coalesce(F.sum("odd").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    known = of_range.withColumn("inside", inside).withColumn("starts", (F.col("inside") == 0) | F.coalesce(F.col("turn") < F.col("end"), F.lit(False)))
+    owner = F.last(F.when(F.col("starts"), F.col("b")), True).over(file.rowsBetween(Window.unboundedPreceding, -1))
+    known = known.select("f", "b", "inside", owner.alias("owner"))
+    by = Window.partitionBy("f", "b").orderBy("i")
+    at = lines.join(known, ["f", "b"]).withColumn("before", (F.col("inside") + F.coalesce(F.sum("q").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2)
+    numbered = at.withColumn("k", F.sum((F.col("before") == 0).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]), "\n")
+    whole = numbered.groupBy("f", "b", "k").agg(text.alias("record"), F.max("owner").alias("owner"), ((F.max("inside") + F.sum("q")) % 2).alias("open"), F.sum("q").alias("quotes"))
+    # k = 0: the rest of an earlier range's record; an odd number of quotes: a record that goes on in the next range
+    done, parts = whole.filter("k > 0 and quotes % 2 = 0"), whole.filter("k = 0 or quotes % 2 = 1")
+    piece = F.struct("b", "record")
+    mended = parts.groupBy("f", F.when(F.col("k") == 0, F.col("owner")).otherwise(F.col("b")).alias("o")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["record"]), "\n").alias("record"), F.max(F.when(F.col("k") == 1, F.col("b"))).alias("only")
+    )
+    first = (F.col("b") == 0) & (F.col("k") == 1)
+    out = done.select("record", first.alias("first")).unionAll(mended.select("record", ((F.col("o") == 0) & (F.coalesce("only", F.lit(-1)) == 0)).alias("first")))
+    return out.withColumn("record", F.regexp_replace("record", "\r$", "")).filter("record <> ''")
+
+
 def csv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All columns as text, quoted fields over several lines, doubled quotes, fields of any size; a byte-order mark is no part of the first name."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1, enforceSchema=False, encoding="UTF-8").csv(path)
+    """All columns as text, quoted fields over several lines, doubled quotes, fields of any size; a byte-order mark is no part of the first name.
+
+    Every file starts with a header of these names, else the query fails. A file of any size is read by as many tasks as it has byte ranges.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    parsed = lambda text: F.from_csv(text, schema, CSV)
+    names = parsed(F.regexp_replace("record", "^\ufeff", ""))
+    wrong = F.raise_error(F.concat(F.lit("not the header that was expected: "), F.substring("record", 1, 1000))).cast("boolean")
+    is_header = F.when(F.col("first"), F.when(names == F.struct(*[F.lit(c).alias(c) for c in columns]), True).otherwise(wrong)).otherwise(False)
+    return csv_records(spark, path).filter(~is_header).select(parsed(F.col("record")).alias("r")).select("r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -68,6 +111,34 @@ def sitemap(spark: SparkSession, path: str, tag: str = "url") -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+ENTRIES = "array<struct<loc:string,lastmod:string>>"
+
+
+def sitemap_tree(landed: DataFrame, roots: DataFrame, depth: int = 3, url: str = "url", xml: str = "xml") -> DataFrame:
+    """sitemap, depth, loc, lastmod: what the sitemaps list that are reached from ``roots`` (column ``url``) by way of indexes, at most ``depth`` steps away.
+
+    landed: fetched documents (url, xml). Level by level: the documents of a frontier are found by a join, and what their indexes name is the next frontier, without what was visited.
+    Each sitemap is read once, at its least depth, however many indexes (or itself) name it; an index lists sitemaps only; what was not fetched or can't be parsed lists nothing.
+    """
+    parsed = F.from_xml(F.col(xml), f"sitemap {ENTRIES}, url {ENTRIES}", {"mode": "PERMISSIVE"})
+    trimmed = lambda c: F.filter(F.transform(F.coalesce(c, F.from_json(F.lit("[]"), ENTRIES)), lambda e: F.struct(F.trim(e["loc"]).alias("loc"), F.trim(F.coalesce(e["lastmod"], F.lit(""))).alias("lastmod"))), lambda e: e["loc"] != "")
+    documents = landed.groupBy(F.col(url).alias("sitemap")).agg(F.min(xml).alias(xml)).select("sitemap", parsed.alias("p")).select("sitemap", trimmed(F.col("p.sitemap")).alias("children"), trimmed(F.col("p.url")).alias("entries"))
+    documents = saved(documents)
+    frontier = saved(roots.select(F.col(url).alias("sitemap")).distinct())
+    visited, read = frontier, None
+    for level in range(depth + 1):
+        here = documents.join(frontier, "sitemap")
+        found = here.filter(F.size("children") == 0).select("sitemap", F.lit(level).alias("depth"), F.explode("entries").alias("e")).select("sitemap", "depth", "e.loc", "e.lastmod")
+        read = found if read is None else read.unionAll(found)
+        if level < depth:
+            named = here.select(F.explode("children").alias("c")).select(F.col("c.loc").alias("sitemap")).distinct()
+            frontier = saved(named.join(visited, "sitemap", "left_anti"))
+            if frontier.isEmpty():
+                break
+            visited = visited.unionAll(frontier)
+    return read
+
+
 def institutions(payloads: DataFrame, column: str) -> DataFrame:
     """Landed JSON lists of institutions, one row for each id."""
     rows = payloads.select(F.explode(F.from_json(column, "array<struct<id_institucion:long,nombre_institucion:string,acronym:string,id_tipo:long>>")).alias("r")).select("r.*")
@@ -105,8 +176,8 @@ def cached_vectors(spark: SparkSession, df: DataFrame, text: str, path: str, mak
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], append: bool = False) -> None:
-    """The named columns, extras ignored."""
-    df.select(*columns).write.mode("append" if append else "overwrite").options(header=True, quote='"', escape='"').csv(path)
+    """The named columns, extras ignored; blanks and line ends around values stay."""
+    df.select(*columns).write.mode("append" if append else "overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:
