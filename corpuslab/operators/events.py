@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import months_touched
+from . import ranges
 
 MOST_EVENTS = 10_000
 
@@ -58,16 +59,66 @@ def largest_shifts(shifts: DataFrame, n: int = 10) -> DataFrame:
     return shifts.orderBy(F.desc(F.round(F.abs("shift"), 9)), "label", "theme").limit(n)
 
 
-def nearest(df: DataFrame, day: str, events: DataFrame) -> DataFrame:
+def nearest(df: DataFrame, day: str, events: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
     """df with nearest_event and days_from_event (negative: before it); the first listed (``idx``) of equally near ones. Null days have neither.
 
-    Nearest events are found once for each distinct day, not for each row.
+    Nearest events are found once for each distinct day, not for each row: among all of a calendar of at most ``most`` events, else by ``nearest_merged``, which takes any calendar.
     """
-    days = df.select(F.col(day).alias("_day")).filter(F.col(day).isNotNull()).distinct()
-    gap = F.datediff("_day", "event_date")
-    best = days.crossJoin(small(events)).groupBy("_day").agg(F.min(F.struct(F.abs(gap).alias("x"), F.col("idx"), F.col("label"), gap.alias("g"))).alias("b"))  # distinct days x a small calendar
+    days = df.select(F.col(day).cast("date").alias("_day")).filter("_day is not null").distinct()
+    if events.limit(most + 1).count() > most:
+        best = nearest_merged(days, events)
+    else:
+        gap = F.datediff("_day", "event_date")
+        best = days.crossJoin(F.broadcast(events)).groupBy("_day").agg(F.min(F.struct(F.abs(gap).alias("x"), F.col("idx"), F.col("label"), gap.alias("g"))).alias("b"))  # distinct days x a small calendar
     found = best.select("_day", F.col("b.label").alias("nearest_event"), F.col("b.g").alias("days_from_event"))
-    return df.join(found, F.col(day) == F.col("_day"), "left").drop("_day")
+    return df.join(found, F.col(day).cast("date") == F.col("_day"), "left").drop("_day")
+
+
+def nearest_merged(days: DataFrame, events: DataFrame) -> DataFrame:
+    """_day, b (x: days away, idx, label, g: signed) of the nearest event: an as-of merge in both directions.
+
+    Days and the first listed event of each day are sorted together in ranges; each day takes the last event up to it and the next one after it, which may lie in another range.
+    """
+    first = events.filter("event_date is not null").groupBy(F.col("event_date").cast("date").alias("_day")).agg(F.min(F.struct("idx", "label")).alias("e"))
+    event = first.select("_day", F.struct(F.col("_day").alias("at"), F.col("e.idx").alias("idx"), F.col("e.label").alias("label")).alias("e"))
+    both = event.unionByName(days.select("_day"), allowMissingColumns=True)
+    p = ranges.placed(both, [F.col("_day"), F.col("e").isNull()])  # an event before the rows of its own day
+    near = ranges.carried(p, "e").filter("e is null")
+
+    def to(c: str) -> Column:
+        gap = F.datediff("_day", F.col(f"{c}.at"))
+        return F.when(F.col(c).isNotNull(), F.struct(F.abs(gap).alias("x"), F.col(f"{c}.idx").alias("idx"), F.col(f"{c}.label").alias("label"), gap.alias("g")))
+
+    return near.select("_day", F.least(to("_last"), to("_next")).alias("b")).filter("b is not null")
+
+
+def in_intervals(df: DataFrame, at: str, intervals: DataFrame, first: str = "first", last: str = "last", with_first: bool = True, with_last: bool = True) -> DataFrame:
+    """Each row once for each interval that its timestamp is in; ``with_first`` and ``with_last`` say which ends belong to it. Null times, null ends and empty intervals match nothing.
+
+    An interval is entered under buckets of a width of at least its own length (a power of two of microseconds), so under two at most; a row under its bucket of each width in use. Rows
+    and intervals meet by equal buckets, and ends are checked then. A row has one bucket a width, so no pair is made twice, and long intervals don't multiply short ones' buckets.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ends = intervals.withColumns({"_a": micros(first), "_z": micros(last)}).filter("_a <= _z")
+    level = F.greatest(F.ceil(F.log2((F.col("_z") - F.col("_a") + 1).cast("double"))).cast("int"), F.lit(0))
+    ends = ends.withColumn("_level", level + (F.call_function("shiftleft", F.lit(1).cast("long"), level) <= F.col("_z") - F.col("_a")).cast("int"))  # doubles round
+    widths = [r[0] for r in ends.select("_level").distinct().collect()]  # 64 at most
+    entered = ends.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.call_function("shiftright", F.col("_a"), F.col("_level")), F.call_function("shiftright", F.col("_z"), F.col("_level"))))))
+    timed = df.withColumn("_t", micros(at)).filter("_t is not null")
+    dealt = timed.withColumn("_l", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>"))).withColumn("_b", F.call_function("shiftright", F.col("_t"), F.col("_l")))
+    low = F.col("_t") >= F.col("_a") if with_first else F.col("_t") > F.col("_a")
+    high = F.col("_t") <= F.col("_z") if with_last else F.col("_t") < F.col("_z")
+    return dealt.join(entered, (F.col("_l") == F.col("_level")) & (F.col("_b") == F.col("_bucket")) & low & high).drop("_a", "_z", "_level", "_bucket", "_t", "_l", "_b")
+
+
+def before_after_hours(df: DataFrame, at: str, marks: DataFrame, key: str, mark_at: str, hours: int = 1) -> DataFrame:
+    """key, n_before in [t - hours, t), n_after in (t, t + hours], for every mark."""
+    t, span = F.col(mark_at).cast("timestamp"), F.make_interval(hours=F.lit(hours))
+    around = marks.select(F.col(key).alias("_k"), t.alias("_mark"), (t - span).alias("first"), (t + span).alias("last"))
+    met = in_intervals(df.select(F.col(at).alias("_at")), "_at", around).withColumn("_at", F.col("_at").cast("timestamp"))
+    n = met.groupBy("_k").agg(F.count_if(F.col("_at") < F.col("_mark")).alias("b"), F.count_if(F.col("_at") > F.col("_mark")).alias("a"))
+    zero = F.lit(0).cast("long")
+    return marks.join(n, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("b", zero).alias("n_before"), F.coalesce("a", zero).alias("n_after"))
 
 
 def by_month(df: DataFrame, month: Column, events: DataFrame, days: int = 30) -> DataFrame:

@@ -187,3 +187,44 @@ def sequential_ids(spark, d):
 @query("topk_largest", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def topk_largest(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
+
+
+@query("nearest_order", """WITH e AS (SELECT CAST(o_orderdate AS DATE) AS event_date, o_orderkey AS idx, o_orderpriority AS label FROM orders WHERE o_totalprice >= 470000 AND month(o_orderdate) IN (3, 8)),
+x AS (SELECT day, label, date_diff('day', event_date, day) AS g, row_number() OVER (PARTITION BY day ORDER BY abs(date_diff('day', event_date, day)), idx) AS k FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem) CROSS JOIN e)
+SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, label AS nearest_event, CAST(g AS INTEGER) AS days_from_event FROM lineitem JOIN x ON CAST(l_shipdate AS DATE) = day WHERE k = 1""")
+def nearest_order(spark, d):
+    """Line items by the nearest large order of a March or August: an as-of merge, as for a calendar of any size."""
+    o = table(spark, d, "orders").filter("o_totalprice >= 470000 and month(o_orderdate) in (3, 8)")
+    e = o.select(F.col("o_orderdate").cast("date").alias("event_date"), F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("label"))
+    out = events.nearest(table(spark, d, "lineitem"), "l_shipdate", e, most=0)
+    return out.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "nearest_event", "days_from_event")
+
+
+@query("event_hours", """SELECT p.event_id, CAST(count_if(e.ts >= p.ts - INTERVAL 1 HOUR AND e.ts < p.ts) AS BIGINT) AS n_before, CAST(count_if(e.ts > p.ts AND e.ts <= p.ts + INTERVAL 1 HOUR) AS BIGINT) AS n_after
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN events e ON e.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts + INTERVAL 1 HOUR GROUP BY p.event_id""")
+def event_hours(spark, d):
+    """Events in the hour before and after each purchase."""
+    e = table(spark, d, "events")
+    return events.before_after_hours(e, "ts", e.filter("event_type = 'purchase'").select("event_id", "ts"), "event_id", "ts")
+
+
+@query("interval_join", """SELECT a.event_id, CAST(count(b.event_id) AS BIGINT) AS n, CAST(coalesce(sum(b.event_id), 0) AS BIGINT) AS ids FROM (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 60 * (1 + event_id % 7) WHEN 'error' THEN 86400 ELSE 1 END AS seconds FROM events WHERE event_type IN ('signup', 'error') AND value > 100) a
+LEFT JOIN events b ON b.event_type = 'click' AND b.ts >= a.ts AND b.ts < a.ts + to_seconds(a.seconds) GROUP BY a.event_id""")
+def interval_join(spark, d):
+    """Clicks within some minutes of a signup or a day of an error: half-open intervals of very different lengths."""
+    e = table(spark, d, "events")
+    seconds = F.when(F.col("event_type") == "signup", 60 * (1 + F.col("event_id") % 7)).otherwise(86400)
+    a = e.filter("event_type in ('signup', 'error') and value > 100").withColumn("first", F.col("ts").cast("timestamp"))
+    a = a.select(F.col("event_id").alias("a_id"), "first", F.timestamp_micros(F.unix_micros("first") + 1_000_000 * seconds).alias("last"))
+    met = events.in_intervals(e.filter("event_type = 'click'").select("event_id", "ts"), "ts", a, with_last=False)
+    n = met.groupBy("a_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    zero = F.lit(0).cast("long")
+    return a.select("a_id").join(n, "a_id", "left").select(F.col("a_id").alias("event_id"), F.coalesce("n", zero).alias("n"), F.coalesce("ids", zero).alias("ids"))
+
+
+@query("median_selected", "SELECT l_returnflag, round(median(l_extendedprice), 6) + 0.0 AS price, round(median(l_quantity), 6) + 0.0 AS quantity FROM lineitem GROUP BY ALL")
+def median_selected(spark, d):
+    """Medians of groups that hold a third of all rows and more, by selection; quantities have few distinct values."""
+    x = table(spark, d, "lineitem")
+    price, quantity = (series.selected_medians(x, "l_returnflag", c, most=100).withColumnRenamed(c, n) for c, n in (("l_extendedprice", "price"), ("l_quantity", "quantity")))
+    return price.join(quantity, "l_returnflag").select("l_returnflag", r6(F.col("price")).alias("price"), r6(F.col("quantity")).alias("quantity"))
