@@ -98,6 +98,7 @@ def greedy(df: DataFrame, url: str, text: str, source: str, title: str, date: st
 
     Round by round, in Spark: a row that comes first for all of its keys among the undecided is kept; rows that share a key with it go. Keys of kept rows leave
     with them, so every round decides at least the first row of each connected group; a key of a third of all rows is decided in one round by a combined minimum.
+    After a few rounds chains of rows that wait for one another are decided whole.
     """
     t = F.substring(F.coalesce(F.col(title), F.lit("")), 1, 100)
     u = U.normalise(F.col(url))
@@ -106,22 +107,54 @@ def greedy(df: DataFrame, url: str, text: str, source: str, title: str, date: st
         F.array(F.when(u != "", F.concat(F.lit("u:"), u)), F.concat(F.lit("f:"), X.fingerprint(F.col(text))), F.when(t != "", F.concat_ws("\u0001", F.lit("k:"), part(source), t, part(date))))
     )
     spark = df.sparkSession
-    left = saved(df.select(F.col(order).alias("o"), F.explode(keys).alias("k")))
+    left = saved(df.select(F.col(order).alias("o"), F.explode(keys).alias("k")).distinct())
     kept = None
-    for _ in range(rounds):
-        firsts = left.groupBy("k").agg(F.min("o").alias("first"))
-        winners = left.join(firsts, "k").groupBy("o").agg(F.min((F.col("o") == F.col("first")).cast("int")).alias("all")).filter(F.col("all") == 1).select("o")
-        winners = saved(winners)
+    for n in range(rounds):
+        decided = _firsts(left) if n < PLAIN_ROUNDS else _contracted(left)
+        winners = saved(decided)
         kept = winners if kept is None else kept.union(winners)
         taken = left.join(winners, "o", "left_semi").select("k").distinct()
         gone = left.join(taken, "k", "left_semi").select("o").distinct()
         left = saved(left.join(gone, "o", "left_anti"))
         if left.isEmpty():
             return df.join(kept.select(F.col("o").alias("_kept")), F.col(order) == F.col("_kept"), "left_semi")
-    # chains longer than the rounds: each undecided group is finished in order; groups are components of what is left
+    # neither first nor in a chain for so many rounds: each undecided group is finished in order; groups are components of what is left
     return df.join(kept.union(_finish(spark, left)).select(F.col("o").alias("_kept")), F.col(order) == F.col("_kept"), "left_semi")
 
 
+PLAIN_ROUNDS = 6
+
+
+def _firsts(left: DataFrame) -> DataFrame:
+    """Rows that come first for all of their keys."""
+    firsts = left.groupBy("k").agg(F.min("o").alias("first"))
+    return left.join(firsts, "k").groupBy("o").agg(F.min((F.col("o") == F.col("first")).cast("int")).alias("all")).filter(F.col("all") == 1).select("o")
+
+
+def _contracted(left: DataFrame) -> DataFrame:
+    """``_firsts``, and rows of chains that begin with them.
+
+    A row that has one row before it in all of its keys waits for that row alone, and stays exactly if it goes. Following such rows from one to the next leads to the chain's first row; each
+    round of joins doubles the steps that are known (pointer jumping), so a chain of n rows takes log n rounds. The rows an even number of steps behind a first row stay.
+    """
+    firsts = left.groupBy("k").agg(F.min("o").alias("first"))
+    met = left.join(firsts, "k")
+    seconds = met.filter("o > first").groupBy("k").agg(F.min("o").alias("second"))
+    before = F.when(F.col("o") == F.col("first"), 0).when(F.col("o") == F.col("second"), 1).otherwise(2)
+    state = met.join(seconds, "k", "left").withColumn("before", before).groupBy("o").agg(F.max("before").alias("most"), F.min(F.when(F.col("before") == 1, F.col("first"))).alias("p"), F.max(F.when(F.col("before") == 1, F.col("first"))).alias("p2"))
+    state = saved(state)
+    free = state.filter("most = 0").select("o")
+    ways = saved(state.filter("most = 1 and p = p2").select("o", "p", F.lit(1).alias("odd")))
+    while True:
+        beyond = ways.select(F.col("o").alias("_o"), F.col("p").alias("_p"), F.col("odd").alias("_odd"))
+        nxt = saved(ways.join(beyond, F.col("p") == F.col("_o"), "left").select("o", F.coalesce("_p", "p").alias("p"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd"), F.col("_p").isNotNull().alias("moved")))
+        ways = nxt.select("o", "p", "odd")
+        if nxt.filter("moved").isEmpty():
+            break
+    stay = ways.filter("odd = 0").join(free.withColumnRenamed("o", "p"), "p", "left_semi").select("o")
+    return free.union(stay)
+
+
 def _finish(spark, left: DataFrame) -> DataFrame:
     """The rest by components (least order number reachable by shared keys), each walked in order."""
     label = left.withColumn("c", F.col("o"))

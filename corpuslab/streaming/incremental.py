@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import first
-from ..operators.lookup import unseen
-from ..sources.tables import exists
-
 
 def stream(spark: SparkSession, path: str, schema, files_a_batch: int = 50) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
@@ -24,19 +20,32 @@ def new_rows(df: DataFrame, ts: str, *keys: str, delay: str = "1 day") -> DataFr
     return _timed(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys])
 
 
-def append_unseen(df: DataFrame, out: str, checkpoint: str, *keys: str):
-    """Appends rows whose keys ``out`` has not; a batch that is run again after a failure adds nothing twice.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Of a batch's rows with one key the first by its other columns, as listed, is taken. Of ``out`` only the key columns are read.
-    """
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.parquet(out) if exists(spark, out) else None
-        order = [F.col(c) for c in batch.columns if c not in keys] or [F.lit(0)]
-        unseen(first(batch, [*map(F.col, keys)], order), done, *keys).write.mode("append").parquet(out)
+def append_unseen(df: DataFrame, out: str, checkpoint: str, *keys: str, write=None):
+    """Appends rows whose keys were not seen before. Seen keys are state of the stream (on the executors' disks, saved to the checkpoint by batch), looked up by key, so a batch reads
+    nothing of ``out``, however much there is.
 
-    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch is written to a folder of its own number, and one that is run again after a failure writes the same folder again: nothing is added twice, and ``loaded`` reads
+    what was finished. Of a batch's rows with one key any one is taken: repeated keys should be repeated rows, or come in later files.
+    """
+    spark = df.sparkSession
+    put = write or (lambda batch, path: batch.write.mode("overwrite").parquet(path))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    with_default = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)  # is read when the query starts
+    try:
+        return (
+            df.dropDuplicates([*keys]).writeStream.foreachBatch(lambda batch, n: put(batch, f"{out}/batch={n}"))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(name, with_default)
+
+
+def loaded(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).drop("batch")
 
 
 def daily_counts(df: DataFrame, ts: str, group: str, delay: str = "1 day") -> DataFrame:
