@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -43,9 +44,18 @@ def title(html: Column) -> Column:
     return F.coalesce(meta(h, "og:title"), inner("h1"), inner("title"))
 
 
-def json_value(html: Column, key: str) -> Column:
-    """A string of the page's JSON-LD."""
-    return F.nullif(F.regexp_extract(html, rf"""(?is)<script[^>]*application/ld\+json[^>]*>(?:(?!</script>).)*?"{key}"\s*:\s*"([^"]*)""", 1), F.lit(""))
+def json_ld(html: Column) -> Column:
+    """array<variant>: the objects of a page's JSON-LD scripts, in order: each script's own, those of its list, and those of an ``@graph`` in either. Broken scripts have none."""
+    bodies = F.regexp_extract_all(filled(html), F.lit(r"""(?is)<script[^>]*\bapplication/ld\+json[^>]*>(.*?)</script>"""), F.lit(1))
+    listed = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    top = F.flatten(F.transform(bodies, lambda b: let(F.try_parse_json(b), lambda v: F.concat(F.array(v), listed(v, "$")))))
+    return F.flatten(F.transform(top, lambda v: F.concat(F.array(v), listed(v, "$['@graph']"))))
+
+
+def json_value(html: Column, *keys: str) -> Column:
+    """The first non-empty text under the first of ``keys`` that any object of the page's JSON-LD has."""
+    text = lambda k, v: F.nullif(strip(F.try_variant_get(v, f"$['{k}']", "string")), F.lit(""))
+    return let(json_ld(html), lambda nodes: F.coalesce(*[F.get(F.array_compact(F.transform(nodes, partial(text, k))), 0) for k in keys]))
 
 
 def date_text(html: Column) -> Column:
@@ -54,7 +64,7 @@ def date_text(html: Column) -> Column:
     top = F.substring(F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)\b.*?</\1>", ""), "<[^>]+>", ""), 1, 1000)
     seen = [F.nullif(F.regexp_extract(top, p, 0), F.lit("")) for p in (r"(?U)\d{1,2}\s+de\s+\w+\s+de\s+\d{4}", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\d{1,2}/\d{4}")]
     time = F.nullif(F.regexp_extract(h, r"""(?is)<time[^>]*\bdatetime\s*=\s*["']([^"']*)""", 1), F.lit(""))
-    return F.coalesce(*[meta(h, n) for n in DATE_NAMES], *[json_value(h, k) for k in DATE_KEYS], time, *seen)
+    return F.coalesce(*[meta(h, n) for n in DATE_NAMES], json_value(h, *DATE_KEYS), time, *seen)
 
 
 def links(html: Column, base: Column) -> Column:
@@ -90,9 +100,11 @@ def engagement(html: Column) -> Column:
     h = filled(html)
     found = lambda c: F.nullif(c, F.lit(""))
 
-    def statistic(kind):
-        block = r"""(?is)"interactionType"\s*:\s*"?[^,}]*%s[^,}]*,[^}]*?"userInteractionCount"\s*:\s*"?([\d.,kKmM]+)""" % kind
-        return found(F.regexp_extract(h, block, 1))
+    def statistic(nodes, kind):
+        """The count of the first interaction of this kind; types are texts or objects, statistics lists or one object."""
+        every = F.flatten(F.transform(nodes, lambda v: F.coalesce(F.try_variant_get(v, "$.interactionStatistic", "array<variant>"), F.array_compact(F.array(F.try_variant_get(v, "$.interactionStatistic", "variant"))))))
+        own = F.filter(every, lambda s: F.contains(F.to_json(F.try_variant_get(s, "$.interactionType", "variant")), F.lit(kind)))
+        return found(F.get(F.array_compact(F.transform(own, lambda s: F.try_variant_get(s, "$.userInteractionCount", "string"))), 0))
 
     def listed(kind):
         return [found(selected(h, s)) for s in L.COUNT_SELECTORS[kind]]
@@ -100,13 +112,15 @@ def engagement(html: Column) -> Column:
     def data(name):
         return found(F.regexp_extract(h, rf"""(?is)<\w+[^>]*\bdata-{name}\s*=\s*["']([^"']*\d[^"']*)""", 1))
 
-    own = found(F.regexp_extract(h, r"""(?is)"commentCount"\s*:\s*"?([\d.,kKmM]+)""", 1))
-    comment = F.coalesce(statistic("Comment"), own, meta(h, "commentCount"), *listed("comments"), data("comments"))
-    like = F.coalesce(statistic("Like"), *listed("likes"))
-    share = F.coalesce(statistic("Share"), *listed("shares"), data("shares"))
-    view = F.coalesce(*listed("views"))
-    # the first text with a digit counts, and is read once
-    return F.struct(*[let(c, parse_count).alias(f"{n}_count") for n, c in (("comment", comment), ("like", like), ("share", share), ("view", view))])
+    def counted(nodes):
+        own = found(F.get(F.array_compact(F.transform(nodes, lambda v: F.try_variant_get(v, "$.commentCount", "string"))), 0))
+        comment = F.coalesce(statistic(nodes, "Comment"), own, meta(h, "commentCount"), *listed("comments"), data("comments"))
+        like = F.coalesce(statistic(nodes, "Like"), *listed("likes"))
+        share = F.coalesce(statistic(nodes, "Share"), *listed("shares"), data("shares"))
+        # the first text with a digit counts, and is read once
+        return F.struct(*[let(c, parse_count).alias(f"{n}_count") for n, c in (("comment", comment), ("like", like), ("share", share), ("view", F.coalesce(*listed("views"))))])
+
+    return let(json_ld(h), counted)
 
 
 class _Text(HTMLParser):

@@ -174,11 +174,34 @@ def title_key(title: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(filled(title)), "[^a-záéíóúñü0-9]", ""), 1, 120)
 
 
+def found_phrases(lowered: Column, phrases: list[str]) -> Column:
+    """Distinct ``phrases`` (words with one space between) that the text has as whole words.
+
+    The text is cut into words once; runs of words that begin with some phrase's first word are looked up in a hash set, for each length that phrases have.
+    """
+    kept = sorted({p.lower() for p in phrases})
+    if odd := [p for p in kept if not re.fullmatch(r"\w+(?: \w+)*", p)]:
+        raise ValueError(f"not words with single spaces between: {odd}")
+    # what is not one space between two words is a word of its own, which no phrase has
+    words = F.split(F.regexp_replace(lowered, r"(?U)[^\w ]+| {2,}", " \u0001 "), " +")
+
+    def of_length(ws: Column, k: int) -> Column:
+        own = [p for p in kept if p.count(" ") == k - 1]
+        if k == 1:
+            return F.filter(ws, lambda w: w.isin(own))
+        starts = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(sorted({p.split(" ")[0] for p in own})), i + 1)), lambda i: i.isNotNull())
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(ws, i, k), " ")), lambda p: p.isin(own))
+
+    lengths = sorted({p.count(" ") + 1 for p in kept})
+    return let(words, lambda ws: F.array_distinct(F.concat(*[of_length(ws, k) for k in lengths]))) if lengths else F.array().cast("array<string>")
+
+
 def relevance(title: Column, text: Column, strong: list[str] | None = None, normal: list[str] | None = None, most: int = 1500) -> Column:
     """Two points for each strong and one for each normal keyword found as a whole word; each once."""
     sample = F.lower(F.concat_ws(" ", filled(title), F.substring(filled(text), 1, most)))
-    listed = [(k, 2) for k in (L.STRONG_KEYWORDS if strong is None else strong)] + [(k, 1) for k in (L.NORMAL_KEYWORDS if normal is None else normal)]
-    return reduce(lambda a, b: a + b, [F.when(sample.rlike(whole(k)), F.lit(n)).otherwise(F.lit(0)) for k, n in listed], F.lit(0))
+    strong, normal = ([k.lower() for k in (own if given is None else given)] for given, own in ((strong, L.STRONG_KEYWORDS), (normal, L.NORMAL_KEYWORDS)))
+    points = lambda found: F.size(F.filter(found, lambda p: p.isin(strong))) * 2 + F.size(F.filter(found, lambda p: p.isin(normal)))
+    return let(found_phrases(sample, strong + normal), points)
 
 
 def whole(keyword: str) -> str:

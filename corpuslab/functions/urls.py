@@ -81,10 +81,10 @@ def rule_chain(rules: list[tuple[Column, str]], accepted: str = "kept") -> Colum
 
 
 def geo_reason(url: Column, country: Column, own: list[str], skip: list[str], code: str = "ES") -> Column:
-    host = F.lower(netloc(url))
+    host = domain(F.lit(""), url)
     return rule_chain([(filled(url) == "", "no_url"), (host.isin(skip), "domain"), (~((filled(country) == code) | host.isin(own)), "geo"), (rejected_section(url), "section")])
 
 
 def priority_reason(url: Column, priority: list[str], own: list[str], skip: list[str]) -> Column:
-    host = F.lower(netloc(url))
+    host = domain(F.lit(""), url)
     return rule_chain([(filled(url) == "", "no_url"), (host.isin(own), "domestic"), (host.isin(skip), "domain"), (~host.isin(priority), "not_priority"), (rejected_section(url, at_end=True), "section")])
