@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calendar, curation, landed, vocabulary  # noqa: F401  they register their queries
+from . import calendar, curation, landed, reports, vocabulary  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 

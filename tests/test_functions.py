@@ -110,3 +110,20 @@ def test_log_odds(spark):
     m2 = [terms.vocabulary_log_odds(*lits(*v)) for v in ((10, 100, 40, 5, 400, 90), (3, 20, 10, 0, 100, 50))]
     got = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(m1 + m2)]).first()
     assert all(math.isclose(a, b, abs_tol=1e-4) for a, b in zip(got, (2.125703, 4.393861, 23.718998, 1.957210, 3.555348), strict=True))
+
+
+def test_json_ld(each):
+    ld = lambda *bodies: "".join(f'<script type="application/ld+json">{b}</script>' for b in bodies)
+    value = lambda h: H.json_value(h, "datePublished", "dateCreated")
+    pages = [
+        ld('{"@graph": [{"@type": "WebPage"}, {"dateCreated": "2019-01-01", "datePublished": "2020-02-02"}]}'), ld('[{"x": 1}, {"datePublished": "a \\"quoted\\" \\u00e9"}]'),
+        ld('{"datePublished": "broken', '{"dateCreated": "2018-01-01"}'), ld('[{"@graph": [{"datePublished": "in a list"}]}]'), ld('{"text": "\\"datePublished\\": \\"no\\""}'),
+        '<script>{"datePublished": "other script"}</script>', ld('{"datePublished": ""}', '{"datePublished": 2020}'), None,
+    ]
+    assert each(value, *pages) == ["2020-02-02", 'a "quoted" é', "2018-01-01", "in a list", None, None, "2020", None]
+    count = lambda t, n: f'{{"interactionType": {t}, "userInteractionCount": {n}}}'
+    stats = [
+        ld('{"interactionStatistic": [%s, %s]}' % (count('"http://schema.org/LikeAction"', 7), count('{"@type": "CommentAction"}', '"1,5"'))), ld('{"@graph": [{"interactionStatistic": %s, "commentCount": 4}]}' % count('"ShareAction"', '"2K"')),
+        ld('{"commentCount": "3", "a": "}"}'), ld('{"commentCount": '),
+    ]
+    assert [tuple(e) for e in each(H.engagement, *stats)] == [(15, 7, None, None), (4, None, 2000, None), (3, None, None, None), (None,) * 4]

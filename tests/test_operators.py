@@ -1,3 +1,4 @@
+import re
 """Operators on small tables whose results are known, and properties that hold for all."""
 
 import math
@@ -216,13 +217,38 @@ def test_stream_equals_batch(spark, tmp_path):
     df.union(df.limit(50)).repartition(3).write.parquet(src)
     for _ in range(2):  # the second run finds nothing new
         incremental.append_unseen(incremental.stream(spark, src, df.schema, 1), out, f"{tmp_path}/c", "event_id").awaitTermination()
-    assert spark.read.parquet(out).count() == df.count() == spark.read.parquet(out).select("event_id").distinct().count()
+    got = incremental.loaded(spark, out)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
     q = incremental.daily_counts(incremental.stream(spark, src, df.schema), "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).start()
     q.awaitTermination()
     batch = spark.read.parquet(src).groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n"))
     assert {(r.d, r.event_type, r.n) for r in batch.collect()} == {(r.day.start.date(), r.event_type, r.n) for r in spark.table("daily").collect()}
 
 
+def test_failed_batch_is_written_once(spark, tmp_path):
+    """A batch that fails after it was written is run again, writes the same folder, and its keys are still new to it; later files bring no seen key."""
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema, tries = "k long, v string", []
+
+    def put(batch, path):
+        batch.write.mode("overwrite").parquet(path)
+        tries.append(path)
+        if len(tries) == 2:
+            raise RuntimeError("lost")
+
+    for n in range(3):
+        spark.range(n * 40, n * 40 + 60).selectExpr("id AS k", f"'{n}' AS v").coalesce(1).write.mode("append").parquet(src)
+    start = lambda: incremental.append_unseen(incremental.stream(spark, src, schema, 1), out, f"{tmp_path}/c", "k", write=put)
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    start().awaitTermination()
+    assert len(tries) == 4 and tries[1] == tries[2]
+    assert sorted(r.k for r in incremental.loaded(spark, out).collect()) == list(range(140))
+    spark.range(130, 150).selectExpr("id AS k", "'late' AS v").coalesce(1).write.mode("append").parquet(src)
+    start().awaitTermination()
+    assert sorted(r.k for r in incremental.loaded(spark, out).collect()) == list(range(150))
+
+
 def test_partitions_do_not_matter(spark):
     from corpuslab.plans.base import articles
 
@@ -256,3 +282,125 @@ def test_ids_and_places_need_no_window_over_a_key(spark):
     assert all(c[n] == (max((x for x in at if x <= n), default=None), min((x for x in at if x >= n), default=None)) for n in range(3000))
     empty = ranges.placed(df.filter("n < 0"), [F.col("n")])
     assert empty.total == 0 and ranges.carried(empty, "n").count() == 0 and lookup.ids(df.filter("n < 0"), "key", ["n"]).count() == 0
+
+
+def test_chain_of_greedy_rows(spark):
+    """Row i shares its URL or its title with the next one: every second row stays. Longer than the rounds are many."""
+    n = 100_000
+    i = F.col("id")
+    df = spark.range(n).select(
+        i.alias("pos"), F.concat(F.lit("http://x.org/"), F.expr("string((id + 1) div 2)")).alias("url"), F.concat(F.lit("text "), i.cast("string")).alias("text"), F.lit("s").alias("source"),
+        F.concat(F.lit("title "), F.expr("string(id div 2)")).alias("title"), F.lit("2020").alias("date"),
+    )
+    out = dedup.greedy(df, "url", "text", "source", "title", "date")
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(r.pos for r in out.select("pos").collect())
+    assert got == list(range(0, n, 2))
+
+
+def test_greedy_equals_sequential_pass(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, f"http://x.org/{r.randint(0, 90)}", f"t{r.randint(0, 150)}", "s", f"title {r.randint(0, 120)}", "2020") for k in range(260)]
+    # ladders, in which a row waits for two others
+    rows += [(300 + k, f"http://y.org/{k // 2}", f"u{(k + 1) // 3}", "s", f"other {(k + 1) // 2}", "2020") for k in range(60)]
+    df = spark.createDataFrame(rows, "pos long, url string, text string, source string, title string, date string")
+    seen, want = set(), []
+    for pos, url, text, source, title, date in rows:
+        keys = {("u", url), ("f", text), ("k", source, title, date)}
+        if not seen & keys:
+            seen |= keys
+            want.append(pos)
+    for rounds in (2, 8, 60):
+        assert sorted(x.pos for x in dedup.greedy(df, "url", "text", "source", "title", "date", rounds=rounds).select("pos").collect()) == want
+
+
+def test_csv_of_one_large_file_is_read_by_ranges(spark, tmp_path):
+    from corpuslab.sources import tables as S
+
+    note = F.when(F.col("id") % 3 == 0, F.lit('a "quoted", \n\n field')).when(F.col("id") % 7 == 0, F.repeat(F.lit('line "of", a long\nfield\n'), 200)).when(F.col("id") % 5 == 0, F.lit('"')).otherwise(F.lit("plain"))
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), note.alias("note"), F.when(F.col("id") % 2 == 0, F.lit("")).alias("end"))
+    path = f"{tmp_path}/one"
+    S.write_csv(df.coalesce(1), path, ["id", "note", "end"])
+    want = spark.read.schema("id string, note string, end string").options(header=True, multiLine=True, escape='"').csv(path).collect()  # in one task
+    assert sorted((r.id, r.note) for r in want) == sorted((r.id, r.note) for r in df.collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "16k", "64k"):  # records of 5 kB cover whole ranges of the first
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = S.csv_rows(spark, path, ["id", "note", "end"])
+            assert spark.read.text(path).rdd.getNumPartitions() > 8
+            assert sorted(map(str, got.collect())) == sorted(map(str, want)), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(Exception, match="not the header"):
+        S.csv_rows(spark, path, ["id", "other", "end"]).collect()
+    S.write_csv(df.limit(0), f"{tmp_path}/none", ["id", "note", "end"])
+    assert S.csv_rows(spark, f"{tmp_path}/none", ["id", "note", "end"]).count() == 0
+
+
+def test_as_of_merge(spark):
+    from corpuslab.operators import events
+
+    days = spark.range(0, 4000, 7).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    cal = spark.range(0, 400).select(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") * 37 % 2500).cast("int")).alias("event_date"), F.col("id").cast("int").alias("idx"), F.col("id").cast("string").alias("label"))
+    a, b = (sorted(map(tuple, events.nearest(days, "day", cal, most=m).collect())) for m in (0, 10_000))
+    assert a == b and len(a) == days.count()
+    many = spark.range(1_000_000).select(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * 7919 % 30_000).cast("int")).alias("event_date"), F.col("id").cast("int").alias("idx"), F.lit("e").alias("label"))
+    out = events.nearest(days, "day", many)
+    assert not re.search("CartesianProduct|NestedLoop", out._jdf.queryExecution().executedPlan().toString()) and out.filter("days_from_event is null").count() == 0
+    none = events.nearest(days.union(spark.sql("SELECT CAST(NULL AS DATE)")), "day", cal.limit(0), most=0)
+    assert none.count() == days.count() + 1 and none.filter("nearest_event is not null").count() == 0
+
+
+def test_interval_join(spark):
+    import random
+
+    from corpuslab.operators import events
+
+    r = random.Random(1)
+    at = [(k, r.randint(0, 10**6)) for k in range(300)] + [(999, None)]
+    spans = [(k, a, a + r.choice([0, 1, 10, 1000, 65_536, 10**6])) for k, a in ((k, r.randint(-1000, 10**6)) for k in range(120))] + [(500, 9, 3), (501, None, 4)]
+    df = spark.createDataFrame(at, "k long, t long").select("k", F.timestamp_micros("t").alias("t"))
+    iv = spark.createDataFrame(spans, "j long, a long, z long").select("j", F.timestamp_micros("a").alias("first"), F.timestamp_micros("z").alias("last"))
+    for low, high in ((True, True), (False, True), (True, False), (False, False)):
+        want = sorted((k, j) for k, t in at for j, a, z in spans if None not in (t, a) and a <= z and (a < t or low and a == t) and (t < z or high and t == z))
+        out = events.in_intervals(df, "t", iv, with_first=low, with_last=high)
+        assert sorted((x.k, x.j) for x in out.collect()) == want and not re.search("CartesianProduct|NestedLoop", out._jdf.queryExecution().executedPlan().toString())
+    assert events.in_intervals(df, "t", iv.limit(0)).count() == 0
+
+
+def test_selected_medians(spark):
+    import random
+    import statistics
+
+    from corpuslab.operators import series
+
+    r = random.Random(3)
+    groups = {"hot": [r.random() for _ in range(7001)], "even": [r.gauss(0, 1e6) for _ in range(2000)], "same": [5.0] * 900, "two": [1.0] * 500 + [2.0] * 500, "wide": [10.0 ** r.randint(-300, 300) for _ in range(999)], "one": [3.0], "steps": [float(k // 400) for k in range(2001)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), (None, 1.5), (None, 2.5), ("nulls", None)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {k: statistics.median(v) for k, v in groups.items()} | {None: 2.0}
+    for most in (1, 50, 10_000):
+        got = {x.g: x.v for x in series.selected_medians(df, "g", "v", most=most, accuracy=100).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-12 * abs(want[k]) for k in want), most
+    months = df.select(F.lit("2020-01-05").cast("date").alias("day"), "v").filter("not isnan(v) or v is null")
+    assert series.medians(months, "day", "v", most=100).first().v == series.medians(months, "day", "v").first().v
+
+
+def test_phrases_are_those_of_the_patterns(spark):
+    from corpuslab import lexicons as L
+    from corpuslab.functions import text as X
+
+    texts = ["nuevas ideas", "nuevas  ideas", "nuevas\nideas", "xnuevas ideas", "nuevas ideas, fmln.", "barrio 18 y barrio 180", "sala de lo constitucional de la sala", "gana-pcn", "gana_pcn", "año política É", "ONG ong Ong", "", None, "la corte de cuentas la corte suprema"]
+    lists = sorted({k.lower() for k in L.STRONG_KEYWORDS + L.NORMAL_KEYWORDS})
+    low = F.lower(X.filled(F.col("t")))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.found_phrases(low, lists).alias("found"), *[low.rlike(X.whole(k)).alias(f"k{i}") for i, k in enumerate(lists)]).collect():
+        assert sorted(r.found) == [k for i, k in enumerate(lists) if r[f"k{i}"]], r.t
+    plan = df.select(X.relevance(F.col("t"), F.lit(""))).selectExpr("*")._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan
+    with pytest.raises(ValueError):
+        X.found_phrases(low, ["a-b"])
