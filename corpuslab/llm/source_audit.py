@@ -123,7 +123,7 @@ def index(docs: DataFrame, s: Settings = Settings()) -> Index:
         kept = materialise(found.select("lang", "source", "term", F.col("n").alias("count")), "kept-terms")
     terms = materialise(kept.groupBy("lang", "term").agg(F.sum("count").alias("total")), "terms")
     n = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    v = terms.groupBy("lang").agg(F.count("*").alias("v"))
+    v = _by_lang(terms.groupBy("lang").agg(F.count("*").alias("v")))
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     zero = F.lit(0).cast("long")
     groups = docs.select(part("lang"), part("source")).distinct().join(n, ["lang", "source"], "left").join(v, "lang", "left")
@@ -133,6 +133,11 @@ def index(docs: DataFrame, s: Settings = Settings()) -> Index:
     return Index(groups, materialise(postings, "postings"), terms)
 
 
+def _by_lang(df: DataFrame) -> DataFrame:
+    """A row a language; as long as these are few, what is joined with them isn't dealt by language."""
+    return F.broadcast(df) if small(df) else df
+
+
 def _blocked(df: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
     """Each row once for every pair of blocks (i, j) that its own block (blk) is in."""
     dealt = df.join(blocks, "lang").withColumn("blk", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
@@ -148,7 +153,7 @@ def _met(a: str, b: str) -> Column:
 def pairs(ix: Index, s: Settings = Settings()) -> DataFrame:
     """lang, a, b (a < b), value: every two groups of a language."""
     blocks = ix.groups.groupBy("lang").agg(F.ceil(F.count("*") / s.members).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks) if small(blocks) else blocks  # a row a language
+    blocks = _by_lang(blocks)
     groups = _blocked(ix.groups, blocks, "source", "v", "z")
     unit = lambda *more: [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("lang", "i", "j", *more)]
     f = lambda p, q: divergence(F.col(p), F.col(q))
@@ -179,7 +184,7 @@ def audit(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     order = ["lang", "source", "part", "item", "value", "rank"]
     pair_rows = both.withColumns({"part": F.lit("pair"), "rank": F.row_number().over(ranked)}).select(order)
 
-    totals = ix.terms.groupBy("lang").agg(F.sum("total").alias("n"), F.count("*").alias("v"))
+    totals = _by_lang(ix.terms.groupBy("lang").agg(F.sum("total").alias("n"), F.count("*").alias("v")))
     whole = ix.terms.join(totals, "lang").select("lang", "term", share(F.col("total"), F.col("n"), F.col("v")).alias("q"))
     more = ix.postings.join(whole, ["lang", "term"]).filter("p > q").select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     term_rows = more.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= s.top).withColumn("part", F.lit("term")).select(order)
