@@ -131,11 +131,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _in_order(own: DataFrame, rows: int) -> DataFrame:
-    """key, and of the document before: pre, take (characters that it takes from this one). Documents by falling id. own: _id, _text, _key."""
+    """key, and of the document before: pre, pre_id, take (characters that it takes from this one). Documents by falling id. own: _id, _text, _key."""
     narrow = own.select("_id", "_key", F.floor(F.length("_text") / 3).cast("long").alias("take")).distinct()
     n = max(own.sparkSession.sparkContext.defaultParallelism, 1 + rows // ranges.ROWS_A_RANGE)
     p = ranges.placed(narrow, [F.col("_id").desc_nulls_last(), F.col("_key")], n)
-    before = p.rows.select(F.col("_key").alias("pre"), "take", F.pmod(F.col("_place") + 1, F.lit(max(p.total, 1))).alias("_place"))
+    before = p.rows.select(F.col("_key").alias("pre"), F.col("_id").alias("pre_id"), "take", F.pmod(F.col("_place") + 1, F.lit(max(p.total, 1))).alias("_place"))
     return materialise(p.rows.select(F.col("_key").alias("key"), "_place").join(before, "_place").drop("_place"), "document-order")
 
 
@@ -145,10 +145,11 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     key = F.concat(F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), F.lit(" "), F.md5(t))  # never null, so that both joins and the sum by it share one shuffle
     own = docs.select(i.alias("_id"), t.alias("_text"), key.alias("_key"))
     order = _in_order(own, docs.count())
+    texts = own.select("_text", "_key")  # the same columns for both joins, so that one shuffle serves both
     prefix = F.substring(F.col("_text"), F.lit(1), F.col("take").cast("int")).alias("prefix")
-    nxt = own.join(order, F.col("_key") == F.col("key")).select("pre", prefix, fingerprint(F.col("_text")).alias("next_fingerprint"))
-    nxt = nxt.groupBy("pre").agg(F.first("prefix").alias("prefix"), F.first("next_fingerprint").alias("next_fingerprint"))  # a row may be there many times
-    both = own.join(nxt, F.col("_key") == F.col("pre"))
+    nxt = texts.join(order, F.col("_key") == F.col("key")).select("pre", "pre_id", prefix, fingerprint(F.col("_text")).alias("next_fingerprint"))
+    nxt = nxt.groupBy("pre").agg(*[F.first(c).alias(c) for c in ("pre_id", "prefix", "next_fingerprint")])  # a row may be there many times
+    both = texts.join(nxt, F.col("_key") == F.col("pre"))
     kept = F.length("_text") - F.floor(F.length("_text") / 3)
-    whole = both.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.concat(F.substring(F.col("_text"), F.lit(1), kept.cast("int")), "prefix").alias("edited"), "next_fingerprint")
+    whole = both.select(F.col("pre_id").alias("doc_id"), F.col("_text").alias("text"), F.concat(F.substring(F.col("_text"), F.lit(1), kept.cast("int")), "prefix").alias("edited"), "next_fingerprint")
     return whole.select("doc_id", "text", "edited", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")

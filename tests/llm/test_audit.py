@@ -176,12 +176,25 @@ def brute_edited(rows):
     return out
 
 
+def ran(spark, df):
+    """The plan that ran, without broadcasts."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = df.select("*")
+        again.collect()
+        return again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_fingerprints_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute_edited(rows)
     found = fingerprints.edited(docs)
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", found._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"ReusedExchange|Reused Exchange", ran(spark, found))  # texts are shuffled once
     near = lambda c: fingerprints.likeness(F.col("fingerprint"), F.col(c))
     got = found.select("*", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"), fingerprints.edited_span(F.col("fingerprint"), F.col("edited_fingerprint")).alias("span")).collect()
     assert {(r.doc_id, r.text): r.edited for r in got} == want and len(got) == len(rows)
