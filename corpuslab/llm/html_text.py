@@ -2,7 +2,8 @@
 
 1. Each page is scanned once for its blocks and containers. What elements such as menus, headers, footers, sidebars, forms, scripts and styles hold is no content. Classes, ids and
    roles mark containers: one named by noise words alone (``ad``, ``site-footer``) has no content either; one with a noise word among others counts less. Each container is
-   scored by its content; the page votes for one: its ``article``, else its ``main``, else the deepest that holds most of the content.
+   scored by its content; the page votes for one: its largest ``article``, else its largest ``main``, if that holds a third of the content (a teaser or a card doesn't), else the deepest
+   that holds most of the content.
 2. Votes are counted in Spark by host and generalised path (tags with classes, digits as ``#``; a path is known by a digest of 128 bits). Paths with a fifth of a host's votes win.
 3. Each page is extracted again from the containers of the first winning path that it has; a page that has none keeps its own choice. Marked containers are
    left out strictly below the winner only, so that an article whose own class holds a noise word stays.
@@ -11,7 +12,7 @@ Text: character references are decoded, white space within a block becomes one s
 
 Cases: null html and pages without content give an empty text. Unclosed and wrongly nested elements end with the element around them, but blocks outlast
 inline elements; an unclosed comment, script or tag runs to the page's end; from a tag with an unclosed quote on, tags end at the next ``>``. A null URL belongs to the empty host. Repeated rows vote and are extracted
-alike. Ties of votes go to the path with more characters, then to the lesser digest; ties of containers to the first. An empty table gives an empty result. Extra columns are not read.
+alike. Elements that are only hidden by style or attribute are text like others. Ties of votes go to the path with more characters, then to the lesser digest; ties of containers to the first. An empty table gives an empty result. Extra columns are not read.
 
 Scale: scanning takes time and memory in proportion to the page, however deep or broken. A vote is one small row a page, combined by (host, path) in map tasks, so a host with a third of
 all pages costs no more than others. At most five paths a host win; they are broadcast up to a counted bound, else joined by host. Pages are not shuffled then, and never gathered.
@@ -43,8 +44,8 @@ CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 SIBLINGS = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 # Words of classes, ids and roles that mark what is no content; the second list also stands in names of articles.
 STRONG = set(
-    "ad ads adbox adsense advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments complementary contentinfo cookie cookies disqus footer gdpr masthead "
-    "menu menubar nav navbar navigation outbrain pager pagination promo promoted promotion recommended related replies share sharing sidebar skip sponsor sponsored taboola toolbar".split()
+    "ad ads adbox adsense advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comentarios commentaires commentlist comments complementary contentinfo cookie cookies discussion disqus footer gdpr guestbook kommentare livefyre masthead "
+    "menu menubar nav navbar navigation outbrain pager pagination promo promoted promotion reactions recommended related replies respond responses share sharing sidebar skip sponsor sponsored taboola toolbar".split()
 )
 WEAK = set(
     "alert banner consent copyright dfp dialog form header login modal newsletter notice notices notification popup search signup social subscribe subscription widget".split()
@@ -64,6 +65,8 @@ TAG_REST = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SHARE, WINNERS, MIN_SHARE = 0.6, 5, 0.2
+NAMED_SHARE = 1 / 3
+"""Of a page's content that an ``article`` or ``main`` holds that is taken for its name."""
 PLAIN, HINTED, SOFT, HARD = range(4)
 WEIGHT = {PLAIN: 1.0, HINTED: 0.7, SOFT: 0.2}
 
@@ -235,7 +238,7 @@ class Page:
         if not held[0]:
             return None
         for tag in ("article", "main"):
-            named = [c for c in range(len(held)) if self.tags[c] == tag and held[c]]
+            named = [c for c in range(len(held)) if self.tags[c] == tag and held[c] >= NAMED_SHARE * held[0]]
             if named:
                 best = max(named, key=lambda c: (held[c], -c))
                 return self.paths[best], int(held[best])
