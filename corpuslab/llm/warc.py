@@ -14,8 +14,8 @@ Extra columns are not read.
 
 Scale: payloads are never shuffled while the digests that several pages share can be broadcast (counted first); beyond that they are joined, and Spark's skew
 join splits a digest that a third of all pages share. A file has ``file_bytes`` bytes at most, or one larger record, so no more than that is held to read it. A merge task holds the
-index lines of one range (``lines_a_range`` on average, some 300 bytes each), never payloads; no two lines have the same place, so neither a URL with a third of all captures nor repeated
-rows make a range longer.
+index lines of one range (``range_bytes`` bytes on average) as they came, in Arrow's form, and its tree takes each run's lines from there as it needs them; payloads are never held. No two lines
+have the same place, so neither a URL with a third of all captures nor repeated rows make a range longer.
 """
 
 from __future__ import annotations
@@ -229,31 +229,31 @@ class LoserTree:
             self._play(w)
 
 
-def natural_runs(lines: Iterator[tuple], key) -> list[list[tuple]]:
-    """Cuts a sequence where it descends."""
-    runs: list[list[tuple]] = []
-    last = None
-    for x in lines:
+def rows_of(table: pa.Table, start: int, stop: int, step: int = 64) -> Iterator[tuple]:
+    for at in range(start, stop, step):
+        yield from zip(*[c.to_pylist() for c in table.slice(at, min(step, stop - at)).columns], strict=True)
+
+
+def natural_runs(table: pa.Table, key) -> list[Iterator[tuple]]:
+    """The ascending runs of a table, each an iterator over its rows: cut where the order falls."""
+    cuts, last = [], None
+    for i, x in enumerate(rows_of(table, 0, table.num_rows, 4096)):
         k = key(x)
         if last is None or k < last:
-            runs.append([])
-        runs[-1].append(x)
+            cuts.append(i)
         last = k
-    return runs
+    return [rows_of(table, i, j) for i, j in zip(cuts, [*cuts[1:], table.num_rows], strict=True)]
 
 
-def merge_runs(index: DataFrame, lines_a_range: int = 100_000) -> DataFrame:
-    """Index lines in global order, partition by partition and within each, with their ``position`` from 0."""
-    n = max(1, -(-index.count() // lines_a_range))
-    file = NAMES.index("file")
+def merge_runs(index: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
+    """Index lines in global order, partition by partition and within each, with their ``position`` from 0. A range has some ``range_bytes`` bytes of lines."""
+    size = index.agg(F.sum(F.lit(300) + 2 * F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
+    n = max(1, -(-size // range_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
-        by_file: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                by_file.setdefault(x[file], []).append(x)
-        runs = [r for lines in by_file.values() for r in natural_runs(lines, _order)]
+        held = [b for b in batches if b.num_rows]
+        runs = natural_runs(pa.Table.from_batches(held), _order) if held else []
         merged, done = iter(LoserTree(runs, _order)), 0
         while chunk := list(islice(merged, 10_000)):
             at = pa.array(range(done, done + len(chunk)), pa.int64())
