@@ -214,7 +214,14 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The documents that the rules keep, with exactly their own columns. Rows are held with their counts until the result goes; nothing is shuffled."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row")
-    measured, judged = _judged(docs, [whole], text, lang, rules)
-    return hold_for(judged.filter("_q_kept").select("_q_row.*"), measured)
+    """The documents that the rules keep, with exactly their own columns.
+
+    A verdict depends on text and language alone: counts are held by a hash of both while verdicts are found, some 500 bytes a document, and what is written is the rejected hashes.
+    Rows are joined with these; they are shuffled only where there are more than can be broadcast.
+    """
+    key = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")), F.lit("\u0001"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    measured, judged = _judged(docs, [key.alias("_q_key")], text, lang, rules)
+    bad = materialise(judged.filter(~F.col("_q_kept")).select("_q_key").distinct(), "rejected")
+    measured.unpersist()
+    bad = F.broadcast(bad) if small(bad) else bad
+    return docs.join(bad, key == F.col("_q_key"), "left_anti")

@@ -42,6 +42,18 @@ def test_divergence(spark):
     assert got[100].char_distance > 0.3 > got[0].char_distance
 
 
+def test_no_texts_are_held(spark):
+    """What is held while verdicts are found is small beside the texts, and is gone when the result is there."""
+    docs = spark.createDataFrame([(i, "the and of " + prose(2000, i), "en", "s", 0) for i in range(30)] + [(50, "***", "en", "s", 0)], awkward(spark, False).schema)
+    measured, _ = quality_rules._judged(docs, [quality_rules.F.lit("k" * 32).alias("_q_key")], "text", "lang", quality_rules.Rules())
+    measured.count()
+    infos = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+    assert sum(x.diskSize() for x in infos) < 31 * 1000
+    measured.unpersist(True)
+    kept = quality_rules.keep_good(docs)
+    assert not spark.sparkContext._jsc.sc().getRDDStorageInfo() and {r.doc_id for r in kept.collect()} == {*range(30)}
+
+
 def test_pipeline_rejects_texts_without_common_words(spark):
     import corpus_pipeline
 
