@@ -4,10 +4,13 @@
    its least id.
 2. Signatures are split in 10 chunks of 4. A pair that differs in at most ``MAX_DISTANCE`` = 19 positions has a chunk with at most one error (pigeonhole: with two in each
    there would be 20), so each class is entered under every chunk with every choice of the position that may be wrong: 40 keys, and no pair under the distance is missed.
-3. Classes that share a key are compared by signature in blocks. A pair is looked at only under its first common key.
-4. The full sets of all classes with a pair under the distance are made again from their texts, sent to the same blocks, and compared exactly; pairs that are linked
+3. Keys of over ``hot`` classes are first taken by stars: every class of such a key is compared with a few of its classes (pivots, the least by hash), and what is linked becomes one
+   component. Within a key only classes of different components still have to meet: those outside its largest component meet all others. A family of near copies, however large, is
+   one component by then, so its work grows with its members.
+4. Classes that share a key are compared by signature in blocks. A pair is looked at only under its first common key.
+5. The full sets of all classes with a pair under the distance are made again from their texts, sent to the same blocks, and compared exactly; pairs that are linked
    already, by way of others of the block, are skipped. A block returns at most one link a member: enough for its components.
-5. Components of all links.
+6. Components of all links.
 
 The distance is the only bound: signatures of a pair exactly at 85 % differ in 20 or more of 40 positions with a probability of about 2e-7, of one at 95 % with less than 1e-15.
 
@@ -16,8 +19,8 @@ text, all stay. Ties of ids: a class has the least id of its rows. Texts of any
 through ``drop_near_duplicates``.
 
 Scale: copies collapse by fingerprint before anything is joined (counts and minima are combined in map tasks). A key with many classes is dealt to blocks
-of at most ``members`` rows each and every pair of blocks is a unit of work, so no task holds more than two blocks, and a family of near copies, however
-large, yields links in proportion to its members. Signatures take 80 bytes a class; full sets travel only for classes with a candidate. Signatures and candidates
+of at most ``members`` rows each and every pair of blocks that has to meet is a unit of work, so no task holds more than two blocks. What stays quadratic is a hot key whose classes
+are *not* near each other: all of them are outside its largest component and meet, as they must. Signatures take 80 bytes a class; full sets travel only for classes with a candidate. Signatures and candidates
 are held on the executors' disks (a lost executor's share is made again); classes, rounds of components and the result are written, to as many files as their rows need.
 """
 
@@ -52,6 +55,11 @@ class Settings:
     members: int = 384
     """Rows of a block, at most; fewer for large sets, so that a block's sets stay below ``block_shingles`` members on average."""
     block_shingles: int = 2_000_000
+    hot: int = 1_000
+    """Classes of a key that is taken by stars first."""
+    pivots: int = 3
+    """Of a hot key, each round."""
+    rounds: int = 2
 
 
 def _text_key(text: Column) -> Column:
@@ -100,38 +108,90 @@ def _keys(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(p), F.concat(*without(p))) for p in range(POSITIONS)])
 
 
-def _blocks(classes: DataFrame, s: Settings) -> DataFrame:
-    """key, i, j (blocks compared), blk (the row's), pos (the key's place), label: the classes to meet in each unit of work."""
-    met = classes.select("label", "n", F.posexplode(_keys(F.col("sig"))).alias("pos", "key"))
-    members = F.greatest(F.lit(8), F.least(F.lit(s.members), (F.lit(s.block_shingles) / F.col("n")).cast("int")))
+def _members(n: Column, s: Settings) -> Column:
+    return F.greatest(F.lit(8), F.least(F.lit(s.members), (F.lit(s.block_shingles) / n).cast("int")))
+
+
+def _number(label: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(label, F.lit(5)), blocks).cast("int")
+
+
+def _keyed(classes: DataFrame) -> DataFrame:
+    return classes.select("label", "n", F.posexplode(_keys(F.col("sig"))).alias("pos", "key"))
+
+
+def _by_size(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small(df) else df
+
+
+def _blocks(keyed: DataFrame, s: Settings) -> DataFrame:
+    """key, i, j (blocks compared), blk (the row's), pos (the key's place), label, comp: the classes to meet in each unit of work. keyed: without hot keys, so a key is a small group."""
     by_key = Window.partitionBy("key")
-    whole = met.select("key", "pos", "label", F.count("*").over(by_key).alias("here"), F.min(members).over(by_key).alias("members")).filter("here > 1")
+    whole = keyed.select("key", "pos", "label", F.count("*").over(by_key).alias("here"), F.min(_members(F.col("n"), s)).over(by_key).alias("members")).filter("here > 1")
     n_blocks = F.ceil(F.col("here") / F.col("members")).cast("int")
-    dealt = whole.withColumn("n_blocks", n_blocks).withColumn("blk", F.pmod(F.xxhash64("label", F.lit(5)), F.col("n_blocks")).cast("int"))
+    dealt = whole.withColumn("n_blocks", n_blocks).withColumn("blk", _number(F.col("label"), F.col("n_blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    return dealt.select("key", "pos", "blk", "label", other).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "pos", "label")
+    return dealt.select("key", "pos", "blk", "label", other).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "pos", "label", F.col("label").alias("comp"))
+
+
+STAR, HUB = -1, -1
+"""Marks in ``j`` a unit in which all meet one class, and in ``blk`` that class."""
+
+
+def _stars(hot: DataFrame, seed: int, s: Settings) -> DataFrame:
+    """Units of the classes of hot keys with the pivots of their keys, where both aren't in one component. hot: key, pos, label, n, comp."""
+    least = lambda k: F.min(F.struct(F.xxhash64("label", F.lit(seed + k)).alias("h"), "label", "comp"))
+    pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*[F.struct(least(k)["label"].alias("pivot"), least(k)["comp"].alias("pivot_comp")) for k in range(s.pivots)])).alias("p"))
+    met = hot.join(_by_size(pivots), "key").select("label", "n", "comp", F.explode("p").alias("p")).select("label", "n", "comp", "p.*").filter("comp <> pivot_comp")
+    pairs = met.select("pivot", "label", "n").distinct()
+    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("here"), F.min(_members(F.col("n"), s)).alias("members")).select("pivot", F.ceil(F.col("here") / F.col("members")).cast("int").alias("blocks"))
+    sizes = _by_size(sizes)
+    unit = lambda i, blk, label: [F.xxhash64("pivot", F.lit(77)).alias("key"), i.alias("i"), F.lit(STAR).alias("j"), F.lit(blk).alias("blk"), F.lit(0).alias("pos"), F.col(label).alias("label"), F.col(label).alias("comp")]
+    members = pairs.join(sizes, "pivot").select(*unit(_number(F.col("label"), F.col("blocks")), 0, "label"))
+    hubs = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select(*unit(F.col("i"), HUB, "pivot"))
+    return members.unionAll(hubs)
+
+
+def _rest(hot: DataFrame, s: Settings) -> DataFrame:
+    """Units in which classes of hot keys meet that are not in one component: blocks of those outside a key's largest component, and these with blocks of that component."""
+    parts = hot.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(_members(F.col("n"), s)).alias("members"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("all"), F.min("members").alias("members")).filter("all > big.n")
+    blocks = lambda n: F.ceil(n / F.col("members")).cast("int")
+    keys = keys.select("key", F.col("big.comp").alias("big"), blocks(F.col("all") - F.col("big.n")).alias("outside"), blocks(F.col("big.n")).alias("inside"))
+    rows = hot.join(_by_size(keys), "key").withColumn("own", F.col("comp") == F.col("big"))
+    # blocks outside are numbered first; those inside don't meet each other
+    blk = F.when(F.col("own"), F.col("outside") + _number(F.col("label"), F.col("inside"))).otherwise(_number(F.col("label"), F.col("outside")))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("outside") - 1).otherwise(F.col("outside") + F.col("inside") - 1))).alias("other")
+    met = rows.select("key", "pos", "label", "comp", blk.alias("blk"), "outside", "inside", "own").select("key", "pos", "label", "comp", "blk", other)
+    return met.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "pos", "label", "comp")
 
 
 class Unit:
-    """The members of two blocks (or one) that share a key."""
+    """The members of two blocks (or one) that share a key, or a hub and those it meets."""
 
     def __init__(self, table: pa.Table, s: Settings):
         self.blk, self.n = table["blk"].to_numpy(), table["n"].to_numpy()
+        self.star = table["j"][0].as_py() == STAR
         self.slot = table["pos"][0].as_py()
         self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(table.num_rows, POSITIONS)
+        self.comp = table["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
         self.cross = self.blk.min() != self.blk.max()
         self.percent = s.percent
 
+    def leads(self) -> list[int]:
+        """Members whose candidates are asked for."""
+        return np.flatnonzero(self.blk == HUB).tolist() if self.star else range(len(self.n) - 1)
+
     def candidates(self, k: int) -> np.ndarray:
-        """Members after k that may be linked to it and that no earlier key brings together."""
-        n, later = self.n, slice(k + 1, None)
+        """Members after k (of a star: all others) that may be linked to it, aren't in its component, and that no earlier key brings together."""
+        n, later = self.n, slice(0 if self.star else k + 1, None)
         same = self.sig[later] == self.sig[k]
-        ok = (POSITIONS - same.sum(1) <= MAX_DISTANCE) & (100 * np.minimum(n[later], n[k]) >= self.percent * np.maximum(n[later], n[k]))
+        ok = (POSITIONS - same.sum(1) <= MAX_DISTANCE) & (100 * np.minimum(n[later], n[k]) >= self.percent * np.maximum(n[later], n[k])) & (self.comp[later] != self.comp[k])
         if self.cross:
             ok &= self.blk[later] != self.blk[k]
         at = np.flatnonzero(ok)
-        if not len(at):
-            return at
+        if self.star or not len(at):
+            return at + later.start
         equal = same[at].reshape(-1, CHUNKS, CHUNK)
         met = equal.sum(2)
         chunk = np.argmax(met >= CHUNK - ERRORS, 1)
@@ -160,7 +220,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-UNIT = ["key", "i", "j", "blk", "pos", "label", "n", "sig"]
+UNIT = ["key", "i", "j", "blk", "pos", "label", "comp", "n", "sig"]
 
 
 def _dealt(df: DataFrame, *more: str) -> DataFrame:
@@ -177,7 +237,7 @@ def _with_candidates(units: DataFrame, s: Settings) -> DataFrame:
                 continue
             unit = Unit(table, s)
             wanted = np.zeros(table.num_rows, bool)
-            for k in range(table.num_rows - 1):
+            for k in unit.leads():
                 at = unit.candidates(k)
                 if len(at):
                     wanted[k] = True
@@ -199,9 +259,9 @@ def _links(units: DataFrame, s: Settings) -> DataFrame:
                 continue
             unit = Unit(table, s)
             own = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
-            root = np.arange(m)
+            root = unit.comp.copy()  # what is in one component is linked already
             found = []
-            for k in range(m - 1):
+            for k in unit.leads():
                 at = unit.candidates(k)
                 at = at[root[at] != root[k]]
                 if not len(at):
@@ -248,15 +308,34 @@ def clusters(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id",
         classes = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
         n = rows.count()
         classes = scratch.materialise(classes.coalesce(1 + n // CLASSES_A_FILE), "classes")
-        near = scratch.hold(_with_candidates(_blocks(classes, s).join(classes.select("label", "n", "sig"), "label"), s))
-        wanted = classes.select("fp", "label").join(near.select("label").distinct(), "label", "left_semi")
-        tree = components(_links(near.join(_sets_of(docs, wanted, s, doc_id, text), "label"), s), scratch=scratch)
+
+        def links(units: DataFrame) -> DataFrame:
+            near = scratch.hold(_with_candidates(units.join(classes.select("label", "n", "sig"), "label"), s))
+            wanted = classes.select("fp", "label").join(near.select("label").distinct(), "label", "left_semi")
+            return _links(near.join(_sets_of(docs, wanted, s, doc_id, text), "label"), s)
+
+        keyed = _keyed(classes)
+        hot_keys = scratch.hold(keyed.groupBy("key").agg(F.count("*").alias("here")).filter(F.col("here") > s.hot).select("key"))
+        if hot_keys.isEmpty():
+            found = links(_blocks(keyed, s))
+        else:
+            hot_keys = _by_size(hot_keys)
+            hot = scratch.hold(keyed.join(hot_keys, "key").select("key", "pos", "label", "n"))
+            at, found = hot.withColumn("comp", F.col("label")), None
+            for r in range(s.rounds):
+                star = scratch.hold(links(_stars(at, r * s.pivots, s)))
+                found = star if found is None else found.unionAll(star)
+                known = components(found, scratch=scratch)
+                at = hot.join(_by_size(known.select(F.col("node").alias("label"), "root")), "label", "left").select("key", "pos", "label", "n", F.coalesce("root", "label").alias("comp"))
+            met = links(_blocks(keyed.join(hot_keys, "key", "left_anti"), s).unionByName(_rest(at, s)))
+            found = met if found is None else found.unionAll(met)
+        tree = components(found, scratch=scratch)
         component = classes.select("fp", "label").join(tree, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("component"))
         component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))  # the least label of a component is its least id
-        found = rows.select("doc_id", "text_key", "fp", "n_shingles").join(component, "fp", "left").select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"))
-        found = materialise(found.coalesce(1 + n // ROWS_A_FILE), "near-duplicates")
+        out = rows.select("doc_id", "text_key", "fp", "n_shingles").join(component, "fp", "left").select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"))
+        out = materialise(out.coalesce(1 + n // ROWS_A_FILE), "near-duplicates")
     scratch.free()
-    return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.llm import bpe, html_text, near_dup, quality_model, shingles, toxicity, url_filter, warc
 
@@ -86,7 +87,8 @@ def test_loser_tree():
     for k in range(9):
         runs = [sorted(r.randint(0, 20) for _ in range(r.randint(0, 15))) for _ in range(k)]
         assert list(warc.LoserTree(runs, lambda v: v)) == sorted(sum(runs, []))
-    assert warc.natural_runs(iter([1, 2, 2, 1, 0, 5]), lambda v: v) == [[1, 2, 2], [1], [0, 5]]
+    numbers = pa.table({"v": [1, 2, 2, 1, 0, 5]})
+    assert [[x for (x,) in r] for r in warc.natural_runs(numbers, lambda v: v)] == [[1, 2, 2], [1], [0, 5]]
 
 
 def test_warc(spark, tmp_path):
@@ -125,7 +127,7 @@ def test_warc_bounds_files_and_ranges(spark, tmp_path):
     index = warc.archive(pages, f"file://{tmp_path}/w", file_bytes=5 << 20)
     sizes = [os.path.getsize(f"{tmp_path}/w/{f}") for f in os.listdir(tmp_path / "w") if f.startswith("part-")]
     assert max(sizes) <= 6 << 20 and len(sizes) >= 10
-    got = warc.merge_runs(index.drop("position"), lines_a_range=9).orderBy("position").collect()
+    got = warc.merge_runs(index.drop("position"), range_bytes=4000).orderBy("position").collect()
     keys = [(r.urlkey, r.ts, r.page_id, r.file, r.offset) for r in got]
     assert keys == sorted(keys) and [r.position for r in got] == [*range(70)] and {r.payload_bytes for r in got} == {1 << 20, 2 << 20}
 
@@ -169,6 +171,22 @@ def test_html_keeps_articles_whose_class_holds_a_noise_word(spark):
     assert all(got[50 + i] == f"all pages agree on {i}" for i in range(3))
 
 
+def test_html_is_not_taken_in_by_teasers(spark):
+    """An article or a main that holds little of a page isn't its text; reader comments go under other names as well."""
+    body = " ".join(prose(12, k) + "." for k in range(6))
+    card = lambda k: f'<article class="card"><h2>Card {k}</h2><p>{prose(6, k)}</p></article>'
+    rows = [
+        (1, "http://a.org/1", f'<body><main><p>{body}</p></main><article class="teaser"><p>short teaser</p></article></body>', body),
+        (2, "http://b.org/1", f'<body><div class="story"><p>{body}</p><p>{body}</p></div><div class="more">{card(1)}{card(2)}{card(3)}</div></body>', f"{body}\n{body}"),
+        (3, "http://c.org/1", f'<body><article><p>{body}</p><div class="responses"><p>{prose(30, 1)}</p></div><section id="respond"><p>{prose(20, 2)}</p></section></article></body>', body),
+        (4, "http://d.org/1", f'<body><main><p>tiny</p></main><div id="story"><p>{body}</p></div></body>', body),
+        (5, "http://e.org/1", f'<body><article><p>{body}</p></article><div><p>{prose(20, 3)}</p></div></body>', body),
+        (6, "http://f.org/1", f'<body><article><p>{body}</p><p hidden>kept</p></article></body>', f"{body}\nkept"),
+    ]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_html_leaks_no_markup(spark):
     broken = {
         '<p title="unclosed>one</p><p>two</p>': "one\ntwo", "<p title='x>one</p><p class=\"a\">two</p>": "one\ntwo", '<p title="a > b">one</p>': "one", "a < b <c": "a < b", "1 <2> 3": "1 <2> 3", "<": "<", "</": "",
@@ -448,10 +466,65 @@ def test_every_pair_under_the_distance_shares_a_key(spark):
         other[wrong] ^= 1
         rows += [(2 * k, 100, bytearray(sig.astype("<u2").tobytes())), (2 * k + 1, 100, bytearray(other.astype("<u2").tobytes()))]
     classes = spark.createDataFrame(rows, "label long, n long, sig binary")
-    met = near_dup._blocks(classes, near_dup.Settings()).join(classes, "label")
+    met = near_dup._blocks(near_dup._keyed(classes), near_dup.Settings()).join(classes, "label")
     assert near_dup._with_candidates(met, near_dup.Settings()).select("label").distinct().count() == 400
 
 
+def families(seed=3):
+    """Copies of several texts, spoiled in one to six places, so that not all of a family are near each other; some of them drift, each from the one before."""
+    r, rows = random.Random(seed), []
+
+    def spoil(words, n):
+        words = [*words]
+        for _ in range(n):
+            words[r.randrange(len(words))] = f"x{r.randint(0, 10**6)}"
+        return words
+
+    for f in range(4):
+        base = prose(300, 50 + f).split()
+        last = base
+        for _ in range(60):
+            last = spoil(last if f == 1 else base, r.choice([1, 1, 2, 3]) if f == 1 else r.choice([1, 2, 3, 4, 6]))
+            rows.append((r.randint(0, 10**9), " ".join(last)))
+    rows += [(r.randint(0, 10**9), prose(100, 900 + k)) for k in range(40)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("hot, pivots, rounds, members", [(10, 1, 1, 8), (10, 3, 2, 16), (40, 2, 2, 8), (10, 2, 0, 8)])
+def test_hot_keys_equal_brute_force(spark, hot, pivots, rounds, members):
+    rows = families()
+    s = near_dup.Settings(hot=hot, pivots=pivots, rounds=rounds, members=members)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()}
+    want = brute_components(rows)
+    assert got == want and 40 < len({c for _, c in want.values()}) < len(rows) - 100
+
+
+def test_hot_keys_make_work_in_proportion(spark):
+    """Stars, then only what is outside a key's largest component: rows of units grow with the members of a family that is one component."""
+    s = near_dup.Settings(hot=50, members=16)
+    n_rows = []
+    for n in (200, 800):
+        hot = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("pos"), F.col("id").alias("label"), F.lit(100).cast("long").alias("n"), F.col("id").alias("comp"))
+        stars = near_dup._stars(hot, 0, s)
+        assert "Window" not in stars._jdf.queryExecution().executedPlan().toString()
+        joined = hot.withColumn("comp", F.when(F.col("label") < n - 5, F.lit(0)).otherwise(F.col("label")).cast("long"))  # five are outside
+        rest = near_dup._rest(joined, s)
+        n_rows.append((stars.count(), rest.count()))
+        met = {tuple(sorted((a, b))) for unit in units_of(rest) for a in unit for b in unit if a != b}
+        assert all((a, b) in met for a in range(n - 5) for b in range(n - 5, n)) and all((a, b) in met for a in range(n - 5, n) for b in range(a + 1, n))
+        assert near_dup._rest(hot.withColumn("comp", F.lit(0).cast("long")), s).count() == 0
+    assert n_rows[1][0] < 4.5 * n_rows[0][0] and n_rows[1][1] < 4.5 * n_rows[0][1]
+
+
+def units_of(df):
+    """Labels that meet: of a unit of two blocks, those of both."""
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.key, r.i, r.j].append(r.label)
+    return out.values()
+
+
 def test_near_duplicates_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
