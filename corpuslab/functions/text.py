@@ -109,6 +109,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(filled(text), r"(?U)\s+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(filled(text), F.lit(r"(?U)\S+"))
+
+
+def has_words(text: Column, least: int) -> Column:
+    """At least so many parts between white space; reads no further than these."""
+    return filled(text).rlike(rf"(?U)^\s*+(?:\S++\s++){{{least - 1}}}\S") if least > 0 else F.lit(True)
+
+
 def bigrams(found: Column) -> Column:
     """Pairs of neighbours, joined by a blank; none for fewer than two tokens."""
 

@@ -58,7 +58,7 @@ def curate(df: DataFrame, drop_domains: list[str], least_words: int = 50, order:
     """Adds text_clean, words_clean and ``reject_reason`` ('kept' if none). Expects url, domain, title, text; ``order`` tells all rows apart.
 
     The gates run in turn: repeated or missing URL, domain, error page, short as it came, repeated title, short when cleaned. A row that is dropped as short when cleaned
-    still stands before later rows of its title, and a row dropped earlier does not. Keys are compared on narrow rows; texts are shuffled once at most, with their verdicts.
+    still stands before later rows of its title, and a row dropped earlier does not. Keys are compared on narrow rows, for which no more of a text is read than its gates need; texts are cleaned once, and shuffled once at most, with their verdicts.
     """
     o = list(order)
     narrow = df.select(
@@ -66,13 +66,13 @@ def curate(df: DataFrame, drop_domains: list[str], least_words: int = 50, order:
         F.nullif(F.coalesce(F.col("url"), F.lit("")), F.lit("")).alias("_u"),
         F.col("domain").isin(drop_domains).alias("_domain"),
         X.error_page(F.col("title"), F.col("text")).alias("_error"),
-        (F.size(X.words(F.col("text"))) < least_words).alias("_short"),
+        (~X.has_words(F.col("text"), least_words)).alias("_short"),
         X.title_key(F.col("title")).alias("_t"),
     )
     reason = F.when(F.col("_u").isNull(), "no_url").when(F.col("_earlier"), "url").when(F.col("_domain"), "domain").when(F.col("_error"), "error").when(F.col("_short"), "short")
     gated = earlier(narrow, F.col("_u"), o).select(*o, reason.alias("_early"), "_t")
     titled = earlier(gated, F.when(F.col("_early").isNull() & (F.length("_t") > 15), F.col("_t")), o).select(*o, "_early", F.col("_earlier").alias("_title"))
-    cleaned = df.withColumn("text_clean", X.clean_for_curation(F.col("text"))).withColumn("words_clean", F.size(X.words(F.col("text_clean"))))
+    cleaned = df.withColumn("text_clean", X.clean_for_curation(F.col("text"))).withColumn("words_clean", X.word_count(F.col("text_clean")))
     late = F.coalesce(F.col("_early"), F.when(F.col("_title"), "title").when(F.col("words_clean") < least_words, "short_clean"), F.lit("kept"))
     return cleaned.join(titled, o).withColumn("reject_reason", late).select(*df.columns, "text_clean", "words_clean", "reject_reason")
 

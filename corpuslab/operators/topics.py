@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import terms
 
 
+def embedded(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], name: str = "embedding") -> DataFrame:
+    """df with a vector a text. ``load`` makes the model, once in each worker's task; the model turns the texts of an Arrow batch into rows of a matrix. Null texts count as empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for s in batches:
+            yield pd.Series(list(np.asarray(model(s.fillna("").tolist()), np.float32)), dtype=object)
+
+    return df.withColumn(name, run(F.col(text).cast("string")))
+
+
+class HashedWords:
+    """A model without training: words are hashed to a dimension and a sign, and added up."""
+
+    def __init__(self, dimensions: int = 64):
+        self.dimensions, self.known = dimensions, {}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions))
+        for row, t in zip(out, texts, strict=True):
+            for w in re.findall("[a-zà-ÿ]{3,}", t.lower()):
+                at, sign = self._place(w)
+                row[at] += sign
+        return out
+
+    def _place(self, word: str) -> tuple[int, int]:
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            digest = hashlib.md5(word.encode()).digest()
+            self.known[word] = digest[0] % self.dimensions, 1 if digest[1] % 2 else -1
+        return self.known[word]
+
+
 def reduced(df: DataFrame, vector: str, dimensions: int = 50) -> DataFrame:
     """Adds ``reduced``: principal components of the centred vectors."""
     from pyspark.ml import Pipeline

@@ -50,9 +50,17 @@ def dedup_domain_title(spark, d):
     return dedup.by_domain_title(articles(spark, d), "source", "title", order()).select("doc_id")
 
 
-@query("dedup_greedy")
+#: Row by row, with a list of the keys that are taken.
+GREEDY = f"""WITH RECURSIVE {A}, k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS i, doc_id, list_filter([CASE WHEN doc_id % 5 = 0 THEN hash('u:' || regexp_replace(url, '/+$', '')) END,
+ hash('f:' || sha256(substr(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 2000))), CASE WHEN title <> '' THEN hash('k:' || source || chr(1) || title || chr(1) || CAST(pub AS VARCHAR)) END], lambda x: x IS NOT NULL) AS keys FROM a),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS UBIGINT[]) AS seen, CAST(NULL AS BIGINT) AS kept
+ UNION ALL SELECT k.i, CASE WHEN list_has_any(seen, keys) THEN seen ELSE list_concat(seen, keys) END, CASE WHEN NOT list_has_any(seen, keys) THEN doc_id END FROM walk JOIN k ON k.i = walk.i + 1)
+SELECT kept AS doc_id FROM walk WHERE kept IS NOT NULL"""
+
+
+@query("dedup_greedy", GREEDY)
 def dedup_greedy(spark, d):
-    """Depends on what was kept before; tested against a sequential pass."""
+    """Depends on what was kept before."""
     a = articles(spark, d).withColumn("url", F.when(F.col("doc_id") % 5 == 0, F.col("url")).otherwise(F.lit("")))
     return dedup.greedy(a, "url", "text", "source", "title", "pub").select("doc_id")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -14,7 +11,7 @@ from ..functions import dates as D
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import posts as P
-from ..operators import terms
+from ..operators import scratch, terms
 from ..sources import tables as S
 from . import analyses
 from .base import A, CAL, STOP, WORDS, articles, calendar, listed, query, r6, table
@@ -22,13 +19,7 @@ from .vocabulary import STRIPPED
 
 
 def folder(spark) -> str:
-    """A new folder beside the checkpoints; on one machine without any, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
-    return os.path.join(base, f"landed-{uuid.uuid4().hex}")
+    return scratch.folder(spark, "landed")
 
 
 # Sources and sinks.
@@ -79,7 +70,7 @@ def sitemap_scan(spark, d):
     path = folder(spark)
     day = F.concat(F.lit("2021-05-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
     entries = table(spark, d, "pages").select(F.expr("page_id div 100").alias("k"), F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")).alias("e"))
-    entries.groupBy("k").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</urlset>")).alias("value")).select("value").write.text(path)
+    entries.groupBy("k").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</urlset>")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)  # a document a file
     return S.sitemap(spark, path).select("loc", F.col("lastmod").cast("string").alias("lastmod"))
 
 
@@ -132,9 +123,9 @@ def institution_documents(spark, d):
     return S.documents_of(raw, "http://d.example.org/f.php").select(F.col("id_documents").cast("long").alias("id_documents"), F.col("year").cast("int").alias("year"), "has_annex")
 
 
-@query("repaired_texts", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'live' ELSE 'archive' END AS repaired_from FROM pages WHERE page_id % 3 = 0 OR page_id % 2 = 0")
+@query("repaired_texts", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'live' ELSE 'archive' END AS repaired_from FROM (SELECT min(page_id) AS page_id FROM pages GROUP BY url) WHERE page_id % 3 = 0 OR page_id % 2 = 0")
 def repaired_texts(spark, d):
-    p = table(spark, d, "pages").dropDuplicates(["url"])
+    p = table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
     broken = p.select("page_id", "url", F.lit(None).cast("string").alias("text"))
     live, archive = (p.filter(f"page_id % {k} = 0").select("url", F.lit(str(k)).alias("text")) for k in (3, 2))
     return S.repaired(broken, live, archive).select("page_id", "repaired_from")

@@ -9,14 +9,14 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import lookup
+from ..operators import lookup, topics
 from ..sources import exports
 from ..sources import tables as S
 from ..streaming import incremental
-from . import analyses
+from . import analyses, landed
 from .base import A, CAL, STOP, THEMES, TOKENS, articles, calendar, listed, query, r6, table
 from .calendar import HIT, SIDES
-from .landed import POSTS, _releases, folder, posts_of
+from .landed import _releases, folder
 from .vocabulary import SCORED, STRIPPED
 
 # What texts lose before their words are counted; RE2 has no look-behind, so the character before a drop capital is put back.
@@ -28,6 +28,15 @@ def found(text: str) -> str:
     return TOKENS.replace("lower(text)", f"lower({STRIPPED.replace('(text,', '(' + CLEANED.format(t=text) + ',')})")
 
 
+# Posts of a thousand days, so that small tables have some near every event.
+POSTS = landed.POSTS.replace("conv_id % 1800", "conv_id * 37 % 1000")
+
+
+def posts_of(spark, d):
+    days = (F.split("tweet_id", "-")[0].cast("long") * 37 % 1000).cast("int")
+    return landed.posts_of(spark, d).withColumn("ts", F.date_add(F.lit("2019-01-01").cast("date"), days).cast("timestamp"))
+
+
 def news_of(spark, d):
     return articles(spark, d).withColumns({"domain": F.col("source"), "day": F.col("pub")})
 
@@ -61,11 +70,11 @@ def report_outlet_heat(spark, d):
 @query("report_framing", f"""WITH {A}, {POSTS}, {CAL}, g AS (SELECT label, unnest({found('text')}) AS term FROM p JOIN ev ON CAST(ts AS DATE) BETWEEN event_date - 30 AND event_date + 30),
 m AS (SELECT label, unnest({found('(title || chr(32) || substr(text, 1, 800))')}) AS term FROM a JOIN ev ON date_trunc('month', pub) BETWEEN date_trunc('month', event_date - 30) AND date_trunc('month', event_date + 30)),
 b AS (SELECT label, 'government' AS side, term, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT label, 'media', term, count(*) FROM m GROUP BY ALL),
-ok AS (SELECT label FROM b GROUP BY label HAVING sum(CASE WHEN side = 'government' THEN n ELSE 0 END) >= 2000 AND sum(CASE WHEN side = 'media' THEN n ELSE 0 END) >= 20)
+ok AS (SELECT label FROM b GROUP BY label HAVING sum(CASE WHEN side = 'government' THEN n ELSE 0 END) >= 300 AND sum(CASE WHEN side = 'media' THEN n ELSE 0 END) >= 20)
 SELECT label, side, term, CAST(n AS BIGINT) AS n FROM b JOIN ok USING (label) WHERE n >= 3""")
 def report_framing(spark, d):
     """Both window kinds, with events left out that have too few words on a side (some at each size of the tables)."""
-    return analyses.event_framing(posts_of(spark, d), news_of(spark, d), calendar(spark), STOP, [], 3, 2000, 20).select("label", "side", "term", F.col("n").cast("long").alias("n"))
+    return analyses.event_framing(posts_of(spark, d), news_of(spark, d), calendar(spark), STOP, [], 3, 300, 20).select("label", "side", "term", F.col("n").cast("long").alias("n"))
 
 
 # Rhetoric.
@@ -105,14 +114,15 @@ def report_rhetoric_events(spark, d):
     return out.select("label", "theme", r6(F.col("before")).alias("before"), r6(F.col("after")).alias("after"))
 
 
-# Press releases: all frames, of texts that are there and dated.
+# Press releases: all frames, of texts that are there and whose date can be read.
 
-R = f"{A}, r AS (SELECT * FROM a WHERE text <> '')"
+R = f"{A}, r AS (SELECT * FROM a WHERE text <> '' AND doc_id % 7 <> 0)"
 
 
 def _frames(spark, d):
     r = _releases(spark, d).withColumn("word_count", F.size(X.words(F.col("text"))).cast("double")).withColumn("days_from_event", (F.col("doc_id") % 31 - 15).cast("double")).withColumn("mentions", F.contains("text", F.lit("the ")))
-    r = r.withColumn("named_entities", F.when(F.col("doc_id") % 3 == 0, "Ana (PER)|OEA (ORG)").otherwise("Ana (PER)"))
+    said = F.when(F.col("doc_id") % 7 == 0, "sin fecha").otherwise(F.date_format("pub", "dd/MM/yyyy"))
+    r = r.withColumn("day", D.flexible(said)).withColumn("named_entities", F.when(F.col("doc_id") % 3 == 0, "Ana (PER)|OEA (ORG)").otherwise("Ana (PER)"))
     return analyses.releases(r, calendar(spark), THEMES, ["the", "and"], ["OEA"])
 
 
@@ -174,6 +184,15 @@ def report_topic_accounts(spark, d):
     return out.groupBy("handle").agg(F.sum("n").alias("n"), F.round(F.sum("pct"), 6).alias("pct"))
 
 
+@query("embedded_texts", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{3,}')) AS w FROM documents),
+p AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) % 64 AS k, CASE WHEN CAST('0x' || substr(md5(w), 3, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM w), s AS (SELECT doc_id, k, sum(sign) AS v FROM p GROUP BY ALL)
+SELECT d.doc_id, string_agg(CAST(CAST(coalesce(v, 0) AS BIGINT) AS VARCHAR), ' ' ORDER BY d.k) AS vector FROM (SELECT doc_id, unnest(range(64)) AS k FROM documents) d LEFT JOIN s ON s.doc_id = d.doc_id AND s.k = d.k GROUP BY d.doc_id""")
+def embedded_texts(spark, d):
+    """Vectors by a model that each task loads once."""
+    out = topics.embedded(table(spark, d, "documents").select("doc_id", "text"), "text", topics.HashedWords)
+    return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
 # Exports of dated events, by their own rules.
 
 HOSTS = ["diario.sv", "www.skipped.com", "world.org", "www.times.com", "local.sv", "other.net"]
@@ -297,5 +316,5 @@ def html_json_ld(spark, d):
 
 @query("composed_texts", "SELECT doc_id, sha256(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS text_sha256 FROM documents")
 def composed_texts(spark, d):
-    """Letters that came with a separate accent, put together."""
-    return table(spark, d, "documents").select("doc_id", F.sha2(H.nfc(F.replace("text", F.lit("\u00e9"), F.lit("e\u0301"))), 256).alias("text_sha256"))
+    """Letters that came with a separate accent, put together, and control characters dropped."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(H.nfc(X.drop_controls(F.concat(F.lit("\u0007"), F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u007f")))), 256).alias("text_sha256"))

@@ -127,3 +127,11 @@ def test_json_ld(each):
         ld('{"commentCount": "3", "a": "}"}'), ld('{"commentCount": '),
     ]
     assert [tuple(e) for e in each(H.engagement, *stats)] == [(15, 7, None, None), (4, None, 2000, None), (3, None, None, None), (None,) * 4]
+
+
+def test_word_counts(each):
+    texts = ["", None, " ", "a", " a b ", "a\u00a0b\u2003c", "x\n\ny z\t", "one two three four"]
+    n = each(lambda x: F.size(X.words(x)), *texts)
+    assert each(X.word_count, *texts) == n
+    for least in (0, 1, 2, 3, 4):
+        assert each(lambda x, least=least: X.has_words(x, least), *texts) == [k >= least for k in n]

@@ -7,7 +7,7 @@ import pytest
 from corpuslab.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"html_article", "dedup_greedy", "topic_clusters", "report_topic_accounts", "composed_texts"}
+PYTHON = {"html_article", "dedup_greedy", "topic_clusters", "report_topic_accounts", "composed_texts", "embedded_texts"}
 
 
 def plan(spark, name):
