@@ -59,7 +59,9 @@ class Settings:
     """Classes of a key that is taken by stars first."""
     pivots: int = 3
     """Of a hot key, each round."""
-    rounds: int = 2
+    rounds: int = 3
+    """Of stars, at most; the last is that after which what is left to meet is at most ``enough`` times the rows of the hot keys."""
+    enough: int = 4
 
 
 def _text_key(text: Column) -> Column:
@@ -152,12 +154,18 @@ def _stars(hot: DataFrame, seed: int, s: Settings) -> DataFrame:
     return members.unionAll(hubs)
 
 
-def _rest(hot: DataFrame, s: Settings) -> DataFrame:
-    """Units in which classes of hot keys meet that are not in one component: blocks of those outside a key's largest component, and these with blocks of that component."""
+def _open_keys(hot: DataFrame, s: Settings) -> DataFrame:
+    """key, big (its largest component), outside and inside (blocks of the classes beside and in it), copies (rows of their units): hot keys of more than one component."""
     parts = hot.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(_members(F.col("n"), s)).alias("members"))
     keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("all"), F.min("members").alias("members")).filter("all > big.n")
     blocks = lambda n: F.ceil(n / F.col("members")).cast("int")
-    keys = keys.select("key", F.col("big.comp").alias("big"), blocks(F.col("all") - F.col("big.n")).alias("outside"), blocks(F.col("big.n")).alias("inside"))
+    keys = keys.select("key", F.col("big.comp").alias("big"), F.col("all"), F.col("big.n").alias("own"), blocks(F.col("all") - F.col("big.n")).alias("outside"), blocks(F.col("big.n")).alias("inside"))
+    copies = F.col("own") * F.col("outside") + (F.col("all") - F.col("own")) * (F.col("outside") + F.col("inside"))
+    return keys.select("key", "big", "outside", "inside", copies.alias("copies"))
+
+
+def _rest(hot: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
+    """Units in which classes of hot keys meet that are not in one component: blocks of those outside a key's largest component, and these with blocks of that component."""
     rows = hot.join(_by_size(keys), "key").withColumn("own", F.col("comp") == F.col("big"))
     # blocks outside are numbered first; those inside don't meet each other
     blk = F.when(F.col("own"), F.col("outside") + _number(F.col("label"), F.col("inside"))).otherwise(_number(F.col("label"), F.col("outside")))
@@ -327,7 +335,11 @@ def clusters(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id",
                 found = star if found is None else found.unionAll(star)
                 known = components(found, scratch=scratch)
                 at = hot.join(_by_size(known.select(F.col("node").alias("label"), "root")), "label", "left").select("key", "pos", "label", "n", F.coalesce("root", "label").alias("comp"))
-            met = links(_blocks(keyed.join(hot_keys, "key", "left_anti"), s).unionByName(_rest(at, s)))
+                left = scratch.hold(_open_keys(at, s))
+                if (left.agg(F.sum("copies")).first()[0] or 0) <= s.enough * hot.count():
+                    break
+            left = left if s.rounds else _open_keys(at, s)
+            met = links(_blocks(keyed.join(hot_keys, "key", "left_anti"), s).unionByName(_rest(at, left, s)))
             found = met if found is None else found.unionAll(met)
         tree = components(found, scratch=scratch)
         component = classes.select("fp", "label").join(tree, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("component"))

@@ -509,11 +509,12 @@ def test_hot_keys_make_work_in_proportion(spark):
         stars = near_dup._stars(hot, 0, s)
         assert "Window" not in stars._jdf.queryExecution().executedPlan().toString()
         joined = hot.withColumn("comp", F.when(F.col("label") < n - 5, F.lit(0)).otherwise(F.col("label")).cast("long"))  # five are outside
-        rest = near_dup._rest(joined, s)
+        rest = near_dup._rest(joined, near_dup._open_keys(joined, s), s)
         n_rows.append((stars.count(), rest.count()))
         met = {tuple(sorted((a, b))) for unit in units_of(rest) for a in unit for b in unit if a != b}
         assert all((a, b) in met for a in range(n - 5) for b in range(n - 5, n)) and all((a, b) in met for a in range(n - 5, n) for b in range(a + 1, n))
-        assert near_dup._rest(hot.withColumn("comp", F.lit(0).cast("long")), s).count() == 0
+        assert near_dup._open_keys(hot.withColumn("comp", F.lit(0).cast("long")), s).count() == 0
+        assert near_dup._open_keys(joined, s).first().copies == rest.count()
     assert n_rows[1][0] < 4.5 * n_rows[0][0] and n_rows[1][1] < 4.5 * n_rows[0][1]
 
 
