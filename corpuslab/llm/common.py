@@ -46,10 +46,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, path: str) -> None:
+    """Without the marker of success, which the driver would write: nothing else reads these files, and for each file it makes the driver may fork with all its memory."""
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    written(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,7 +80,7 @@ class Scratch:
 
     def materialise(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(shared_dir(self.spark, name))
-        df.write.parquet(self.paths[-1])
+        written(df, self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def free(self) -> None:
