@@ -4,7 +4,7 @@
    its least id.
 2. Signatures are split in 10 chunks of 4. A pair that differs in at most ``MAX_DISTANCE`` = 19 positions has a chunk with at most one error (pigeonhole: with two in each
    there would be 20), so each class is entered under every chunk with every choice of the position that may be wrong: 40 keys, and no pair under the distance is missed.
-3. Keys of over ``hot`` classes are first taken by stars: every class of such a key is compared with a few of its classes (pivots, the least by hash), and what is linked becomes one
+3. Keys of over ``hot`` classes are first taken by stars: every class of such a key is compared with a few of its classes (pivots, the least by hash), and what is linked is taken for one
    component. Within a key only classes of different components still have to meet: those outside its largest component meet all others. A family of near copies, however large, is
    one component by then, so its work grows with its members.
 4. Classes that share a key are compared by signature in blocks. A pair is looked at only under its first common key.
@@ -154,6 +154,16 @@ def _stars(hot: DataFrame, seed: int, s: Settings) -> DataFrame:
     return members.unionAll(hubs)
 
 
+def _contracted(star: DataFrame) -> DataFrame:
+    """label, root of what stars linked (a: pivot, b: what is near it): the least pivot of a class, and from there the least pivot that any class of that one's star has.
+
+    A root is always in its class's component; that classes of one component may have several roots costs work later, but loses no link.
+    """
+    of_class = star.groupBy("b").agg(F.min("a").alias("p")).select(F.col("b").alias("label"), "p").unionAll(star.select(F.col("a").alias("label"), F.col("a").alias("p"))).groupBy("label").agg(F.min("p").alias("p"))
+    above = star.join(_by_size(of_class), F.col("b") == F.col("label")).groupBy("a").agg(F.min("p").alias("q"))
+    return of_class.join(_by_size(above), F.col("p") == F.col("a"), "left").select("label", F.least("p", F.coalesce("q", "p")).alias("root"))
+
+
 def _open_keys(hot: DataFrame, s: Settings) -> DataFrame:
     """key, big (its largest component), outside and inside (blocks of the classes beside and in it), copies (rows of their units): hot keys of more than one component."""
     parts = hot.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(_members(F.col("n"), s)).alias("members"))
@@ -327,16 +337,19 @@ def clusters(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id",
         if hot_keys.isEmpty():
             found = links(_blocks(keyed, s))
         else:
-            hot_keys = _by_size(hot_keys)
-            hot = scratch.hold(keyed.join(hot_keys, "key").select("key", "pos", "label", "n"))
+            # written, not held: plans that hold each other grow on the driver
+            hot = scratch.materialise(keyed.join(_by_size(hot_keys), "key").select("key", "pos", "label", "n"), "hot")
+            hot_rows = hot.count()
+            files = 1 + hot_rows // ROWS_A_FILE
+            hot_keys = _by_size(scratch.materialise(hot_keys.repartition(files), "hot-keys"))
             at, found = hot.withColumn("comp", F.col("label")), None
             for r in range(s.rounds):
-                star = scratch.hold(links(_stars(at, r * s.pivots, s)))
+                star = scratch.materialise(links(_stars(at, r * s.pivots, s)).repartition(files), "star")
                 found = star if found is None else found.unionAll(star)
-                known = components(found, scratch=scratch)
-                at = hot.join(_by_size(known.select(F.col("node").alias("label"), "root")), "label", "left").select("key", "pos", "label", "n", F.coalesce("root", "label").alias("comp"))
-                left = scratch.hold(_open_keys(at, s))
-                if (left.agg(F.sum("copies")).first()[0] or 0) <= s.enough * hot.count():
+                known = scratch.materialise(_contracted(found).repartition(files), "known")
+                at = hot.join(_by_size(known), "label", "left").select("key", "pos", "label", "n", F.coalesce("root", "label").alias("comp"))
+                left = scratch.materialise(_open_keys(at, s).repartition(files), "open-keys")
+                if (left.agg(F.sum("copies")).first()[0] or 0) <= s.enough * hot_rows:
                     break
             left = left if s.rounds else _open_keys(at, s)
             met = links(_blocks(keyed.join(hot_keys, "key", "left_anti"), s).unionByName(_rest(at, left, s)))
