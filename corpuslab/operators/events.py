@@ -111,14 +111,36 @@ def in_intervals(df: DataFrame, at: str, intervals: DataFrame, first: str = "fir
     return dealt.join(entered, (F.col("_l") == F.col("_level")) & (F.col("_b") == F.col("_bucket")) & low & high).drop("_a", "_z", "_level", "_bucket", "_t", "_l", "_b")
 
 
+def totals_in_intervals(df: DataFrame, at: str, intervals: DataFrame, *keys: str, value: str | None = None, first: str = "first", last: str = "last", with_first: bool | Column = True, with_last: bool | Column = True) -> DataFrame:
+    """keys, ``n`` and ``total``: how many rows are in the intervals of each of ``keys``, and the sum of their ``value`` (whole numbers; 0 without rows). Every key has a row; intervals of equal keys count together.
+
+    What ``in_intervals`` would pair is only counted: rows and the ends of intervals are placed in one order of time and added up along it; an interval has what is added up at its end less what is at its start.
+    So the work follows rows and intervals, not pairs. ``with_first`` and ``with_last`` may differ by interval; keys can be ordered.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    added = F.col(value).cast("decimal(20,0)") if value else F.lit(0).cast("decimal(20,0)")
+    timed = df.select(micros(at).alias("_t"), added.alias("_v")).filter("_t is not null")
+    rows = timed.groupBy("_t").agg(F.count("*").alias("_n"), F.sum("_v").alias("_v")).withColumn("_o", F.lit(1))  # at a time: what ends before it (0), its rows, what ends with it (2)
+    low, high = F.lit(with_first), F.lit(with_last)
+    ends = intervals.select(*keys, micros(first).alias("_a"), micros(last).alias("_z"), low.alias("_low"), high.alias("_high"))
+    full = F.coalesce((F.col("_a") < F.col("_z")) | ((F.col("_a") == F.col("_z")) & F.col("_low") & F.col("_high")), F.lit(False))
+    end = lambda sign, t, o: F.struct(F.lit(sign).alias("_sign"), F.when(full, t).otherwise(0).alias("_t"), F.when(full, o).otherwise(0).alias("_o"))  # noqa: E731  empty ones start where they end
+    pair = F.array(end(-1, F.col("_a"), F.when(F.col("_low"), 0).otherwise(2)), end(1, F.col("_z"), F.when(F.col("_high"), 2).otherwise(0)))
+    asked = ends.select(*keys, F.explode(pair).alias("_e")).select(*keys, "_e.*")
+    p = ranges.placed(asked.unionByName(rows, allowMissingColumns=True), [F.col("_t"), F.col("_o"), *map(F.col, keys)])
+    met = ranges.summed(p, "_n", "_v").filter("_sign is not null")
+    sums = [F.sum(F.when(F.col("_sign") < 0, -F.col(c)).otherwise(F.col(c))).cast("long").alias(n) for c, n in (("_n", "n"), ("_v", "total"))]
+    return met.groupBy(*keys).agg(*sums)
+
+
 def before_after_hours(df: DataFrame, at: str, marks: DataFrame, key: str, mark_at: str, hours: int = 1) -> DataFrame:
-    """key, n_before in [t - hours, t), n_after in (t, t + hours], for every mark."""
+    """key, n_before in [t - hours, t), n_after in (t, t + hours], for every key of the marks; marks of one key count together."""
     t, span = F.col(mark_at).cast("timestamp"), F.make_interval(hours=F.lit(hours))
-    around = marks.select(F.col(key).alias("_k"), t.alias("_mark"), (t - span).alias("first"), (t + span).alias("last"))
-    met = in_intervals(df.select(F.col(at).alias("_at")), "_at", around).withColumn("_at", F.col("_at").cast("timestamp"))
-    n = met.groupBy("_k").agg(F.count_if(F.col("_at") < F.col("_mark")).alias("b"), F.count_if(F.col("_at") > F.col("_mark")).alias("a"))
-    zero = F.lit(0).cast("long")
-    return marks.join(n, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("b", zero).alias("n_before"), F.coalesce("a", zero).alias("n_after"))
+    side = lambda before, a, z: F.struct(F.lit(before).alias("_before"), a.alias("first"), z.alias("last"))
+    sides = marks.select(F.col(key).alias("_k"), F.explode(F.array(side(True, t - span, t), side(False, t, t + span))).alias("_s")).select("_k", "_s.*")
+    before = F.col("_before")
+    n = totals_in_intervals(df, at, sides, "_k", "_before", with_first=before, with_last=~before)
+    return n.groupBy(F.col("_k").alias(key)).agg(F.sum(F.when(before, F.col("n"))).alias("n_before"), F.sum(F.when(~before, F.col("n"))).alias("n_after"))
 
 
 def by_month(df: DataFrame, month: Column, events: DataFrame, days: int = 30) -> DataFrame:

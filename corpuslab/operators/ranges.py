@@ -66,6 +66,18 @@ def carried(p: Placed, value: str) -> DataFrame:
     return got.withColumns({"_last": F.coalesce("_last", "_b"), "_next": F.coalesce("_next", "_a")}).drop("_a", "_b")
 
 
+def summed(p: Placed, *values: str) -> DataFrame:
+    """p.rows with each of ``values`` (whole numbers or decimals; nulls add nothing) added up over all rows up to each row and with it, also beyond the border of its range."""
+    found = {r["_range"]: r for r in p.rows.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values]).collect()}  # one row a range
+    by = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    totals = {}
+    for v in values:
+        before = list(accumulate([0, *(found[i][v] or 0 if i in found else 0 for i in range(len(p.sizes)))]))
+        run = F.sum(v).over(by)
+        totals[v] = F.coalesce(run, F.lit(0)) + F.get(F.array(*[F.lit(x).cast("decimal(38,0)") for x in before]), F.col("_range"))
+    return p.rows.withColumns(totals)
+
+
 def at_fractions(p: Placed, key: str, fractions: list[tuple[int, int]]) -> DataFrame:
     """Rows of p at the places floor(a * (size - 1) / b) of their key, and the rows after those, with ``_index`` and ``_size``."""
     got = within(p, key)

@@ -216,10 +216,8 @@ def interval_join(spark, d):
     seconds = F.when(F.col("event_type") == "signup", 60 * (1 + F.col("event_id") % 7)).otherwise(86400)
     a = e.filter("event_type in ('signup', 'error') and value > 100").withColumn("first", F.col("ts").cast("timestamp"))
     a = a.select(F.col("event_id").alias("a_id"), "first", F.timestamp_micros(F.unix_micros("first") + 1_000_000 * seconds).alias("last"))
-    met = events.in_intervals(e.filter("event_type = 'click'").select("event_id", "ts"), "ts", a, with_last=False)
-    n = met.groupBy("a_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
-    zero = F.lit(0).cast("long")
-    return a.select("a_id").join(n, "a_id", "left").select(F.col("a_id").alias("event_id"), F.coalesce("n", zero).alias("n"), F.coalesce("ids", zero).alias("ids"))
+    met = events.totals_in_intervals(e.filter("event_type = 'click'"), "ts", a, "a_id", value="event_id", with_last=False)
+    return met.select(F.col("a_id").alias("event_id"), "n", F.col("total").alias("ids"))
 
 
 @query("median_selected", "SELECT l_returnflag, round(median(l_extendedprice), 6) + 0.0 AS price, round(median(l_quantity), 6) + 0.0 AS quantity FROM lineitem GROUP BY ALL")

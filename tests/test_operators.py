@@ -371,6 +371,32 @@ def test_interval_join(spark):
     assert events.in_intervals(df, "t", iv.limit(0)).count() == 0
 
 
+def test_totals_in_intervals(spark):
+    """As pairs that are added up, but without a join of rows with intervals: all rows lie in all intervals of the last part, and no pair of them is made."""
+    import random
+
+    from corpuslab.operators import events
+
+    r = random.Random(2)
+    at = [(k, r.randint(0, 3000)) for k in range(400)] + [(999, None), (None, 5)]
+    spans = [(k % 40, a, a + r.choice([0, 1, 10, 1000])) for k, a in ((k, r.randint(-100, 3000)) for k in range(120))] + [(500, 9, 3), (501, None, 4), (None, 0, 100), (None, 50, 70)]
+    df = spark.createDataFrame(at, "k long, t long").select("k", F.timestamp_micros("t").alias("t"))
+    iv = spark.createDataFrame(spans, "j long, a long, z long").select("j", F.timestamp_micros("a").alias("first"), F.timestamp_micros("z").alias("last"))
+    for low, high in ((True, True), (False, True), (True, False), (False, False)):
+        want = {j: (0, 0) for j, _, _ in spans}
+        for k, t in at:
+            for j, a, z in spans:
+                if None not in (t, a) and a <= z and (a < t or low and a == t) and (t < z or high and t == z):
+                    want[j] = want[j][0] + 1, want[j][1] + (k or 0)
+        out = events.totals_in_intervals(df, "t", iv, "j", value="k", with_first=low, with_last=high)
+        assert {x.j: (x.n, x.total) for x in out.collect()} == want and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert events.totals_in_intervals(df, "t", iv.limit(0), "j").count() == 0
+    assert {x.n for x in events.totals_in_intervals(df.limit(0), "t", iv, "j").collect()} == {0}
+    hot = spark.range(60_000).select("id", F.timestamp_micros(F.col("id") % 50).alias("t"))
+    n = events.before_after_hours(hot, "t", hot, "id", "t").groupBy("n_before", "n_after").count().collect()
+    assert {tuple(x) for x in n} == {(1200 * k, 1200 * (49 - k), 1200) for k in range(50)}
+
+
 def test_selected_medians(spark):
     import random
     import statistics
