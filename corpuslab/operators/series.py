@@ -78,10 +78,18 @@ def _by_key(state: DataFrame, more: DataFrame) -> DataFrame:
     return state.join(more.withColumnRenamed("_k", "_g"), F.col("_k").eqNullSafe(F.col("_g"))).drop("_g")
 
 
+MOST_SENT = 10_000
+"""Groups whose bounds are sent to all rows."""
+
+
 def _between(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of groups that are within the group's bounds; a row a group is joined to them."""
+    """Rows of groups that are within the group's bounds, which are sent to them: a group's rows are not brought together. Of many groups only the large ones' bounds are sent; the others' rows are shuffled by group."""
     s = state.withColumnRenamed("_k", "_g")
-    return rows.join(s, F.col("_k").eqNullSafe(F.col("_g")) & F.col("_v").between(F.col("lo"), F.col("hi"))).drop("_g")
+    met = lambda some: rows.join(some, F.col("_k").eqNullSafe(F.col("_g")) & F.col("_v").between(F.col("lo"), F.col("hi"))).drop("_g")
+    if s.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return met(F.broadcast(s))
+    large = F.col("between") > MOST_AT_ONCE  # one for each million of rows at most
+    return met(F.broadcast(s.filter(large))).unionByName(met(s.filter(~large)))
 
 
 def share(df: DataFrame, day: str, hit: Column) -> DataFrame:

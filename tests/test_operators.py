@@ -416,6 +416,24 @@ def test_selected_medians(spark):
     assert series.medians(months, "day", "v", most=100).first().v == series.medians(months, "day", "v").first().v
 
 
+def test_medians_do_not_gather_groups(spark, monkeypatch):
+    """Rows meet the bounds of their group where they are; of many groups only small ones' rows are shuffled."""
+    from corpuslab.llm.common import settings
+    from corpuslab.operators import series
+    from corpuslab.operators.scratch import saved
+
+    df = spark.range(6000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 6007).cast("double").alias("v"))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        state = saved(df.groupBy(F.col("g").alias("_k")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("between")))
+        plan = series._between(df.toDF("_k", "_v"), state)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    want = {r.g: r.v for r in df.groupBy("g").agg(F.median("v").alias("v")).collect()}
+    monkeypatch.setattr(series, "MOST_SENT", 0)
+    for large in (10, 1_000_000):
+        monkeypatch.setattr(series, "MOST_AT_ONCE", large)
+        assert {r.g: r.v for r in series.selected_medians(df, "g", "v", most=50, accuracy=100).collect()} == want
+
+
 def test_phrases_are_those_of_the_patterns(spark):
     from corpuslab import lexicons as L
     from corpuslab.functions import text as X
