@@ -76,8 +76,11 @@ def join_collocations(text: Column, pairs: list[tuple[str, str]] | None = None)
 
 
 def without_handles(text: Column) -> Column:
-    t = F.regexp_replace(filled(text), r"(?U)https?://\S+", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)@\w+", " "), r"(?U)#\w+", " ")
+    """Texts that have no part of a link, handle or tag are left as they are, without a look for patterns."""
+    whole = filled(text)
+    t = F.regexp_replace(whole, r"(?U)https?://\S+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)@\w+", " "), r"(?U)#\w+", " ")
+    return F.when(F.contains(whole, F.lit("://")) | F.contains(whole, F.lit("@")) | F.contains(whole, F.lit("#")), t).otherwise(whole)
 
 
 def without(tokens: Column, *lists: list[str]) -> Column:

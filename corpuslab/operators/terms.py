@@ -9,17 +9,33 @@ from .scratch import saved
 
 
 def counts(df: DataFrame, tokens: Column, *groups: str) -> DataFrame:
-    """groups, term, n."""
-    return df.select(*groups, F.explode(tokens).alias("term")).groupBy(*groups, "term").agg(F.count("*").alias("n"))
+    """groups, term, n. Terms are not null, and said not to be: else a join by term would filter before it counts, and whoever reads counts twice would find tokens twice."""
+    return df.select(*groups, F.explode(tokens).alias("term")).filter("term is not null").groupBy(*groups, "term").agg(F.count("*").alias("n"))
+
+
+BYTES_A_TASK = 16_000_000
+"""Of texts whose terms one task counts: its table of terms takes some twenty times as much."""
+
+
+def dealt(df: DataFrame, text: str, key: str, more: DataFrame | None = None) -> DataFrame:
+    """df (inner joined to ``more`` on ``key``, if given) in partitions of about ``BYTES_A_TASK`` of text, whatever the session's sizes of splits and shuffles: what a task holds of terms doesn't grow with the table."""
+    size = df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    n = max(df.sparkSession.sparkContext.defaultParallelism, 1 + size // BYTES_A_TASK)
+    out = df.repartition(n, key)
+    return out if more is None else out.join(more.repartition(n, key), key)
 
 
 def with_rest(counted: DataFrame, group: str) -> DataFrame:
-    """Adds n_rest, total and total_rest: counts of all other groups, and both sizes."""
+    """Adds n_rest, total and total_rest: counts of all other groups, and both sizes. Rows without a group count among the others only.
+
+    Sizes meet null-safely and lose their null by a count: a filter on the group would go below the counts on one side, and tokens would be found once more for that side.
+    """
     by_term = Window.partitionBy("term")
-    totals = counted.groupBy(group).agg(F.sum("n").alias("total"))
-    grand = totals.agg(F.sum("total").alias("grand"))
-    sizes = totals.join(F.broadcast(grand))  # one row
-    return counted.withColumn("n_rest", F.sum("n").over(by_term) - F.col("n")).join(sizes, group).withColumn("total_rest", F.col("grand") - F.col("total")).drop("grand")
+    totals = counted.groupBy(group).agg(F.sum("n").alias("total"), F.count(group).alias("_known"))
+    grand = totals.filter("_known >= 0").agg(F.sum("total").alias("grand"))  # all; asks for the same columns, so totals are found once
+    sizes = totals.filter("_known > 0").join(F.broadcast(grand)).withColumnRenamed(group, "_g")  # one row
+    rest = counted.withColumn("n_rest", F.sum("n").over(by_term) - F.col("n")).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    return rest.withColumn("total_rest", F.col("grand") - F.col("total")).drop("grand", "_known", "_g")
 
 
 def log_odds(n: Column, total: Column, n_rest: Column, total_rest: Column) -> Column:

@@ -50,6 +50,14 @@ def test_tokens_are_found_once(spark, name, scans):
     assert len(re.findall(r"FileScan parquet|Scan parquet", text.replace("FileScan parquet", "Scan parquet"))) - text.count("ReusedExchange") <= scans
 
 
+@pytest.mark.parametrize("name", ["distinctive_bigrams", "distinctive_words", "ctfidf", "topic_labels"])
+def test_terms_are_made_once(spark, name):
+    """All that reads the counts shares one shuffle of them: no filter that only one side has goes below it."""
+    df = catalogue.queries()[name](spark, SF)
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Generate explode") == 1
+
+
 def test_firsts_are_found_before_the_shuffle(spark):
     from pyspark.sql import functions as F
 
