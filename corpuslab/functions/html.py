@@ -189,9 +189,13 @@ def page_text(html: str | None) -> str:
     return _cleaned(_parsed(html).parts)
 
 
+def _article(p: _Text, page: str, least: int = 100) -> str:
+    return next((t for found in p.found if len(t := _cleaned(found)) > least), None) or page
+
+
 def article_text(html: str | None, selectors: list[str], least: int = 100) -> str:
     p = _parsed(html, selectors)
-    return next((t for found in p.found if len(t := _cleaned(found)) > least), None) or _cleaned(p.parts)
+    return _article(p, _cleaned(p.parts), least)
 
 
 @F.pandas_udf(T.StringType())
@@ -208,6 +212,19 @@ def content_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda h: article_text(h, SELECTORS))
 
 
+@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("page", T.StringType())]))
+def texts_of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Both of them, for which a page is parsed once and goes to one worker."""
+
+    def both(html: str | None) -> tuple[str, str]:
+        p = _parsed(html, SELECTORS)
+        page = _cleaned(p.parts)
+        return _article(p, page), page
+
+    for s in pages:
+        yield pd.DataFrame([both(h) for h in s], columns=["content", "page"])
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:

@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..llm.common import bounded_batches
 from ..operators import classify, dedup, lookup
 from .base import A, WORDS, articles, query, table
 
@@ -310,7 +311,8 @@ def html_dates(spark, d):
 @query("html_article")
 def html_article(spark, d):
     """Needs a parser; tested on small pages."""
-    return table(spark, d, "pages").select("page_id", H.content_of("html").alias("content"), H.text_of("html").alias("page"))
+    bounded_batches(spark)
+    return table(spark, d, "pages").select("page_id", H.texts_of("html").alias("t")).select("page_id", "t.content", "t.page")
 
 
 @query("html_engagement", """SELECT page_id, CASE WHEN page_id % 6 <> 5 THEN page_id END AS comment_count, page_id * 1000 AS share_count, CASE page_id % 3 WHEN 0 THEN page_id * 1000 + 500 WHEN 1 THEN page_id END AS like_count,

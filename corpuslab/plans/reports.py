@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..llm.common import bounded_batches
 from ..operators import lookup, topics
 from ..sources import exports
 from ..sources import tables as S
@@ -189,6 +190,7 @@ p AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) % 64 AS k, CA
 SELECT d.doc_id, string_agg(CAST(CAST(coalesce(v, 0) AS BIGINT) AS VARCHAR), ' ' ORDER BY d.k) AS vector FROM (SELECT doc_id, unnest(range(64)) AS k FROM documents) d LEFT JOIN s ON s.doc_id = d.doc_id AND s.k = d.k GROUP BY d.doc_id""")
 def embedded_texts(spark, d):
     """Vectors by a model that each task loads once."""
+    bounded_batches(spark)
     out = topics.embedded(table(spark, d, "documents").select("doc_id", "text"), "text", topics.HashedWords)
     return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
 
@@ -317,4 +319,5 @@ def html_json_ld(spark, d):
 @query("composed_texts", "SELECT doc_id, sha256(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS text_sha256 FROM documents")
 def composed_texts(spark, d):
     """Letters that came with a separate accent, put together, and control characters dropped."""
+    bounded_batches(spark)
     return table(spark, d, "documents").select("doc_id", F.sha2(H.nfc(X.drop_controls(F.concat(F.lit("\u0007"), F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u007f")))), 256).alias("text_sha256"))

@@ -58,6 +58,12 @@ def test_terms_are_made_once(spark, name):
     assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Generate explode") == 1
 
 
+def test_pages_are_parsed_once_in_small_batches(spark):
+    """One worker a task for both texts of a page."""
+    text = plan(spark, "html_article")
+    assert text.count("ArrowEvalPython") == 1 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
 def test_firsts_are_found_before_the_shuffle(spark):
     from pyspark.sql import functions as F
 
