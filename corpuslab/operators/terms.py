@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from .scratch import saved
 
 
-def counts(df: DataFrame, tokens: Column, *groups: str) -> DataFrame:
-    """groups, term, n. Terms are not null, and said not to be: else a join by term would filter before it counts, and whoever reads counts twice would find tokens twice."""
-    return df.select(*groups, F.explode(tokens).alias("term")).filter("term is not null").groupBy(*groups, "term").agg(F.count("*").alias("n"))
+def counts(df: DataFrame, tokens: Column, *groups: str, parts: int | None = None) -> DataFrame:
+    """groups, term, n. Terms are not null, and said not to be: else a join by term would filter before it counts, and whoever reads counts twice would find tokens twice.
+
+    With ``parts`` terms are dealt by their hash to so many tasks before they are counted, so that what a task holds doesn't follow the session's number of shuffle partitions; what sums by term then needs no more shuffle.
+    """
+    found = df.select(*groups, F.explode(tokens).alias("term")).filter("term is not null")
+    return (found.repartition(parts, "term") if parts else found).groupBy(*groups, "term").agg(F.count("*").alias("n"))
 
 
 BYTES_A_TASK = 16_000_000
 """Of texts whose terms one task counts: its table of terms takes some twenty times as much."""
 
 
-def dealt(df: DataFrame, text: str, key: str, more: DataFrame | None = None) -> DataFrame:
-    """df (inner joined to ``more`` on ``key``, if given) in partitions of about ``BYTES_A_TASK`` of text, whatever the session's sizes of splits and shuffles: what a task holds of terms doesn't grow with the table."""
+def parts(df: DataFrame, text: str) -> int:
+    """Tasks of about ``BYTES_A_TASK`` of text, whatever the session's sizes of splits and shuffles."""
     size = df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    n = max(df.sparkSession.sparkContext.defaultParallelism, 1 + size // BYTES_A_TASK)
-    out = df.repartition(n, key)
-    return out if more is None else out.join(more.repartition(n, key), key)
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1 + size // BYTES_A_TASK)
 
 
 def with_rest(counted: DataFrame, group: str) -> DataFrame:

@@ -72,12 +72,12 @@ def clusters(df: DataFrame, vector: str = "reduced", k: int = 25, seeds: int = 1
     return min(models, key=lambda m: m.summary.trainingCost).transform(df)
 
 
-def class_tfidf(df: DataFrame, topic: str, found: Column, most: int = 20_000) -> DataFrame:
+def class_tfidf(df: DataFrame, topic: str, found: Column, most: int = 20_000, parts: int | None = None) -> DataFrame:
     """topic, term, n, weight. A topic is one document: (1 + ln n) times ln((1 + topics) / (1 + topics with the term)) + 1, rows of length 1.
 
-    The vocabulary is the ``most`` most frequent terms, ties by name.
+    The vocabulary is the ``most`` most frequent terms, ties by name. ``parts``: as for ``terms.counts``.
     """
-    counted = terms.counts(df, found, topic)
+    counted = terms.counts(df, found, topic, parts=parts)
     vocabulary = counted.groupBy("term").agg(F.sum("n").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(most)
     size = df.select(topic).distinct().agg(F.count("*").alias("topics"))
     raw = counted.join(vocabulary, "term").join(F.broadcast(size))  # one row

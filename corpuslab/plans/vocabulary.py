@@ -203,8 +203,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9)
 
 
 def _topic_words(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic")), "doc_id")
-    return topics.topic_words(topics.class_tfidf(docs, "topic", X.vectorizer_terms(F.col("text")), 5000), "topic", STOP)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    n = terms.parts(docs, "text")
+    docs = docs.repartition(n, "doc_id").join(labels.repartition(n, "doc_id"), "doc_id")
+    return topics.topic_words(topics.class_tfidf(docs, "topic", X.vectorizer_terms(F.col("text")), 5000, n), "topic", STOP)
 
 
 @query("ctfidf", f"WITH {TFIDF} SELECT topic, term, n, round(weight, 6) + 0.0 AS weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")

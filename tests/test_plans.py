@@ -58,6 +58,18 @@ def test_terms_are_made_once(spark, name):
     assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Generate explode") == 1
 
 
+def test_terms_of_topics_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpuslab.operators import terms
+
+    want = sorted(map(tuple, catalogue.queries()["ctfidf"](spark, SF).collect()))
+    monkeypatch.setattr(terms, "BYTES_A_TASK", 20_000)
+    n = terms.parts(spark.read.parquet(f"{SF}/documents.parquet"), "text")
+    assert n > 10 and plan(spark, "ctfidf").count("hashpartitioning(term") == 2 and f", {n}), REPARTITION_BY_NUM" in plan(spark, "ctfidf")
+    assert sorted(map(tuple, catalogue.queries()["ctfidf"](spark, SF).collect())) == want
+
+
 def test_pages_are_parsed_once_in_small_batches(spark):
     """One worker a task for both texts of a page."""
     text = plan(spark, "html_article")
