@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 
 WORD = "[a-zà-ÿ]{3,}"
+LETTER = "[" + "".join(map(chr, [*range(0x61, 0x7B), *range(0xE0, 0x100)])) + "]"
+"""``[a-zà-ÿ]`` letter by letter: Java looks such a class up in one table, where it tries ranges one after another."""
 
 
 def let(value: Column, body) -> Column:
@@ -90,9 +92,14 @@ def without(tokens: Column, *lists: list[str]) -> Column:
 
 
 def tokens(text: Column, stop: list[str] = (), foreign: list[str] = (), collocations: list[tuple[str, str]] | None = None) -> Column:
-    """Words of three letters or more and joined phrases, after links, handles and tags are cut."""
+    """Words of three letters or more and joined phrases, after links, handles and tags are cut.
+
+    A text without a ``_``, to which no phrase adds one, is not searched for joined words: else each word is read twice.
+    """
     joined = join_collocations(without_handles(text), collocations)
-    found = F.regexp_extract_all(joined, F.lit("[a-zà-ÿ]++(?:_[a-zà-ÿ]++)+|[a-zà-ÿ]{3,}"), F.lit(0))
+    found = F.regexp_extract_all(joined, F.lit(f"{LETTER}++(?:_{LETTER}++)+|{LETTER}{{3,}}+"), F.lit(0))
+    if collocations is not None and not collocations:
+        found = F.when(F.contains(filled(text), F.lit("_")), found).otherwise(F.regexp_extract_all(joined, F.lit(LETTER + "{3,}+"), F.lit(0)))
     return without(found, stop, foreign)
 
 

@@ -17,6 +17,19 @@ def counts(df: DataFrame, tokens: Column, *groups: str, parts: int | None = None
     return (found.repartition(parts, "term") if parts else found).groupBy(*groups, "term").agg(F.count("*").alias("n"))
 
 
+def pair_counts(df: DataFrame, tokens: Column, *groups: str) -> DataFrame:
+    """``counts`` of pairs of neighbours, joined by a blank as ``text.bigrams`` does.
+
+    Neighbours become rows before they are joined, so that pairs are made by compiled code, not by a function called for each element of an array. The key is one struct: most pairs occur once in a task,
+    and for plain keys Spark asks a second, small table in front of the one that holds them, which such keys only fill.
+    """
+    found = df.select(*groups, tokens.alias("_found"))
+    n = F.greatest(F.size("_found") - 1, F.lit(0))
+    sides = F.arrays_zip(F.slice("_found", F.lit(1), n).alias("a"), F.slice("_found", F.lit(2), n).alias("b"))
+    pairs = found.select(*groups, F.explode(sides).alias("_pair")).filter("_pair.a is not null and _pair.b is not null").select(*groups, F.concat("_pair.a", F.lit(" "), "_pair.b").alias("term"))
+    return pairs.groupBy(F.struct(*groups, "term").alias("_key")).agg(F.count("*").alias("n")).select("_key.*", "n")
+
+
 BYTES_A_TASK = 16_000_000
 """Of texts whose terms one task counts: its table of terms takes some twenty times as much."""
 

@@ -50,10 +50,9 @@ def release_heat(r: DataFrame, stop: list[str], foreign: list[str], first_year:
 
 def bigrams(p: DataFrame, a: DataFrame, handles: list[str], outlets: list[str], stop: list[str], boilerplate: list[str] = ()) -> dict[str, DataFrame]:
     """First and distinctive word pairs of accounts, and of outlets (one row a title, 1200 characters)."""
-    pairs = lambda t: X.bigrams(X.plain_tokens(t, stop))
-    by_account = terms.counts(p.filter(F.col("handle").isin(handles)), F.filter(pairs(F.col("text")), lambda b: ~b.isin(list(boilerplate) or [""])), "handle")
+    by_account = terms.pair_counts(p.filter(F.col("handle").isin(handles)), X.plain_tokens(F.col("text"), stop), "handle").filter(~F.col("term").isin(list(boilerplate) or [""]))
     once = dedup.by_domain_title(a.filter(F.col("domain").isin(outlets)), "domain", "title", [F.col("src_priority"), F.col("pos")])
-    by_outlet = terms.counts(once, pairs(_heading(1200)), "domain")
+    by_outlet = terms.pair_counts(once, X.plain_tokens(_heading(1200), stop), "domain")
     out = {}
     for name, counted, group in (("accounts", by_account, "handle"), ("outlets", by_outlet, "domain")):
         out[f"{name}_top"] = terms.top(counted, [group], [F.desc("n"), F.asc("term")], 20)

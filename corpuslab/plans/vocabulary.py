@@ -51,13 +51,13 @@ BIGRAMS = f"b AS (SELECT source, w[i] || ' ' || w[i + 1] AS term FROM (SELECT so
 @query("bigram_top20", f"""WITH {A}, {BIGRAMS}, c AS (SELECT source, term, count(*) AS n FROM b GROUP BY ALL)
 SELECT source, term, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM c WHERE n >= 2) WHERE rank <= 20""")
 def bigram_top20(spark, d):
-    counted = terms.counts(articles(spark, d), X.bigrams(tokens()), "source").filter("n >= 2")
+    counted = terms.pair_counts(articles(spark, d), tokens(), "source").filter("n >= 2")
     return terms.top(counted, ["source"], [F.desc("n"), F.asc("term")], 20)
 
 
 @query("distinctive_bigrams", f"WITH {A}, {BIGRAMS}, c AS (SELECT source, term, count(*) AS n FROM b GROUP BY ALL), {SCORED.format(least=5)}")
 def distinctive_bigrams(spark, d):
-    out = terms.distinctive(terms.counts(articles(spark, d), X.bigrams(tokens()), "source"), "source", 5, 20)
+    out = terms.distinctive(terms.pair_counts(articles(spark, d), tokens(), "source"), "source", 5, 20)
     return out.withColumn("score", r6(F.col("score")))
 
 

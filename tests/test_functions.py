@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,15 @@ def test_tokens(each):
     assert each(lambda x: X.mostly_foreign(x, ["the", "and"]), "the and " * 8, "the and", "uno dos tres " * 9) == [True, False, False]
 
 
+def test_tokens_without_phrases(each):
+    """Texts with and without ``_`` give what one pattern for both gives."""
+    values = ["Foo_bar a_b x_ abc_ _abc ab_1 un deux", "Foo bar, ab abc, École÷ñandú ÀÉÎ ß", "@a_b http://x_y/z #t_u abc", "ab", "", None, "abc" * 5000]
+    lowered = [re.sub(r"https?://\S+|@\w+|#\w+", " ", v or "").lower() for v in values]
+    want = [[w for w in re.findall("[a-zà-ÿ]+(?:_[a-zà-ÿ]+)+|[a-zà-ÿ]{3,}", t) if w != "bar"] for t in lowered]
+    assert each(lambda x: X.tokens(x, ["bar"], [], []), *values) == want and want[0][:2] == ["foo_bar", "a_b"]
+    assert X.LETTER == "[" + "".join(re.findall("[a-zà-ÿ]", "".join(map(chr, range(0x250))))) + "]"
+
+
 def test_rates(each):
     t = "¡NO! Yo digo que MI país es LIBRE?"
     assert [round(v, 6) for v in (each(X.exclamation_rate, t)[0], each(X.capitals_rate, t)[0], each(lambda x: X.pattern_rate(x, r"(?iU)\b(yo|mi\b)\b"), t)[0])] == [5.882353, 37.5, 25.0]

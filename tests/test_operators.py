@@ -21,6 +21,20 @@ def test_dedup_url(spark):
     assert ids(dedup.by_url(df)) == [1]
 
 
+def test_pair_counts(spark):
+    """Pairs of neighbours as ``bigrams`` makes them, also of groups without a name, of texts without a pair, and of a pair that a text has often."""
+    from corpuslab.functions import text as X
+
+    rows = [("s", "a b a b a"), ("s", "a b"), (None, "a b c"), (None, "b c"), ("", "a b"), ("t", "a"), ("t", ""), ("t", None), ("u", "x y " * 3000)]
+    df = spark.createDataFrame(rows, "g string, x string").repartition(3)
+    found = F.filter(F.split("x", " "), lambda w: w != "")
+    got = terms.pair_counts(df, found, "g")
+    assert got.columns == ["g", "term", "n"]
+    want = {("s", "a b"): 3, ("s", "b a"): 2, (None, "a b"): 1, (None, "b c"): 2, ("", "a b"): 1, ("u", "x y"): 3000, ("u", "y x"): 2999}
+    assert {(r.g, r.term): r.n for r in got.collect()} == want == {(r.g, r.term): r.n for r in terms.counts(df, X.bigrams(found), "g").collect()}
+    assert {(r.term, r.n) for r in terms.pair_counts(df.filter("g = ''"), found).collect()} == {("a b", 1)}
+
+
 def sequential_greedy(rows) -> list:
     """What ``greedy`` computes, over (order, keys) in order."""
     seen: set[str] = set()

@@ -58,6 +58,16 @@ def test_terms_are_made_once(spark, name):
     assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Generate explode") == 1
 
 
+@pytest.mark.parametrize("name", ["bigram_top20", "distinctive_bigrams", "analysis_bigrams_top", "analysis_bigrams_outlets"])
+def test_pairs_are_made_by_compiled_code(spark, name):
+    """No function of array elements makes pairs, and they are counted in the stage that makes them, by one table."""
+    df = catalogue.queries()[name](spark, SF)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "zip_with" not in text and re.search(r"\*\(\d+\) Generate explode\(arrays_zip", text)
+    assert re.search(r"HashAggregate\(keys=\[(?:_key|_groupingexpression)#\d+\], functions=\[partial_count", text)
+
+
 def test_terms_of_topics_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
     from pyspark.sql import functions as F
 
